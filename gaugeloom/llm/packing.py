@@ -9,6 +9,7 @@ a sequence is full.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,7 +24,7 @@ from gaugeloom.llm.words import mix, word_hashes
 DIMS, BITS, TIE_BITS = 4, 8, 20
 END = 1
 ROWS = 256
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 
 
 def project(hashes: list[np.ndarray]) -> np.ndarray:
@@ -105,7 +106,7 @@ class Tokens:
             parts = {p for w in lacking for p in self._parts(w)}
             fresh = list(parts.difference(new))
             for p, e in zip(fresh, self.model.encode_batch(fresh, add_special_tokens=False)):
-                new[p] = np.array(e.ids, np.uint16).tobytes()
+                new[p] = array("H", e.ids).tobytes()
             for w in lacking:
                 new[w] = b"".join([new[p] for p in self._parts(w)])
         out = [b"".join([new[w] for w in r]) for r in rows]

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeloom.llm import chat, lines, shards
+from gaugeloom.llm import chat, langid, lines, media, packing, pieces, shards
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer file `name` is on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark, root, name):
@@ -16,13 +23,42 @@ def op2_line_dedup(spark, root):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_audio_features(spark, root):
+    got = media.audio_features(_table(spark, root, "documents"))
+    return got.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.concat_ws(":", "n_frames", "n_segments", F.sha2("tensors", 256)).alias("feature"),
+    )
+
+
+def op4_curve_packing(spark, root):
+    got = packing.pack(_table(spark, root, "documents"), tokenizer_path("word_bpe_49k.json"), longest=2048)
+    return got.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op5_kd_sharding(spark, root):
     return shards.shard_documents(_table(spark, root, "documents"), shards=40)
 
 
+def op8_language_id(spark, root):
+    docs = _table(spark, root, "documents").select("doc_id", "lang", "text")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = langid.train(docs.where(remainder != 0))
+    return langid.identify(docs, model, keep=["doc_id"]).withColumn("held_out", remainder == 0)
+
+
+def op9_sentencepiece(spark, root):
+    got = pieces.encode_decode(_table(spark, root, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    numbers = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_chat_format(spark, root):
     return chat.format_chats(_table(spark, root, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_kd_sharding, op10_chat_format)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_line_dedup, op3_audio_features, op4_curve_packing, op5_kd_sharding, op8_language_id, op9_sentencepiece, op10_chat_format)
+}
 ORACLE_SQL = {"op2_line_dedup": lines.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL}
