@@ -1,21 +1,25 @@
 """Line dedup: the first document with a line keeps it, later ones lose it.
 
-Lines travel as hashes. They are range-partitioned by (hash, document,
-position) and sorted inside each partition, so a very common line spans as many
-partitions as it fills; each partition streams its first occurrences, and a
-second small aggregation takes the first of those. What a document loses comes
-back as a sparse bitmap of its lines, not as text.
+Lines travel as hashes. They are range-partitioned by hash and sorted inside
+each partition by hash, document and position, so one pass over a partition
+streams first occurrences. Very common lines would make one partition long:
+they are found by a pre-aggregated count, their first documents are broadcast
+(HOT_KEYS at most), and their lines never enter the ranges. What a document
+loses comes back as a sparse bitmap of its lines, not as text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeloom.llm import store
+
 # Fixed values: [\x20\x09-\x0D] and the ASCII letters.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CODE_POINTS = 10
+HOT_KEYS, HOT_ROWS = 100_000, 1_000
 
 
 def line_key(line: Column) -> Column:
@@ -40,9 +44,16 @@ def keep_bitmaps(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> Dat
         .withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_code_points)
         .select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
-    ordered = keyed.repartitionByRange("h1", "h2", "doc_id", "pos").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    first = ordered.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    lost = ordered.join(first, ["h1", "h2"]).where("doc_id > first_doc")
+    keyed = store.written(keyed, "line-keys")
+    # A hot key has more than a HOT_KEYS-th of all lines, so there are fewer than HOT_KEYS of them.
+    limit = max(HOT_ROWS, keyed.count() // HOT_KEYS)
+    hot = keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hot_doc")).where(F.col("n") > limit).drop("n")
+    marked = keyed.join(F.broadcast(hot), ["h1", "h2"], "left")
+    of_key = Window.partitionBy("h1", "h2").orderBy("doc_id", "pos")
+    ordered = marked.where("hot_doc IS NULL").repartitionByRange("h1", "h2")
+    cold = ordered.withColumn("first_doc", F.first("doc_id").over(of_key)).where("doc_id > first_doc")
+    places = ["doc_id", "text_hash", "pos"]
+    lost = cold.select(places).union(marked.where("doc_id > hot_doc").select(places))
     bits = lost.groupBy("doc_id", "text_hash", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return bits.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("word", F.bitwise_not("bits").alias("bits")))).alias("words"))
 
