@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeloom.llm import chat, langid, lines, media, packing, pieces, shards
+from gaugeloom.llm import chat, langid, lines, media, packing, pieces, shards, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,6 +40,15 @@ def op5_kd_sharding(spark, root):
     return shards.shard_documents(_table(spark, root, "documents"), shards=40)
 
 
+def op7_toxicity(spark, root):
+    docs = _table(spark, root, "documents").select("doc_id", "text")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 3
+    labels = _table(spark, root, "labels")
+    model = toxicity.train(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    got = toxicity.score(docs, model, keep=["doc_id"])
+    return got.select("doc_id", (remainder == 1).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op8_language_id(spark, root):
     docs = _table(spark, root, "documents").select("doc_id", "lang", "text")
     remainder = F.crc32(F.col("doc_id").cast("string")) % 5
@@ -59,6 +68,6 @@ def op10_chat_format(spark, root):
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_line_dedup, op3_audio_features, op4_curve_packing, op5_kd_sharding, op8_language_id, op9_sentencepiece, op10_chat_format)
+    for f in (op2_line_dedup, op3_audio_features, op4_curve_packing, op5_kd_sharding, op7_toxicity, op8_language_id, op9_sentencepiece, op10_chat_format)
 }
 ORACLE_SQL = {"op2_line_dedup": lines.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL}
