@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeloom.llm import chat, langid, lines, media, packing, pieces, shards, toxicity
+from gaugeloom.llm import chat, jaccard, langid, lines, media, packing, pieces, shards, topk, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -18,6 +18,10 @@ def _table(spark, root, name):
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def op1_exact_topk(spark, root):
+    return topk.top_k(_table(spark, root, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op2_line_dedup(spark, root):
     kept = lines.dedup_lines(_table(spark, root, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -40,6 +44,10 @@ def op5_kd_sharding(spark, root):
     return shards.shard_documents(_table(spark, root, "documents"), shards=40)
 
 
+def op6_ngram_jaccard(spark, root):
+    return jaccard.similar_groups(_table(spark, root, "documents"), width=5, num=75, den=100)
+
+
 def op7_toxicity(spark, root):
     docs = _table(spark, root, "documents").select("doc_id", "text")
     remainder = F.crc32(F.col("doc_id").cast("string")) % 3
@@ -68,6 +76,6 @@ def op10_chat_format(spark, root):
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_line_dedup, op3_audio_features, op4_curve_packing, op5_kd_sharding, op7_toxicity, op8_language_id, op9_sentencepiece, op10_chat_format)
+    for f in (op1_exact_topk, op2_line_dedup, op3_audio_features, op4_curve_packing, op5_kd_sharding, op6_ngram_jaccard, op7_toxicity, op8_language_id, op9_sentencepiece, op10_chat_format)
 }
-ORACLE_SQL = {"op2_line_dedup": lines.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL}
+ORACLE_SQL = {"op1_exact_topk": topk.ORACLE_SQL, "op2_line_dedup": lines.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL}
