@@ -32,7 +32,7 @@ from gaugeloom.llm.components import components
 from gaugeloom.llm.words import mix, word_hashes
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
-HOT_GRAMS = 100_000  # n-grams whose frequency is broadcast
+HOT_GRAMS, HOT_FRAGMENTS = 100_000, 8  # n-grams that are broadcast as frequent, and the fragments they make up
 LOCAL_HOT = 2_048  # an n-gram is a candidate for that if it is in so great a part of a batch of texts (and in 8)
 FRAGMENT_GRAMS = 2_000_000
 LEADERS = 4
@@ -141,12 +141,12 @@ def _deal(docs: DataFrame, hot: np.ndarray, fragment_bits: int, width: int) -> D
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "fragment int, keys binary, sizes binary, parts binary, grams binary, hot_parts binary, hot binary")
 
 
-def _shared(dealt: DataFrame, hot_count: int, fragment_bits: int) -> DataFrame:
+def _shared(dealt: DataFrame) -> DataFrame:
     """(key, n, fragment, grams, ranks): of each text's part of a fragment the n-grams that other texts hold too.
 
-    An n-gram is a long: the fragment and the bits that were sent, or for hot
-    ones minus their place. Ranks order them: the number of texts that hold
-    one, as a power of two; hot ones come last, the most frequent at the end.
+    An n-gram is a long: the fragment and the bits that were sent; hot ones
+    have negative numbers and fragments of their own. Ranks order them: the number of texts that hold
+    one, as a power of two; hot ones come last.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -171,15 +171,18 @@ def _shared(dealt: DataFrame, hot_count: int, fragment_bits: int) -> DataFrame:
         rank = np.ceil(np.log2(held)).astype(np.int32)
         hot_owner = np.repeat(np.arange(len(keys)), hot_parts)
         use = first[hot_owner]
+        hot = hot[use]
         owner = np.concatenate([owner, hot_owner[use]])
-        grams = np.concatenate([grams, -1 - hot[use].astype(np.int64)])
-        rank = np.concatenate([rank, 64 + hot[use].astype(np.int32)])
-        order = np.argsort(owner, kind="stable")
-        owner, grams, rank = owner[order], grams[order], rank[order]
-        who = np.unique(owner)
-        ends = np.concatenate([np.searchsorted(owner, who), [len(owner)]]).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (grams, rank)]
-        return pa.table([pa.array(keys[who]), pa.array(sizes[who].astype(np.int64)), pa.array(np.full(len(who), f, np.int32)), *lists], names=["key", "n", "fragment", "grams", "ranks"])
+        place = np.concatenate([np.full(len(grams), f), -1 - hot % HOT_FRAGMENTS])
+        grams = np.concatenate([grams, -1 - hot.astype(np.int64)])
+        rank = np.concatenate([rank, 64 + hot])
+        order = np.lexsort((place, owner))
+        owner, place, grams, rank = owner[order], place[order], grams[order], rank[order]
+        begin = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])])) if len(owner) else np.zeros(0, np.int64)
+        ends = np.concatenate([begin, [len(owner)]]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (grams, rank.astype(np.int32))]
+        who = owner[begin]
+        return pa.table([pa.array(keys[who]), pa.array(sizes[who].astype(np.int64)), pa.array(place[begin].astype(np.int32)), *lists], names=["key", "n", "fragment", "grams", "ranks"])
 
     return dealt.groupBy("fragment").applyInArrow(run, "key long, n long, fragment int, grams array<long>, ranks array<int>")
 
@@ -266,16 +269,15 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, de
     fragment_bits = max(4, (int(total) // FRAGMENT_GRAMS).bit_length())
     counted = scan.where("hot").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT_GRAMS)
     hot = np.sort(np.array([r["key"] for r in counted.collect()], np.int64).view(np.uint64))  # HOT_GRAMS at most
-    parts = store.written(_shared(_deal(docs, hot, fragment_bits, width), len(hot), fragment_bits), "gram-parts")
+    parts = store.written(_shared(_deal(docs, hot, fragment_bits, width)), "gram-parts")
     sums = parts.groupBy("key", "n").agg(F.sum(F.size("grams")).alias("s"))
     able = sums.where(F.col("s") * den >= F.col("n") * num).select("key")
     parts = store.written(parts.join(able, "key", "left_semi"), "gram-able")
     prefixes = store.written(_prefixes(parts, num, den), "gram-prefixes")
 
-    front = prefixes.where(F.col("pos") < F.col("n"))
-    leader = front.groupBy("gram").agg(F.min(F.struct(F.xxhash64("gram", "key").alias("o"), "key", "n")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    leader = prefixes.groupBy("gram").agg(F.min(F.struct(F.xxhash64("gram", "key").alias("o"), "key", "n")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
     leader = store.written(leader.select("gram", F.col("l.key").alias("y"), F.col("l.n").alias("ny"), "c"), "gram-leaders")
-    stars = front.select("gram", F.col("key").alias("x"), F.col("n").alias("nx")).join(leader, "gram").where("x != y")
+    stars = prefixes.select("gram", F.col("key").alias("x"), F.col("n").alias("nx")).join(leader, "gram").where("x != y")
     stars = stars.groupBy("x", "nx").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("x", "y").alias("o"), "y", "ny"))), 1, LEADERS).alias("ys")).select("x", "nx", F.explode("ys").alias("l"))
     stars = store.written(stars.select("x", "nx", F.col("l.y").alias("y"), F.col("l.ny").alias("ny")).select(*_pair("x", "y", "nx", "ny")).distinct().where(_near(num, den)), "gram-stars")
     links = store.written(_linked(stars, parts, num, den), "gram-links")

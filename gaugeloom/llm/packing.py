@@ -27,14 +27,18 @@ ROWS = 256
 CACHE_ENTRIES = 600_000
 
 
+_SIGNS = np.array([[1 if pattern >> d & 1 else -1 for d in range(DIMS)] for pattern in range(1 << DIMS)])
+
+
 def project(hashes: list[np.ndarray]) -> np.ndarray:
     """(documents, DIMS) cells: each dimension adds up a random sign per word; the mean is squashed to BITS bits."""
-    out = np.zeros((len(hashes), DIMS), np.uint32)
-    for k, h in enumerate(hashes):
-        if len(h):
-            signs = (h[:, None] >> np.arange(40, 40 + DIMS, dtype=np.uint64)) & np.uint64(1)
-            out[k] = (np.tanh(3 * (2 * signs.mean(axis=0) - 1)) + 1) * ((1 << BITS) - 1) / 2
-    return out
+    n = np.array([len(h) for h in hashes], np.int64)
+    if not n.sum():
+        return np.full((len(hashes), DIMS), 1 << (BITS - 1), np.uint32)
+    pattern = (np.concatenate(hashes) >> np.uint64(40)).astype(np.int64) & ((1 << DIMS) - 1)
+    seen = np.bincount(np.repeat(np.arange(len(hashes)) << DIMS, n) | pattern, minlength=len(hashes) << DIMS).reshape(len(hashes), -1)
+    mean = seen @ _SIGNS / np.maximum(n, 1)[:, None]
+    return ((np.tanh(3 * mean) + 1) * ((1 << BITS) - 1) / 2).astype(np.uint32)
 
 
 def hilbert(cells: np.ndarray) -> np.ndarray:
@@ -87,6 +91,9 @@ class Tokens:
         self.model = Tokenizer.from_file(path)
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("more than 65,536 ids")
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
@@ -95,21 +102,39 @@ class Tokens:
         """A full stop or comma after a Latin letter is a token of its own."""
         return (word[:-1], word[-1]) if len(word) > 1 and word[-1] in ",." and word[-2] < "\\u0130" and word[-2].isalpha() else (word,)
 
+    @staticmethod
+    def _plain(word: str) -> bool:
+        """One token run: letters only, of scripts whose lower case and composition are letters again."""
+        return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if self._plain(w)]
+        for i in range(0, len(plain), 2_000):  # all in one text: every word ends with the only token of its that ends words
+            part = plain[i : i + 2_000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
+            ends = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            for w, a, b in zip(part, [0, *ends], ends, strict=False):
+                self.new[w] = data[a:b]
+        rest = [w for w in words if not self._plain(w)]
+        for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False)):
+            self.new[w] = array("H", e.ids).tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        rows = [(t or "").replace("\\n", " ").split(" ") for t in texts]
-        new = self.new
-        lacking = {w for r in rows for w in r if w not in new}
-        if lacking:
-            for w in [w for w in lacking if w in self.old]:
-                new[w] = self.old[w]
-                lacking.discard(w)
-            parts = {p for w in lacking for p in self._parts(w)}
-            fresh = list(parts.difference(new))
-            for p, e in zip(fresh, self.model.encode_batch(fresh, add_special_tokens=False)):
-                new[p] = array("H", e.ids).tobytes()
-            for w in lacking:
-                new[w] = b"".join([new[p] for p in self._parts(w)])
-        out = [b"".join([new[w] for w in r]) for r in rows]
+        rows = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        new, old = self.new, self.old
+        lacking = set().union(*rows).difference(new)
+        known = [w for w in lacking if w in old]
+        for w in known:
+            new[w] = old[w]
+        lacking.difference_update(known)
+        split = {w: self._parts(w) for w in lacking}
+        self._learn(list({p for parts in split.values() for p in parts}.difference(new)))
+        for w, parts in split.items():
+            if len(parts) > 1:
+                new[w] = new[parts[0]] + new[parts[1]]
+        get = new.__getitem__
+        out = [b"".join(map(get, r)) for r in rows]
         if len(new) > CACHE_ENTRIES:
             self.old, self.new = new, {"": b""}
         return out

@@ -194,6 +194,6 @@ s AS (
          CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER w <= 20
-WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 20
 """
