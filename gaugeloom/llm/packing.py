@@ -15,15 +15,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeloom.llm import store
 from gaugeloom.llm.words import mix, word_hashes
 
 DIMS, BITS, TIE_BITS = 4, 8, 20
 END = 1
-ROWS = 256
+ROWS = 4_096
+PIECES = 1_024
 CACHE_ENTRIES = 600_000
 
 
@@ -120,41 +123,42 @@ class Tokens:
         for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False)):
             self.new[w] = array("H", e.ids).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        rows = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
         new, old = self.new, self.old
-        lacking = set().union(*rows).difference(new)
-        known = [w for w in lacking if w in old]
-        for w in known:
-            new[w] = old[w]
-        lacking.difference_update(known)
-        split = {w: self._parts(w) for w in lacking}
+        lacking = [w for w in words if w not in new]
+        split = {}
+        for w in lacking:
+            if w in old:
+                new[w] = old[w]
+            else:
+                split[w] = tuple(p.lower() if self._plain(p) else p for p in self._parts(w))
         self._learn(list({p for parts in split.values() for p in parts}.difference(new)))
         for w, parts in split.items():
-            if len(parts) > 1:
-                new[w] = new[parts[0]] + new[parts[1]]
-        get = new.__getitem__
-        out = [b"".join(map(get, r)) for r in rows]
+            new[w] = new[parts[0]] if len(parts) == 1 else new[parts[0]] + new[parts[1]]
+        out = [new[w] for w in words]
         if len(new) > CACHE_ENTRIES:
             self.old, self.new = new, {"": b""}
         return out
 
+    def encode(self, texts: pa.Array) -> pa.BinaryArray:
+        """Each text's ids, 16 bits each. Words are looked up once per call; the ids of the distinct ones are dealt out by Arrow."""
+        rows = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = rows.flatten().dictionary_encode()
+        dealt = pa.array(self._ids(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices)
+        of_word = np.frombuffer(dealt.buffers()[1], np.int32)[dealt.offset :]
+        of_text = of_word[rows.offsets.to_numpy() - rows.offsets[0].as_py()] if len(texts) else np.zeros(1, np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(of_text.astype(np.int32)), dealt.buffers()[2]])
+
 
 @cache
 def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-def curve_bounds(docs: DataFrame, ranges: int) -> list[int]:
+def curve_bounds(encoded: DataFrame, ranges: int) -> list[int]:
     """At most ranges - 1 quantiles of the curve positions of all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(curve_keys(ids, texts))], names=["key"])
-
-    keys = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "key long")
-    row = keys.agg(F.percentile_approx("key", [k / ranges for k in range(1, ranges)] or [0.5], 20 * ranges).alias("q")).first()
+    row = encoded.agg(F.percentile_approx("key", [k / ranges for k in range(1, ranges)] or [0.5], 20 * ranges).alias("q")).first()
     return sorted(set(row["q"] or []))
 
 
@@ -173,17 +177,13 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, ranges: int | Non
     """
     spark = docs.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.array(curve_bounds(docs, 4 * ranges), np.int64)
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokens(tokenizer)
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
-                ids, texts = (c.to_pylist() for c in batch.slice(i, ROWS).columns)
-                keys = curve_keys(ids, texts)
-                body = model.encode(texts)
-                end = np.array([END], np.uint16).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys), pa.array(np.searchsorted(bounds, keys).astype(np.int32)), pa.array([b + end for b in body], pa.binary())], names=["doc_id", "key", "part", "ids"])
+                part = batch.slice(i, ROWS)
+                keys = curve_keys(part.column(0).to_pylist(), part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), model.encode(part.column(1))], names=["doc_id", "key", "ids"])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
@@ -198,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, ranges: int | Non
 
         for batch in batches:
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(body, np.uint16).astype("<u4")
+                ids = np.append(np.frombuffer(body, np.uint16), np.uint16(END)).astype("<u4")
                 at = 0
                 while at < len(ids):
                     n = min(longest - used, len(ids) - at)
@@ -210,7 +210,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, ranges: int | Non
                             out.append((d, s, len(part), part.tobytes(), total, first + sequence, offset))
                             offset += len(part)
                         held, used, sequence = [], 0, sequence + 1
-                if len(out) >= 4 * ROWS:
+                if len(out) >= PIECES:
                     yield rows()
                     out.clear()
         for n in lengths(used, longest):  # what is left over
@@ -225,6 +225,9 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, ranges: int | Non
             sequence += 1
         yield rows()
 
-    encoded = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, key long, part int, ids binary")
-    ordered = encoded.repartition(ranges, "part").sortWithinPartitions("part", "key", "doc_id", "ids")
+    encoded = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, key long, ids binary")
+    encoded = store.written(encoded, "packing-tokens", "lz4_raw")
+    bounds = curve_bounds(encoded, 4 * ranges)
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("key"))) if bounds else F.lit(0)
+    ordered = encoded.withColumn("part", part).repartition(ranges, "part").sortWithinPartitions("part", "key", "doc_id", "ids")
     return ordered.select("doc_id", "ids").mapInArrow(lay, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
