@@ -35,6 +35,8 @@ WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 HOT_GRAMS, HOT_FRAGMENTS = 100_000, 8  # n-grams that are broadcast as frequent, and the fragments they make up
 LOCAL_HOT = 2_048  # an n-gram is a candidate for that if it is in so great a part of a batch of texts (and in 8)
 FRAGMENT_GRAMS = 2_000_000
+SCAN_ROWS, DEAL_ROWS = 4_096, 8_192
+BANDS = 8  # neighbouring fragments that are counted together for a pair
 LEADERS = 4
 GRAM_BYTES = 5
 _STEPS = [np.uint64(pow(0xD1342543DE82EF95, k, 1 << 64)) for k in range(64)]
@@ -70,7 +72,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "key", "n", "hot"]
-        for batch in batches:
+        for batch in (b.slice(i, SCAN_ROWS) for b in batches for i in range(0, b.num_rows, SCAN_ROWS)):
             sets = gram_sets(batch.column(1).to_pylist(), width)
             keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.bool_())], names=names)
@@ -105,7 +107,7 @@ def _deal(docs: DataFrame, hot: np.ndarray, fragment_bits: int, width: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = sent.value
-        for batch in batches:
+        for batch in (b.slice(i, DEAL_ROWS) for b in batches for i in range(0, b.num_rows, DEAL_ROWS)):
             sets = [s for s in gram_sets(batch.column(0).to_pylist(), width) if len(s)]
             if not sets:
                 continue
@@ -187,50 +189,85 @@ def _shared(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("fragment").applyInArrow(run, "key long, n long, fragment int, grams array<long>, ranks array<int>")
 
 
-def _prefixes(parts: DataFrame, num: int, den: int) -> DataFrame:
-    """(gram, key, n, pos): the n-grams one of which a text has in common with any partner, with their place in its order."""
-    whole = parts.groupBy("key", "n").agg(F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("ranks")).alias("ranks"))
+def _prefixes(whole: DataFrame, num: int, den: int) -> DataFrame:
+    """(gram, key, n, pos, alone): the n-grams one of which a text has in common with any partner, with their place in its order.
+
+    alone counts the n-grams that no other text holds; they come before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             for i, (key, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 grams, ranks = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3))
                 alone = n - len(grams)  # these come first in the order and have no partner
                 take = n - _needed(n, num, den) + 1 - alone
                 if take > 0:
                     order = np.lexsort((grams, ranks))[:take]
-                    for o, x in zip(out, (grams[order], np.full(len(order), key), np.full(len(order), n), alone + np.arange(len(order)))):
+                    for o, x in zip(out, (grams[order], np.full(len(order), key), np.full(len(order), n), alone + np.arange(len(order)), np.full(len(order), alone))):
                         o.append(x)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], names=["gram", "key", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], names=["gram", "key", "n", "pos", "alone"])
+
+    return whole.select("key", "n", "grams", "ranks").mapInArrow(run, "gram long, key long, n long, pos long, alone long")
 
-    return whole.mapInArrow(run, "gram long, key long, n long, pos long")
 
+def _bands(whole: DataFrame, fragment_bits: int) -> DataFrame:
+    """(key, band, grams): a text's n-grams by BANDS ranges of fragments; hot ones are dealt over all bands."""
+    shift = 8 * GRAM_BYTES + fragment_bits - BANDS.bit_length() + 1
 
-def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """pairs(a, b) with shared: partial overlaps by fragment, summed per pair."""
-    left = parts.select(F.col("key").alias("a"), "fragment", F.col("grams").alias("left"))
-    right = parts.select(F.col("key").alias("b"), "fragment", F.col("grams").alias("right"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("left", "right")).alias("shared"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                grams = batch.column(1)[i].values.to_numpy(zero_copy_only=False)
+                band = np.where(grams < 0, -grams % BANDS, grams >> shift)
+                order = np.argsort(band, kind="stable")
+                ends = np.searchsorted(band[order], np.arange(BANDS + 1))
+                out += [(key, b, grams[order[ends[b] : ends[b + 1]]]) for b in range(BANDS) if ends[b] < ends[b + 1]]
+            if out:
+                keys, bands, lists = zip(*out)
+                upto = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bands, pa.int32()), pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(lists)))], names=["key", "band", "grams"])
+
+    return whole.select("key", "grams").mapInArrow(run, "key long, band int, grams array<long>")
+
+
+def overlaps(pairs: DataFrame, bands: DataFrame) -> DataFrame:
+    """pairs(a, b) with shared: partial overlaps by band of the order, summed per pair."""
+    left = bands.select(F.col("key").alias("a"), "band", F.col("grams").alias("left"))
+    right = bands.select(F.col("key").alias("b"), "band", F.col("grams").alias("right"))
+    partial = pairs.join(left, "a").join(right, ["b", "band"]).select("a", "b", F.size(F.array_intersect("left", "right")).alias("shared"))
     return partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
-def _linked(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
+def _linked(pairs: DataFrame, bands: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b, na, nb) that reach the threshold."""
-    found = overlaps(pairs.select("a", "b"), parts).join(pairs, ["a", "b"])
+    found = overlaps(pairs.select("a", "b"), bands).join(pairs, ["a", "b"])
     return found.where(F.col("shared") * den >= (F.col("na") + F.col("nb") - F.col("shared")) * num).select("a", "b")
 
 
-def _near(num: int, den: int):
-    return (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-
-
 def _pair(x: str, y: str, nx: str, ny: str) -> list:
     first = F.col(x) < F.col(y)
     return [F.when(first, F.col(p)).otherwise(F.col(q)).alias(n) for p, q, n in ((x, y, "a"), (y, x, "b"), (nx, ny, "na"), (ny, nx, "nb"))]
 
 
+def _stars(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs of a text and a few of the leaders of its prefix n-grams.
+
+    A leader is the text with the smallest share of n-grams of its own, as the
+    original has among its copies; a second one is any. So there are at most
+    2 * LEADERS pairs per text.
+    """
+    ways = {"own": F.struct((F.col("alone") / F.col("n")).alias("o"), F.xxhash64("key").alias("h"), "key", "n"), "any": F.struct(F.lit(0.0).alias("o"), F.xxhash64("gram", "key").alias("h"), "key", "n")}
+    leaders = prefixes.groupBy("gram").agg(*[F.min(x).alias(w) for w, x in ways.items()], F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    met = prefixes.select("gram", F.col("key").alias("x"), F.col("n").alias("nx")).join(store.written(leaders, "gram-leaders"), "gram")
+    fair = lambda l: (F.col("nx") * den >= l["n"] * num) & (l["n"] * den >= F.col("nx") * num) & (l["key"] != F.col("x"))
+    best = met.groupBy("x", "nx").agg(*[F.slice(F.array_sort(F.collect_set(F.when(fair(F.col(w)), F.col(w)))), 1, LEADERS).alias(w) for w in ways])
+    pairs = best.select("x", "nx", F.explode(F.concat(*ways)).alias("l")).select("x", "nx", F.col("l.key").alias("y"), F.col("l.n").alias("ny"))
+    return pairs.select(*_pair("x", "y", "nx", "ny")).distinct()
+
+
 def _across(prefixes: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs whose ends are in different clusters.
 
@@ -266,24 +303,20 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, de
     scan = store.written(_scan(docs, width), "gram-scan")
     members = scan.where("hot IS NULL").select("doc_id", "key", "n")
     total = members.agg(F.sum("n")).first()[0] or 0
-    fragment_bits = max(4, (int(total) // FRAGMENT_GRAMS).bit_length())
+    fragment_bits = max(4, (int(total) // FRAGMENT_GRAMS).bit_length())  # BANDS is no more than that
     counted = scan.where("hot").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT_GRAMS)
     hot = np.sort(np.array([r["key"] for r in counted.collect()], np.int64).view(np.uint64))  # HOT_GRAMS at most
-    parts = store.written(_shared(_deal(docs, hot, fragment_bits, width)), "gram-parts")
-    sums = parts.groupBy("key", "n").agg(F.sum(F.size("grams")).alias("s"))
-    able = sums.where(F.col("s") * den >= F.col("n") * num).select("key")
-    parts = store.written(parts.join(able, "key", "left_semi"), "gram-able")
-    prefixes = store.written(_prefixes(parts, num, den), "gram-prefixes")
-
-    leader = prefixes.groupBy("gram").agg(F.min(F.struct(F.xxhash64("gram", "key").alias("o"), "key", "n")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    leader = store.written(leader.select("gram", F.col("l.key").alias("y"), F.col("l.n").alias("ny"), "c"), "gram-leaders")
-    stars = prefixes.select("gram", F.col("key").alias("x"), F.col("n").alias("nx")).join(leader, "gram").where("x != y")
-    stars = stars.groupBy("x", "nx").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("x", "y").alias("o"), "y", "ny"))), 1, LEADERS).alias("ys")).select("x", "nx", F.explode("ys").alias("l"))
-    stars = store.written(stars.select("x", "nx", F.col("l.y").alias("y"), F.col("l.ny").alias("ny")).select(*_pair("x", "y", "nx", "ny")).distinct().where(_near(num, den)), "gram-stars")
-    links = store.written(_linked(stars, parts, num, den), "gram-links")
+    parts = _shared(_deal(docs, hot, fragment_bits, width))
+    whole = parts.groupBy("key", "n").agg(F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("ranks")).alias("ranks"))
+    whole = store.written(whole.where(F.size("grams") * den >= F.col("n") * num), "gram-shared")
+    prefixes = store.written(_prefixes(whole, num, den), "gram-prefixes")
+    bands = store.written(_bands(whole, fragment_bits), "gram-bands")
+
+    stars = store.written(_stars(prefixes, num, den), "gram-stars")
+    links = store.written(_linked(stars, bands, num, den), "gram-links")
     clusters = components(links).withColumnRenamed("node", "key")
     cross = store.written(_across(prefixes, clusters, num, den), "gram-across")
-    more = _linked(cross, parts, num, den)
+    more = _linked(cross, bands, num, den)
     labels = store.written(components(store.written(links.union(more), "gram-all-links")).withColumnRenamed("node", "key"), "gram-components")
 
     nodes = members.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least")).join(labels, "key", "left")
