@@ -34,8 +34,9 @@ from gaugeloom.llm.words import mix, word_hashes
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 HOT_GRAMS, HOT_FRAGMENTS = 100_000, 8  # n-grams that are broadcast as frequent, and the fragments they make up
 LOCAL_HOT = 2_048  # an n-gram is a candidate for that if it is in so great a part of a batch of texts (and in 8)
-FRAGMENT_GRAMS = 2_000_000
-SCAN_ROWS, DEAL_ROWS = 4_096, 8_192
+FRAGMENT_GRAMS = 12_000_000
+SLICE_BITS = 3  # a fragment is sorted in so many parts as these bits tell apart, to bound memory
+SCAN_ROWS, DEAL_ROWS = 4_096, 2_048
 BANDS = 8  # neighbouring fragments that are counted together for a pair
 LEADERS = 4
 GRAM_BYTES = 5
@@ -143,6 +144,17 @@ def _deal(docs: DataFrame, hot: np.ndarray, fragment_bits: int, width: int) -> D
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "fragment int, keys binary, sizes binary, parts binary, grams binary, hot_parts binary, hot binary")
 
 
+def _held_twice(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, gram, owners) of the n-grams that more than one text holds."""
+    order = np.argsort(grams, kind="stable")
+    ordered = grams[order]
+    edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    runs = np.diff(np.concatenate([edge, [len(ordered)]]))
+    held = np.repeat(runs, runs)
+    use = held > 1
+    return owner[order[use]], ordered[use], held[use]
+
+
 def _shared(dealt: DataFrame) -> DataFrame:
     """(key, n, fragment, grams, ranks): of each text's part of a fragment the n-grams that other texts hold too.
 
@@ -159,17 +171,12 @@ def _shared(dealt: DataFrame) -> DataFrame:
         _, once = np.unique(keys, return_index=True)  # equal texts from other batches
         first = np.zeros(len(keys), bool)
         first[once] = True
-        owner = np.repeat(np.arange(len(keys)), parts)
+        owner = np.repeat(np.arange(len(keys), dtype=np.int32), parts)
         use = first[owner]
         grams, owner = grams[use], owner[use]
-        order = np.argsort(grams, kind="stable")
-        ordered = grams[order]
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-        held = np.empty(len(grams), np.int64)
-        runs = np.diff(np.concatenate([edge, [len(ordered)]]))
-        held[order] = np.repeat(runs, runs)
-        use = held > 1
-        owner, grams, held = owner[use], grams[use].astype(np.int64) + (f << (8 * GRAM_BYTES)), held[use]
+        found = [_held_twice(grams[part], owner[part]) for k in range(1 << SLICE_BITS) if len(part := np.flatnonzero(grams >> np.uint64(8 * GRAM_BYTES - SLICE_BITS) == k))]
+        owner, grams, held = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(3))
+        grams = grams.astype(np.int64) + (f << (8 * GRAM_BYTES))
         rank = np.ceil(np.log2(held)).astype(np.int32)
         hot_owner = np.repeat(np.arange(len(keys)), hot_parts)
         use = first[hot_owner]
@@ -303,7 +310,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, de
     scan = store.written(_scan(docs, width), "gram-scan")
     members = scan.where("hot IS NULL").select("doc_id", "key", "n")
     total = members.agg(F.sum("n")).first()[0] or 0
-    fragment_bits = max(4, (int(total) // FRAGMENT_GRAMS).bit_length())  # BANDS is no more than that
+    fragment_bits = max(4, (-(-int(total) // FRAGMENT_GRAMS) - 1).bit_length())  # BANDS is no more than that
     counted = scan.where("hot").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT_GRAMS)
     hot = np.sort(np.array([r["key"] for r in counted.collect()], np.int64).view(np.uint64))  # HOT_GRAMS at most
     parts = _shared(_deal(docs, hot, fragment_bits, width))
