@@ -108,6 +108,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, sharp
     The score is the posterior of a text of `sharpness` n-grams with the
     text's mean log-probabilities, from 0 to 1. Null texts, texts without a
     letter and any text under a model without languages get `und` and 0.
+    Columns of docs named lang_pred and score are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -125,6 +126,6 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, sharp
                     pred[k], score[k] = m.languages[best], float(row[best])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    kept = docs.columns if keep is None else keep
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
     return docs.select(*kept, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")

@@ -59,14 +59,16 @@ def keep_bitmaps(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> Dat
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs and n_lines, n_dropped, kept (the text of the lines that stay)."""
+    """docs and n_lines, n_dropped, kept (the text of the lines that stay); columns of these names are replaced."""
     b = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.map_from_entries("words").alias("_words"))
-    joined = docs.withColumn("_text_hash", F.xxhash64("text")).join(b, (F.col("doc_id") == F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_text_hash"))
+    joined = base.join(b, (F.col("doc_id") == F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
     lines = _lines(F.col("text"))
-    stays = F.filter(lines, lambda x, i: F.coalesce(F.getbit(F.try_element_at("_words", F.expr("1") * (i / 64).cast("int")), i % 64), F.lit(1).cast("byte")) == 1)
+    stays = F.filter(lines, lambda x, i: F.coalesce(F.getbit(F.try_element_at("_words", (i / 64).cast("int")), i % 64), F.lit(1).cast("byte")) == 1)
     kept = F.when(F.col("_words").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stays, "\n"))
     dropped = F.coalesce(F.aggregate(F.map_values("_words"), F.lit(0), lambda a, x: a + 64 - F.bit_count(x)), F.lit(0))
-    return joined.select(*[docs[c] for c in docs.columns], F.size(lines).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("kept"))
+    own = {"n_lines": F.size(lines).cast("long"), "n_dropped": dropped.cast("long"), "kept": kept}
+    return joined.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in own], *[v.alias(k) for k, v in own.items()])
 
 
 def dedup_lines(docs: DataFrame, min_code_points: int = MIN_CODE_POINTS) -> DataFrame:

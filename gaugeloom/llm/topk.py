@@ -77,6 +77,18 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64) if most < 2**53 else a @ b.T
 
 
+def _first(score: np.ndarray, rank: np.ndarray, k: int, ranks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's k largest scores with their ranks, smaller ranks first among equals."""
+    none = score == NONE
+    if np.abs(np.where(none, 0, score)).max(initial=0) < (1 << 62) // ranks:  # both in one number
+        both = np.where(none, NONE, score * ranks - rank)
+        top = -np.sort(-np.partition(both, both.shape[1] - k, axis=1)[:, -k:], axis=1)
+        value = -(-top // ranks)
+        return np.where(top == NONE, NONE, value), np.where(top == NONE, 0, value * ranks - top)
+    order = np.lexsort((rank, ~score), axis=1)[:, :k]  # ~x falls as x grows, without overflow
+    return np.take_along_axis(score, order, axis=1), np.take_along_axis(rank, order, axis=1)
+
+
 def search_cell(queries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query ids, ids, scores, blocks scored) of the best k per query that reach its floor.
 
@@ -91,26 +103,22 @@ def search_cell(queries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], blocks
         every = np.sort(np.concatenate([b[0] for b in mine]))
         bound = _product(np.maximum(q, 0), np.stack([b[2] for b in mine])) + _product(np.minimum(q, 0), np.stack([b[3] for b in mine]))
         order = np.argsort(-bound, axis=1, kind="stable")
-        # A score and the rank of the id in one number: larger is better, and no two are equal but for repeated ids.
-        base = np.int64(len(every) + 1)
-        best = np.full((len(q), k), NONE)
+        best, rank = np.full((len(q), k), NONE), np.zeros((len(q), k), np.int64)
         for step in range(len(mine)):
             at = order[:, step]
-            kth = np.maximum(floor, np.where(best[:, -1] == NONE, NONE, -(-best[:, -1] // base)))
-            live = bound[np.arange(len(q)), at] >= kth
+            live = bound[np.arange(len(q)), at] >= np.maximum(floor, best[:, -1])
             if not live.any():
                 break
             for b in np.unique(at[live]):
                 rows = np.flatnonzero(live & (at == b))
                 ids, m = mine[b][0], mine[b][1]
                 scored += len(rows)
-                score = _product(q[rows], m) * base - np.searchsorted(every, ids)
+                score = _product(q[rows], m)
                 score[q_ids[rows][:, None] == ids[None, :]] = NONE
-                both = np.concatenate([best[rows], score], axis=1)
-                best[rows] = -np.sort(-np.partition(both, both.shape[1] - k, axis=1)[:, -k:], axis=1)
-        value = -(-best // base)
-        keep = (best != NONE) & (value >= floor[:, None])
-        out.append((np.repeat(q_ids, keep.sum(axis=1)), every[(value * base - best)[keep]], value[keep]))
+                place = np.broadcast_to(np.searchsorted(every, ids), score.shape)
+                best[rows], rank[rows] = _first(np.concatenate([best[rows], score], axis=1), np.concatenate([rank[rows], place], axis=1), k, len(every) + 1)
+        keep = (best != NONE) & (best >= floor[:, None])
+        out.append((np.repeat(q_ids, keep.sum(axis=1)), every[rank[keep]], best[keep]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     return *(np.concatenate(x) for x in zip(*out)), scored
@@ -165,6 +173,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> Da
     another length than the query's are no candidates. Rows are told apart by
     vec_id: one never answers itself, and repeated rows are one row. With fewer
     than k candidates all are returned; an empty table gives an empty result.
+    Scores must fit 64 bits.
     """
     vectors = rows.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), quantized(F.col("embedding"), scale).alias("v"), is_query.alias("asks")).where("v IS NOT NULL")
     vectors = store.written(vectors.dropDuplicates(["vec_id"]), "top-vectors")
