@@ -62,12 +62,20 @@ def _cut(text: Column) -> Column:
 
 
 def classify_error(pattern: Column, severity: Column) -> Column:
-    """The family of a message; panics are data corruption, and fatal messages of no family are system errors."""
-    low = F.lower(pattern)
-    out = F.when(severity == "PANIC", "data_corruption").when(low.contains("terminated by signal") & low.contains(": killed"), "resource")
-    for family, phrases in FAMILIES.items():
-        out = out.when(reduce(lambda a, b: a | b, (low.contains(p) for p in phrases)), family)
-    return out.when(severity == "FATAL", "system").otherwise("other")
+    """The family of a message; panics are data corruption, and fatal messages of no family are system errors.
+
+    The pattern is bound as a lambda's variable, so that it is computed once
+    however many phrases are looked for.
+    """
+
+    def family(low: Column) -> Column:
+        out = F.when(low.contains("terminated by signal") & low.contains(": killed"), "resource")
+        for name, phrases in FAMILIES.items():
+            out = out.when(reduce(lambda a, b: a | b, (low.contains(p) for p in phrases)), name)
+        return out
+
+    found = F.get(F.transform(F.array(F.lower(pattern)), family), F.lit(0))
+    return F.when(severity == "PANIC", "data_corruption").otherwise(F.coalesce(found, F.when(severity == "FATAL", "system"), F.lit("other")))
 
 
 # stderr lines of a database server: time, process, severity, message.

@@ -74,4 +74,4 @@ def derived(metrics: dict[str, Callable[[Get, Get], Column]], columns: set[str])
 
 def cpu_capacity(quota: Column, period: Column, cpus: Column) -> Column:
     """CPUs that a group may use: all of its set without a quota, else no more than quota / period."""
-    return F.when(quota == -1, cpus.cast("double")).when((quota > 0) & (period > 0), F.least(quota / period, cpus.cast("double")))
+    return F.when(quota == -1, cpus.cast("double")).when((quota > 0) & (period > 0) & cpus.isNotNull(), F.least(quota / period, cpus.cast("double")))

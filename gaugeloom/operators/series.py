@@ -67,7 +67,8 @@ def postgres_penalty(active: Column, cpus: Column) -> Column:
 def overall_health(os: Column, penalty: Column, enabled: Column | None = None) -> Column:
     """OS health less the penalty, not below 0; unknown if a part that counts is."""
     cost = penalty if enabled is None else F.when(enabled, penalty).otherwise(0)
-    return F.greatest(F.lit(0), os - cost)
+    left = os - cost
+    return F.when(left < 0, 0).otherwise(left)
 
 
 def tps(df: DataFrame, database: str, commits: str, rollbacks: str, ts: str = "ts") -> DataFrame:

@@ -100,7 +100,7 @@ def health_score(spark, root):
 
 @query(f"""
 WITH {REC}, {PSI}, a AS (SELECT (ts - {EPOCH}) // {HOUR} * {HOUR} + {EPOCH} AS ts, count(*) AS active FROM rec GROUP BY 1)
-SELECT h.ts, CAST(greatest(0, os_health - CASE WHEN active <= 8 THEN 0 ELSE round(100.0 * (active - 8) / active) END) AS INTEGER) AS health FROM h JOIN a USING (ts)
+SELECT h.ts, CASE WHEN os_health IS NOT NULL THEN CAST(greatest(0, os_health - CASE WHEN active <= 8 THEN 0 ELSE round(100.0 * (active - 8) / active) END) AS INTEGER) END AS health FROM h JOIN a USING (ts)
 """)
 def overall_health(spark, root):
     hour = (F.floor((F.col("ts") - EPOCH) / HOUR) * HOUR + EPOCH).cast("long")

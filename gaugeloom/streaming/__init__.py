@@ -1 +1 @@
-
+"""Streaming twins of batch operators."""
