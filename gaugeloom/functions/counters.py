@@ -57,13 +57,22 @@ def moments(df: DataFrame, at: int, by: list[str] | None = None, ts: str = "ts")
     return current.join(previous, [*by, "current_ts"], "left")
 
 
+def neighbours(at: DataFrame, values: list[str], ts: str, width: int) -> DataFrame:
+    """Rows (one per time) with the row before: inside spans of `width`, and across them by the last row of the span before."""
+    part = at.withColumn("_p", F.floor(F.col(ts) / width))
+    last = part.groupBy("_p").agg(F.max_by(F.struct(ts, *values), ts).alias("_l"))
+    carried = last.withColumn("_c", F.lag("_l").over(Window.orderBy("_p"))).select("_p", "_c")  # a row per span
+    w = Window.partitionBy("_p").orderBy(ts)
+    out = part.join(carried, "_p").withColumn("_b", F.coalesce(F.lag(F.struct(ts, *values)).over(w), F.col("_c")))
+    return out.select(*at.columns, F.col(f"_b.{ts}").alias("prev_ts"), *[F.col(f"_b.{v}").alias(f"prev_{v}") for v in values])
+
+
 def predecessor(df: DataFrame, identity: list[str], values: list[str], ts: str = "ts") -> DataFrame:
     """Rows with the values that the same entity had in the moment right before, not merely earlier.
 
     An entity that was absent from that moment has none. Moments are the
-    distinct times of df, numbered by a window over them alone.
+    distinct times of df; they are chained day by day.
     """
-    times = df.select(ts).distinct()
-    chain = times.withColumn("_prev", F.lag(ts).over(Window.orderBy(ts)))
+    chain = neighbours(df.select(ts).distinct(), [], ts, 86_400_000_000).withColumnRenamed("prev_ts", "_prev")
     before = df.select(*identity, F.col(ts).alias("_prev"), *[F.col(v).alias(f"prev_{v}") for v in values])
     return df.join(chain, ts).join(before, [*identity, "_prev"], "left").withColumnRenamed("_prev", "prev_ts")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import time
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +34,11 @@ class TimeRange:
     def holds(self, ts: str = "ts") -> Column:
         return (F.col(ts) >= self.start) & (F.col(ts) < self.stop)
 
+    def holds_raw(self, column: str) -> Column:
+        """The same condition on a timestamp column without zone, in a form that reaches the scan."""
+        at = lambda us: F.lit(datetime(1970, 1, 1) + timedelta(microseconds=us)).cast("timestamp_ntz")
+        return (F.col(column).cast("timestamp_ntz") >= at(self.start)) & (F.col(column).cast("timestamp_ntz") < at(self.stop))
+
     def bounds(self, columns: int) -> list[int]:
         """Starts of `columns` equal parts, and the end."""
         return [self.start + (self.stop - self.start) * j // columns for j in range(columns + 1)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeloom.functions.counters import adjacent, delta
+from gaugeloom.functions.counters import adjacent, delta, neighbours
 
 PRESSURE = ("cpu", "memory", "io")
 
@@ -16,16 +16,6 @@ def sum_then_rate(df: DataFrame, value: str, width: int, ts: str = "ts") -> Data
     return neighbours(at, [value], ts, width).withColumn("rate", F.when(F.col(f"prev_{value}").isNotNull() & (F.col(value) >= F.col(f"prev_{value}")), (F.col(value) - F.col(f"prev_{value}")).cast("double") / ((F.col(ts) - F.col("prev_ts")) / 1_000_000)))
 
 
-def neighbours(at: DataFrame, values: list[str], ts: str, width: int) -> DataFrame:
-    """Rows (one per time) with the row before: inside spans of `width`, and across them by the last row of the span before."""
-    part = at.withColumn("_p", F.floor(F.col(ts) / width))
-    last = part.groupBy("_p").agg(F.max_by(F.struct(ts, *values), ts).alias("_l"))
-    carried = last.withColumn("_c", F.lag("_l").over(Window.orderBy("_p"))).select("_p", "_c")  # a row per span
-    w = Window.partitionBy("_p").orderBy(ts)
-    out = part.join(carried, "_p").withColumn("_b", F.coalesce(F.lag(F.struct(ts, *values)).over(w), F.col("_c")))
-    return out.select(*at.columns, F.col(f"_b.{ts}").alias("prev_ts"), *[F.col(f"_b.{v}").alias(f"prev_{v}") for v in values])
-
-
 def process_summary(df: DataFrame, entity: str, value: str, weight: str, ts: str = "ts") -> DataFrame:
     """Per moment: entities, those with a usable change, the sum of changes and the weighted sum of values; null if nothing is known."""
     rows = adjacent(df, [entity], value, ts)

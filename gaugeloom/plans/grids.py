@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeloom.functions import tristate
 from gaugeloom.operators import heatmap
-from gaugeloom.plans.registry import REC, SPAN, query, recorded
+from gaugeloom.plans.registry import REC, SPAN, gauges, query, recorded
 from gaugeloom.sources.tables import table
 
 COLUMNS, TOP = 48, 10
@@ -29,7 +29,7 @@ FROM r WHERE rank <= {TOP}"""
 
 @query(_ranking(GAUGE, "max"))
 def ranking_gauge_max(spark, root):
-    return heatmap.ranking(recorded(spark, root).drop("counter"), "user_id", "cents", "gauge", SPAN, TOP)
+    return heatmap.ranking(gauges(spark, root, SPAN), "user_id", "cents", "gauge", SPAN, TOP)
 
 
 @query(_ranking(COUNTER, "sum"))
@@ -64,7 +64,7 @@ r AS (SELECT user_id, CAST(row_number() OVER (ORDER BY total DESC NULLS LAST, CA
 SELECT rank, user_id, col, arg_max(v, ts) AS cell FROM p JOIN r USING (user_id) WHERE rank <= {TOP} GROUP BY ALL
 """)
 def grid_gauge_last(spark, root):
-    return heatmap.grid(recorded(spark, root).drop("counter"), "user_id", "cents", "gauge", SPAN, COLUMNS, TOP)
+    return heatmap.grid(gauges(spark, root, SPAN), "user_id", "cents", "gauge", SPAN, COLUMNS, TOP)
 
 
 @query(f"""
@@ -95,7 +95,7 @@ r AS (SELECT *, CAST(row_number() OVER (ORDER BY total DESC NULLS LAST, first) A
 SELECT rank, event_type, members, r.total, col, CAST(sum(cell) AS BIGINT) AS cell FROM l JOIN g USING (user_id) JOIN r USING (event_type) WHERE rank <= 3 GROUP BY ALL
 """)
 def grid_grouped(spark, root):
-    return heatmap.grouped_grid(recorded(spark, root).drop("counter"), "user_id", "event_type", "cents", "gauge", SPAN, COLUMNS, 3)
+    return heatmap.grouped_grid(gauges(spark, root, SPAN), "user_id", "event_type", "cents", "gauge", SPAN, COLUMNS, 3)
 
 
 @query(f"""
@@ -104,12 +104,12 @@ m AS (SELECT user_id, CAST(s AS DOUBLE) / (SELECT count(DISTINCT ts) FROM rec WH
 SELECT user_id, mean, CAST(row_number() OVER (ORDER BY mean DESC, CAST(user_id AS VARCHAR)) AS INTEGER) AS rank FROM m QUALIFY rank <= {TOP}
 """)
 def grid_shared_mean(spark, root):
-    return heatmap.shared_mean(recorded(spark, root).drop("counter"), "user_id", "cents", SPAN, TOP)
+    return heatmap.shared_mean(gauges(spark, root, SPAN), "user_id", "cents", SPAN, TOP)
 
 
 @query(f"WITH {REC} SELECT user_id, arg_max(event_type, ts) AS event_type FROM rec WHERE event_type <> 'click' GROUP BY 1")
 def latest_label(spark, root):
-    e = recorded(spark, root).drop("counter").withColumn("event_type", F.when(F.col("event_type") != "click", F.col("event_type")))
+    e = gauges(spark, root).withColumn("event_type", F.when(F.col("event_type") != "click", F.col("event_type")))
     return heatmap.latest_label(e, "user_id", "event_type")
 
 
@@ -118,5 +118,5 @@ WITH {REC}, c AS (SELECT user_id, max(cents) AS v FROM rec GROUP BY 1), m AS (SE
 SELECT user_id, CASE WHEN v <= 0 THEN 0 ELSE CAST(least(6, greatest(1, ceil(6 * sqrt(CAST(v AS DOUBLE) / m)))) AS INTEGER) END AS step FROM c, m
 """)
 def heatmap_intensity(spark, root):
-    c = recorded(spark, root).groupBy("user_id").agg(F.max("cents").alias("v"))
+    c = gauges(spark, root).groupBy("user_id").agg(F.max("cents").alias("v"))
     return c.crossJoin(F.broadcast(c.agg(F.max("v").alias("m")))).select("user_id", heatmap.intensity(F.col("v"), F.col("m")).alias("step"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugeloom.functions import logs
 from gaugeloom.functions.timeutil import HOUR
 from gaugeloom.operators import events
-from gaugeloom.plans.registry import AT, DAY, EPOCH, REC, query, recorded
+from gaugeloom.plans.registry import AT, DAY, EPOCH, REC, gauges, query, recorded
 from gaugeloom.sources.tables import table
 
 START = EPOCH + 10 * DAY
@@ -21,7 +21,7 @@ GROUPED = "x AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 1 ELSE event_id % 4 E
 
 
 def _weighted(spark, root):
-    return recorded(spark, root).drop("counter").withColumn("count", F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 4))
+    return gauges(spark, root).withColumn("count", F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 4))
 
 
 @query(f"""
@@ -62,7 +62,7 @@ WITH {REC}, w AS (SELECT user_id, ts, event_id AS holders FROM rec WHERE event_t
 SELECT a.event_id, a.user_id, a.ts, holders FROM a ASOF LEFT JOIN w ON a.user_id = w.user_id AND a.ts >= w.ts
 """)
 def lock_acquired_match(spark, root):
-    e = recorded(spark, root).drop("counter").withColumn("holders", F.col("event_id"))
+    e = gauges(spark, root).withColumn("holders", F.col("event_id"))
     return events.lock_matches(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), ["user_id"], "holders")
 
 

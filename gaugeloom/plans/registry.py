@@ -39,11 +39,16 @@ def query(sql: str | None = None):
     return keep
 
 
+def gauges(spark: SparkSession, root: str, span: TimeRange | None = None) -> DataFrame:
+    """The events as a recorded section without the counter; a range of time is left to the scan."""
+    rows = table(spark, root, "events")
+    rows = rows if span is None else rows.where(span.holds_raw("ts"))
+    return rows.select("event_id", ts_us("ts").alias("ts"), "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+
+
 def recorded(spark: SparkSession, root: str) -> DataFrame:
     """The events as a recorded section: ts in microseconds, identity user_id, gauge cents, counter."""
-    cents = F.round(F.col("value") * 100).cast("long")
-    rows = table(spark, root, "events").select("event_id", ts_us("ts").alias("ts"), "user_id", "event_type", cents.alias("cents"))
-    return rows.withColumn("counter", F.sum("cents").over(Window.partitionBy("user_id").orderBy("ts", "event_id")) % MODULUS)
+    return gauges(spark, root).withColumn("counter", F.sum("cents").over(Window.partitionBy("user_id").orderBy("ts", "event_id")) % MODULUS)
 
 
-from gaugeloom.plans import grids, logs, relations, sections, sequences, snapshots  # noqa: E402, F401
+from gaugeloom.plans import grids, logs, processes, relations, sections, sequences, snapshots  # noqa: E402, F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugeloom.functions import tristate
 from gaugeloom.functions.timeutil import ts_us
 from gaugeloom.operators import relations
-from gaugeloom.plans.registry import REC, query, recorded
+from gaugeloom.plans.registry import REC, gauges, query
 from gaugeloom.sources.tables import table
 
 #: Changes of a customer's order totals, in cents; unknown where they fell or are the first.
@@ -114,7 +114,7 @@ g AS (SELECT ts, sum(step) AS step, sum(new) AS new FROM s GROUP BY 1)
 SELECT ts, CAST(sum(new) OVER (ORDER BY ts) AS BIGINT) AS parts, CAST(sum(step) OVER (ORDER BY ts) AS BIGINT) AS cents FROM g
 """)
 def latest_merge(spark, root):
-    return relations.latest_of_each(recorded(spark, root).drop("counter"), "event_type", ["cents"])
+    return relations.latest_of_each(gauges(spark, root), "event_type", ["cents"])
 
 
 HISTORY = (883_612_800_000_000, 946_684_800_000_000)  # 1998 and 1999

@@ -9,7 +9,7 @@ from gaugeloom.functions import ratios
 from gaugeloom.functions.counters import adjacent, predecessor, rate
 from gaugeloom.functions.timeutil import HOUR, ts_us
 from gaugeloom.operators import detect, sequence, series
-from gaugeloom.plans.registry import DAY, EPOCH, REC, query, recorded
+from gaugeloom.plans.registry import DAY, EPOCH, REC, gauges, query, recorded
 from gaugeloom.sources.tables import table
 
 
@@ -39,7 +39,7 @@ SELECT event_id, user_id, CASE WHEN ts > p AND n >= b THEN CAST(n - b AS DOUBLE)
 """)
 def tps_by_entity(spark, root):
     nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts"))
-    rows = recorded(spark, root).drop("counter").withColumn("commits", nth * 2).withColumn("rollbacks", nth)
+    rows = gauges(spark, root).withColumn("commits", nth * 2).withColumn("rollbacks", nth)
     return series.tps(rows, "user_id", "commits", "rollbacks").select("event_id", "user_id", "tps")
 
 
@@ -49,7 +49,7 @@ a AS (SELECT ts, CAST(cents AS BIGINT) AS cents, CAST(lag(cents) OVER (ORDER BY
 SELECT ts, cents, CASE WHEN cents >= b THEN CAST(cents - b AS DOUBLE) / ((ts - p) / 1000000.0::DOUBLE) END AS rate FROM a
 """)
 def sum_then_rate(spark, root):
-    hourly = recorded(spark, root).drop("counter").withColumn("ts", (F.floor(F.col("ts") / HOUR) * HOUR).cast("long"))
+    hourly = gauges(spark, root).withColumn("ts", (F.floor(F.col("ts") / HOUR) * HOUR).cast("long"))
     return series.sum_then_rate(hourly, "cents", DAY).select("ts", "cents", "rate")
 
 
@@ -64,7 +64,7 @@ def process_summary(spark, root):
 
 def _daily(spark, root):
     day = (F.floor(F.col("ts") / DAY) * DAY).cast("long")
-    return recorded(spark, root).drop("counter").groupBy(day.alias("ts"), "user_id").agg(F.max("cents").alias("cents"))
+    return gauges(spark, root).groupBy(day.alias("ts"), "user_id").agg(F.max("cents").alias("cents"))
 
 
 @query(f"""
@@ -86,7 +86,7 @@ h AS (SELECT ts, CASE WHEN dc >= 0 AND dm >= 0 AND di >= 0 THEN CAST(100 - (leas
 
 def _health(spark, root):
     hour = (F.floor((F.col("ts") - EPOCH) / HOUR) * HOUR + EPOCH).cast("long")
-    sums = recorded(spark, root).drop("counter").groupBy(hour.alias("ts"), "event_type").agg((F.sum("cents") * 40_000).alias("v"))
+    sums = gauges(spark, root).groupBy(hour.alias("ts"), "event_type").agg((F.sum("cents") * 40_000).alias("v"))
     grown = sums.withColumn("v", F.sum("v").over(Window.partitionBy("event_type").orderBy("ts")))
     of = lambda t: F.max(F.when(F.col("event_type") == t, F.col("v")))
     wide = grown.groupBy("ts").agg(of("click").alias("cpu"), of("view").alias("memory"), of("error").alias("io"))
@@ -104,7 +104,7 @@ SELECT h.ts, CASE WHEN os_health IS NOT NULL THEN CAST(greatest(0, os_health - C
 """)
 def overall_health(spark, root):
     hour = (F.floor((F.col("ts") - EPOCH) / HOUR) * HOUR + EPOCH).cast("long")
-    active = recorded(spark, root).drop("counter").groupBy(hour.alias("ts")).agg(F.count(F.lit(1)).alias("active"))
+    active = gauges(spark, root).groupBy(hour.alias("ts")).agg(F.count(F.lit(1)).alias("active"))
     return _health(spark, root).join(active, "ts").select("ts", series.overall_health(F.col("os_health"), series.postgres_penalty(F.col("active"), F.lit(4.0))).cast("int").alias("health"))
 
 
@@ -120,7 +120,7 @@ def capacity_asof(spark, root):
 
 @query(f"WITH {REC} SELECT 'slow_query' AS detector, CAST(user_id AS VARCHAR) || '/' || event_type AS entity, ts FROM rec WHERE cents >= 5000")
 def detect_threshold(spark, root):
-    e = recorded(spark, root).drop("counter").withColumn("max_duration_ms", F.col("cents"))
+    e = gauges(spark, root).withColumn("max_duration_ms", F.col("cents"))
     return detect.crossing(e, "slow_query", detect.THRESHOLDS["slow_query"], ["user_id", "event_type"])
 
 
@@ -145,7 +145,7 @@ def findings_capped(spark, root):
 WITH {REC} SELECT event_type, min(cents) AS least, max(cents) AS most, arg_max(cents, ts) AS latest, quantile_disc(cents, 0.5) AS p50, quantile_disc(cents, 0.9) AS p90, quantile_disc(cents, 0.99) AS p99 FROM rec GROUP BY 1
 """)
 def series_percentiles(spark, root):
-    return sequence.statistics(recorded(spark, root).drop("counter"), ["event_type"], "cents")
+    return sequence.statistics(gauges(spark, root), ["event_type"], "cents")
 
 
 @query(f"""
@@ -153,7 +153,7 @@ WITH {REC}, a AS (SELECT user_id, cents, ts - lag(ts) OVER (PARTITION BY user_id
 SELECT user_id, CAST(sum(CAST(cents AS HUGEINT) * t) AS DOUBLE) / 1000000 AS integral FROM a GROUP BY 1
 """)
 def rate_integral(spark, root):
-    return sequence.integral(recorded(spark, root).drop("counter").withColumn("cents", F.col("cents").cast("decimal(12,0)")), ["user_id"], "cents").select("user_id", F.col("integral").cast("double").alias("integral"))
+    return sequence.integral(gauges(spark, root).withColumn("cents", F.col("cents").cast("decimal(12,0)")), ["user_id"], "cents").select("user_id", F.col("integral").cast("double").alias("integral"))
 
 
 @query(f"""
@@ -169,7 +169,7 @@ WITH {REC}, a AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PA
 SELECT event_id, user_id, event_type FROM a WHERE event_type IS DISTINCT FROM b
 """)
 def setting_changes(spark, root):
-    return sequence.changes(recorded(spark, root).drop("counter"), ["user_id"], "event_type").select("event_id", "user_id", "event_type")
+    return sequence.changes(gauges(spark, root), ["user_id"], "event_type").select("event_id", "user_id", "event_type")
 
 
 @query("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugeloom.functions import counters, search
 from gaugeloom.functions.timeutil import HOUR, ts_us
 from gaugeloom.operators import snapshot
-from gaugeloom.plans.registry import AT, DAY, REC, query, recorded
+from gaugeloom.plans.registry import AT, DAY, REC, gauges, query, recorded
 from gaugeloom.sources.tables import table
 
 #: Lineitems as snapshots: a moment per ship month, entities by supplier and part size class, quantities as a counter.
@@ -88,7 +88,7 @@ SELECT l.event_id, l.user_id, l.ts, CASE WHEN l.ts - asof_ts <= {2 * DAY} THEN a
 FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.asof_ts
 """)
 def asof_tolerance(spark, root):
-    e = recorded(spark, root).drop("counter")
+    e = gauges(spark, root)
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     right = e.where("event_type = 'view'").select("user_id", "ts", "cents")
     return counters.asof(left, right, ["user_id"], ["cents"], tolerance=2 * DAY)
@@ -99,7 +99,7 @@ WITH {REC}, l AS (SELECT user_id, ts FROM rec WHERE event_type = 'error'), r AS
 SELECT count(*) AS preceded FROM l SEMI JOIN (SELECT user_id, min(ts) AS first FROM r GROUP BY 1) f ON l.user_id = f.user_id AND f.first <= l.ts
 """)
 def asof_semi_count(spark, root):
-    e = recorded(spark, root).drop("counter")
+    e = gauges(spark, root)
     first = e.where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("first"))
     errors = e.where("event_type = 'error'").join(first, "user_id").where("first <= ts")
     return errors.agg(F.count(F.lit(1)).alias("preceded"))

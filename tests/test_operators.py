@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeloom.functions import counters
 from gaugeloom.functions.timeutil import TimeRange
 from gaugeloom.operators import detect, events, heatmap, relations, rows, sequence, series, snapshot
 
@@ -105,7 +106,7 @@ def test_health(spark):
 
 def test_neighbours_cross_spans(spark):
     df = spark.createDataFrame([(1, 5), (9, 7), (11, 6), (35, 9)], "ts long, v long")
-    got = [(r["ts"], r["prev_ts"], r["prev_v"]) for r in series.neighbours(df, ["v"], "ts", 10).orderBy("ts").collect()]
+    got = [(r["ts"], r["prev_ts"], r["prev_v"]) for r in counters.neighbours(df, ["v"], "ts", 10).orderBy("ts").collect()]
     assert got == [(1, None, None), (9, 1, 5), (11, 9, 7), (35, 11, 6)]
 
 
