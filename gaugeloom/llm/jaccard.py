@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from gaugeloom.llm import store
 from gaugeloom.llm.components import components
+from gaugeloom.llm.memory import tidy
 from gaugeloom.llm.words import mix, word_hashes
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -36,7 +37,7 @@ HOT_GRAMS, HOT_FRAGMENTS = 100_000, 8  # n-grams that are broadcast as frequent,
 LOCAL_HOT = 2_048  # an n-gram is a candidate for that if it is in so great a part of a batch of texts (and in 8)
 FRAGMENT_GRAMS = 12_000_000
 SLICE_BITS = 3  # a fragment is sorted in so many parts as these bits tell apart, to bound memory
-SCAN_ROWS, DEAL_ROWS = 4_096, 2_048
+SCAN_ROWS, DEAL_ROWS = 2_048, 1_024
 BANDS = 8  # neighbouring fragments that are counted together for a pair
 LEADERS = 4
 GRAM_BYTES = 5
@@ -87,7 +88,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(g), batch.column(0).type), pa.array(g), pa.array(c.astype(np.int64)), pa.array(np.ones(len(g), bool))], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, key long, n long, hot boolean")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, key long, n long, hot boolean")
 
 
 def _to_bytes(grams: np.ndarray, fragment_bits: int) -> bytes:
@@ -141,7 +142,7 @@ def _deal(docs: DataFrame, hot: np.ndarray, fragment_bits: int, width: int) -> D
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["fragment", "keys", "sizes", "parts", "grams", "hot_parts", "hot"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "fragment int, keys binary, sizes binary, parts binary, grams binary, hot_parts binary, hot binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "fragment int, keys binary, sizes binary, parts binary, grams binary, hot_parts binary, hot binary")
 
 
 def _held_twice(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,7 +217,7 @@ def _prefixes(whole: DataFrame, num: int, den: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], names=["gram", "key", "n", "pos", "alone"])
 
-    return whole.select("key", "n", "grams", "ranks").mapInArrow(run, "gram long, key long, n long, pos long, alone long")
+    return whole.select("key", "n", "grams", "ranks").mapInArrow(tidy(run), "gram long, key long, n long, pos long, alone long")
 
 
 def _bands(whole: DataFrame, fragment_bits: int) -> DataFrame:
@@ -237,7 +238,7 @@ def _bands(whole: DataFrame, fragment_bits: int) -> DataFrame:
                 upto = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bands, pa.int32()), pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(lists)))], names=["key", "band", "grams"])
 
-    return whole.select("key", "grams").mapInArrow(run, "key long, band int, grams array<long>")
+    return whole.select("key", "grams").mapInArrow(tidy(run), "key long, band int, grams array<long>")
 
 
 def overlaps(pairs: DataFrame, bands: DataFrame) -> DataFrame:

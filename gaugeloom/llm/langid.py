@@ -17,9 +17,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeloom.llm.memory import tidy
+
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 TRAIN_ROWS = 20_000
+ROWS = 512
 MAX_LANGUAGES = 1_000
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -69,7 +72,7 @@ def train(docs: DataFrame, limit: int = TRAIN_ROWS, smoothing: float = 0.5) -> M
             at = np.flatnonzero(have)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(have[at])], names=["lang", "bucket", "n"])
 
-    counts = train_rows(docs, limit).mapInArrow(count, "lang string, bucket int, n long")
+    counts = train_rows(docs, limit).mapInArrow(tidy(count), "lang string, bucket int, n long")
     rows = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).orderBy("lang").limit(MAX_LANGUAGES).collect()
     table = np.full((BUCKETS, len(rows)), smoothing)
     for k, r in enumerate(rows):
@@ -114,7 +117,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, sharp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             known = [k for k, t in enumerate(texts) if t and m.languages and LETTER.search(t)]
             pred, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
@@ -128,4 +131,4 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, sharp
 
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
-    return docs.select(*kept, F.col("text").cast("string").alias("_text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*kept, F.col("text").cast("string").alias("_text")).mapInArrow(tidy(run), f"{kinds}, lang_pred string, score double")

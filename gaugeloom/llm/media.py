@@ -20,6 +20,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeloom.llm.memory import tidy
+
 BLOCK, BLANK = 192, 32
 HEADER = 44
 ROWS_OUT = 256
@@ -176,4 +178,4 @@ def audio_features(docs: DataFrame, audio: Audio = Audio()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_bytes", "media", "payload", "tensors", "n_frames", "n_segments"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, {OUT}")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, {OUT}")

@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeloom.llm import store
+from gaugeloom.llm.memory import tidy
 from gaugeloom.llm.words import mix, word_hashes
 
 DIMS, BITS, TIE_BITS = 4, 8, 20
 END = 1
 ROWS = 4_096
 PIECES = 1_024
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 450_000
 
 
 _SIGNS = np.array([[1 if pattern >> d & 1 else -1 for d in range(DIMS)] for pattern in range(1 << DIMS)])
@@ -225,9 +226,9 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, ranges: int | Non
             sequence += 1
         yield rows()
 
-    encoded = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, key long, ids binary")
+    encoded = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(encode), "doc_id long, key long, ids binary")
     encoded = store.written(encoded, "packing-tokens", "lz4_raw")
     bounds = curve_bounds(encoded, 4 * ranges)
     part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("key"))) if bounds else F.lit(0)
     ordered = encoded.withColumn("part", part).repartition(ranges, "part").sortWithinPartitions("part", "key", "doc_id", "ids")
-    return ordered.select("doc_id", "ids").mapInArrow(lay, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return ordered.select("doc_id", "ids").mapInArrow(tidy(lay), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

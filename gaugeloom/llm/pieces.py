@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeloom.llm.memory import tidy
+
 SPACE = "▁"
 ROWS_OUT = 256
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 NORMAL, BYTE = 1, 6  # piece types of the model format
 
 
@@ -211,4 +213,4 @@ def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, decoded], names=["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>, decoded string")
