@@ -26,7 +26,7 @@ from gaugeloom.llm.words import mix, word_hashes
 
 DIMS, BITS, TIE_BITS = 4, 8, 20
 END = 1
-ROWS = 4_096
+ROWS = 10_000
 PIECES = 1_024
 CACHE_ENTRIES = 450_000
 
@@ -127,9 +127,10 @@ class Tokens:
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words."""
         new, old = self.new, self.old
-        lacking = [w for w in words if w not in new]
+        out = list(map(new.get, words))
+        lacking = [i for i, ids in enumerate(out) if ids is None]
         split = {}
-        for w in lacking:
+        for w in [words[i] for i in lacking]:
             if w in old:
                 new[w] = old[w]
             else:
@@ -137,14 +138,18 @@ class Tokens:
         self._learn(list({p for parts in split.values() for p in parts}.difference(new)))
         for w, parts in split.items():
             new[w] = new[parts[0]] if len(parts) == 1 else new[parts[0]] + new[parts[1]]
-        out = [new[w] for w in words]
+        for i in lacking:
+            out[i] = new[words[i]]
         if len(new) > CACHE_ENTRIES:
             self.old, self.new = new, {"": b""}
         return out
 
     def encode(self, texts: pa.Array) -> pa.BinaryArray:
         """Each text's ids, 16 bits each. Words are looked up once per call; the ids of the distinct ones are dealt out by Arrow."""
-        rows = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        flat = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        if not pc.any(pc.match_substring(flat, "<|")).as_py():  # special tokens are told apart by case, before anything else
+            flat = pc.replace_substring_regex(pc.ascii_lower(flat), r"([a-z])([.,]) ", r"\1 \2 ")
+        rows = pc.split_pattern(flat, " ")
         coded = rows.flatten().dictionary_encode()
         dealt = pa.array(self._ids(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices)
         of_word = np.frombuffer(dealt.buffers()[1], np.int32)[dealt.offset :]
