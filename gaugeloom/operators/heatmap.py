@@ -32,12 +32,34 @@ def ranking(df: DataFrame, entity: str, value: str, kind: str, span: TimeRange,
         raise ValueError(f"top: 1 to {MAX_TOP}")
     seen = df.where(span.holds(ts) & F.col(value).isNotNull())
     totals = seen.groupBy(entity).agg(total(kind, value, ts).alias("total"))
-    best = totals.orderBy(F.col("total").desc_nulls_last(), F.col(entity).cast("string")).limit(top)
-    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("total").desc_nulls_last(), F.col(entity).cast("string"))))  # `top` rows
-    whole = F.sum if kind == "counter" else F.max
-    rest = totals.join(F.broadcast(best.select(entity)), entity, "left_anti").agg(whole("total").alias("others_total"))
-    every = totals.agg(whole("total").alias("totals_total"), F.count(F.lit(1)).alias("entities"))
-    return ranked.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(rest)).select("rank", entity, "total", "totals_total", "others_total", "entities")
+    order = [F.col("total").desc_nulls_last(), F.col(entity).cast("string")]
+    first = totals.orderBy(*order).limit(top + 1).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # top + 1 rows
+    won, of_first = F.col("rank") <= top, Window.partitionBy()
+    first = first.withColumn("_won", F.sum(F.when(won, F.col("total"))).over(of_first)).withColumn("_known", F.count(F.when(won, F.col("total"))).over(of_first)).withColumn("_next", F.max(F.when(~won, F.col("total"))).over(of_first))
+    every = totals.agg((F.sum if kind == "counter" else F.max)("total").alias("totals_total"), F.count(F.lit(1)).alias("entities"), F.count("total").alias("_all_known"))
+    rest = F.col("totals_total") - F.coalesce("_won", F.lit(0)) if kind == "counter" else F.col("_next")  # in order, the next is the largest of the rest
+    others = F.when(F.col("_all_known") > F.col("_known"), rest)
+    return first.where(won).crossJoin(F.broadcast(every)).select("rank", entity, "total", "totals_total", others.alias("others_total"), "entities")
+
+
+def check_fields(layout, fields: list[str], groups: list[str] = ()) -> str:
+    """The kind, gauge or counter, of fields that can share a map: of one class and unit; groups are labels, at most four of either."""
+    if not 0 < len(fields) <= 4 or len(groups) > 4:
+        raise ValueError("one to four fields and at most four groups")
+    meta = {(layout.schema[f].metadata["class"], layout.schema[f].metadata.get("unit")) for f in fields}
+    if len(meta) > 1 or next(iter(meta))[0] not in ("gauge", "cumulative"):
+        raise ValueError("fields must be counters or gauges of one unit")
+    if any(layout.schema[g].metadata["class"] != "label" for g in groups):
+        raise ValueError("groups must be labels")
+    return "counter" if next(iter(meta))[0] == "cumulative" else "gauge"
+
+
+def out_of_order(df: DataFrame, entity: str, span: TimeRange, columns: int, order: str, ts: str = "ts") -> DataFrame:
+    """entity, late: observations that come, in recorded order, after one of a later column."""
+    w = Window.partitionBy(entity).orderBy(order)
+    col = F.floor((F.col(ts) - span.start) * columns / (span.stop - span.start))
+    reached = F.max("_col").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return df.where(span.holds(ts)).withColumn("_col", col).withColumn("_late", F.col("_col") < reached).groupBy(entity).agg(F.count_if("_late").alias("late"))
 
 
 def cells(df: DataFrame, entity: list[str], value: str, kind: str, span: TimeRange, columns: int, ts: str = "ts") -> DataFrame:
