@@ -29,8 +29,12 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves a line that several documents hold to the first of them; n_chars follows the text."""
+    """Leaves a line that several documents hold to the first of them; n_chars follows the text.
+
+    A document that lost lines and has nothing but blanks left, as a copy, goes.
+    """
     kept = lines.dedup_lines(docs)
+    kept = kept.where((F.col("n_dropped") == 0) | (F.btrim("kept", F.lit(lines.BLANKS)) != ""))
     return kept.withColumns({"text": F.col("kept"), "n_chars": F.char_length("kept").cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
 
 
