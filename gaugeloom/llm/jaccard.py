@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeloom.llm import store
 from gaugeloom.llm.components import components
-from gaugeloom.llm.memory import tidy
+from gaugeloom.llm.memory import give_back, tidy
 from gaugeloom.llm.words import mix, word_hashes
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -91,6 +92,16 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), f"doc_id {kind}, key long, n long, hot boolean")
 
 
+def _hot(scan: DataFrame) -> np.ndarray:
+    """The most frequent of the n-grams that a batch found common, HOT_GRAMS at most, in order of their hashes."""
+    counted = store.written(scan.where("hot").groupBy("key").agg(F.sum("n").alias("n")), "gram-hot")
+    have = counted.count()
+    if have > HOT_GRAMS:
+        least = counted.agg(F.percentile_approx("n", 1 - HOT_GRAMS / have, 10_000)).first()[0]
+        counted = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(HOT_GRAMS)
+    return np.sort(np.array([r["key"] for r in counted.select("key").collect()], np.int64).view(np.uint64))
+
+
 def _to_bytes(grams: np.ndarray, fragment_bits: int) -> bytes:
     """GRAM_BYTES bytes each, of the bits behind those that name the fragment."""
     return (grams << np.uint64(fragment_bits) >> np.uint64(64 - 8 * GRAM_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES].tobytes()
@@ -102,6 +113,17 @@ def _from_bytes(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def _all_grams(column: pa.ChunkedArray) -> np.ndarray:
+    """The n-grams of all rows in one array, decoded row by row."""
+    out, at = np.empty(sum(pc.sum(pc.binary_length(c)).as_py() or 0 for c in column.chunks) // GRAM_BYTES, np.uint64), 0
+    for chunk in column.chunks:
+        for value in chunk:
+            part = _from_bytes(value.as_py())
+            out[at : at + len(part)] = part
+            at += len(part)
+    return out
+
+
 def _deal(docs: DataFrame, hot: np.ndarray, fragment_bits: int, width: int) -> DataFrame:
     """Per batch and fragment a row with the parts of all its texts: keys, sizes, lengths of parts, n-grams, and at home the hot ones."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
@@ -168,14 +190,16 @@ def _shared(dealt: DataFrame) -> DataFrame:
         col = lambda n, t: np.concatenate([np.frombuffer(x, t) for x in table[n].to_pylist()])
         f = table["fragment"][0].as_py()
         keys, sizes, parts, hot_parts, hot = col("keys", np.int64), col("sizes", "<i4"), col("parts", "<i4"), col("hot_parts", "<i4"), col("hot", "<i4")
-        grams = np.concatenate([_from_bytes(x) for x in table["grams"].to_pylist()])
+        grams = _all_grams(table["grams"])
         _, once = np.unique(keys, return_index=True)  # equal texts from other batches
         first = np.zeros(len(keys), bool)
         first[once] = True
         owner = np.repeat(np.arange(len(keys), dtype=np.int32), parts)
-        use = first[owner]
-        grams, owner = grams[use], owner[use]
-        found = [_held_twice(grams[part], owner[part]) for k in range(1 << SLICE_BITS) if len(part := np.flatnonzero(grams >> np.uint64(8 * GRAM_BYTES - SLICE_BITS) == k))]
+        if not first.all():
+            use = first[owner]
+            grams, owner = grams[use], owner[use]
+        slice_ = (grams >> np.uint64(8 * GRAM_BYTES - SLICE_BITS)).astype(np.uint8)
+        found = [_held_twice(grams[part], owner[part]) for k in range(1 << SLICE_BITS) if len(part := np.flatnonzero(slice_ == k))]
         owner, grams, held = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(3))
         grams = grams.astype(np.int64) + (f << (8 * GRAM_BYTES))
         rank = np.ceil(np.log2(held)).astype(np.int32)
@@ -192,6 +216,7 @@ def _shared(dealt: DataFrame) -> DataFrame:
         ends = np.concatenate([begin, [len(owner)]]).astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (grams, rank.astype(np.int32))]
         who = owner[begin]
+        give_back()
         return pa.table([pa.array(keys[who]), pa.array(sizes[who].astype(np.int64)), pa.array(place[begin].astype(np.int32)), *lists], names=["key", "n", "fragment", "grams", "ranks"])
 
     return dealt.groupBy("fragment").applyInArrow(run, "key long, n long, fragment int, grams array<long>, ranks array<int>")
@@ -312,8 +337,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, de
     members = scan.where("hot IS NULL").select("doc_id", "key", "n")
     total = members.agg(F.sum("n")).first()[0] or 0
     fragment_bits = max(4, (-(-int(total) // FRAGMENT_GRAMS) - 1).bit_length())  # BANDS is no more than that
-    counted = scan.where("hot").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT_GRAMS)
-    hot = np.sort(np.array([r["key"] for r in counted.collect()], np.int64).view(np.uint64))  # HOT_GRAMS at most
+    hot = _hot(scan)
     parts = _shared(_deal(docs, hot, fragment_bits, width))
     whole = parts.groupBy("key", "n").agg(F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("ranks")).alias("ranks"))
     whole = store.written(whole.where(F.size("grams") * den >= F.col("n") * num), "gram-shared")

@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeloom.llm import store
 from gaugeloom.llm.memory import tidy
 
 BUCKETS = 1 << 14
@@ -53,9 +54,8 @@ def code_points(text: str) -> np.ndarray:
 def train_rows(docs: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     """lang and whole text of at most `limit` labelled rows, those with the smallest hashes of doc_id."""
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    few = labelled.select("doc_id", "lang", F.xxhash64(F.lit(8), "doc_id").alias("_o")).orderBy("_o", "doc_id").limit(limit)
-    few = few.select(F.col("doc_id").alias("_id"), F.col("_o"))
-    return labelled.join(F.broadcast(few.select("_id").distinct()), F.col("doc_id") == F.col("_id")).select("lang", F.col("text").cast("string"))
+    few = store.some(labelled.where("doc_id IS NOT NULL"), "doc_id", limit, seed=8).distinct().withColumnRenamed("doc_id", "_id")
+    return labelled.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("lang", F.col("text").cast("string"))
 
 
 def train(docs: DataFrame, limit: int = TRAIN_ROWS, smoothing: float = 0.5) -> Model:

@@ -2,9 +2,8 @@
 
 A document's hashed words are projected to a few dimensions, and its place is
 that point's position on a Hilbert curve, so documents with much in common
-follow each other. Quantiles of the curve positions cut it into ranges; each
-range is sorted and its documents are laid end to end into sequences, cut where
-a sequence is full.
+follow each other. Documents are range-partitioned and sorted by position, and
+those of a range are laid end to end into sequences, cut where one is full.
 """
 
 from __future__ import annotations
@@ -22,13 +21,13 @@ from pyspark.sql import functions as F
 
 from gaugeloom.llm import store
 from gaugeloom.llm.memory import tidy
-from gaugeloom.llm.words import mix, word_hashes
+from gaugeloom.llm.words import word_hashes
 
-DIMS, BITS, TIE_BITS = 4, 8, 20
+DIMS, BITS = 4, 8
 END = 1
-ROWS = 10_000
+ROWS = 5_000
 PIECES = 1_024
-CACHE_ENTRIES = 450_000
+CACHE_ENTRIES = 300_000
 
 
 _SIGNS = np.array([[1 if pattern >> d & 1 else -1 for d in range(DIMS)] for pattern in range(1 << DIMS)])
@@ -73,11 +72,9 @@ def hilbert(cells: np.ndarray) -> np.ndarray:
     return out
 
 
-def curve_keys(ids: list, texts: list[str | None]) -> np.ndarray:
-    """Curve positions, and below them a hash of the id: equal texts stay neighbours, but a cut may part them."""
-    place = hilbert(project(word_hashes(texts)))
-    tie = mix(np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64)) >> np.uint64(64 - TIE_BITS)
-    return (place << TIE_BITS) | tie.astype(np.int64)
+def curve_keys(texts: list[str | None]) -> np.ndarray:
+    """Curve positions. Equal texts share one, so ranges also go by the id."""
+    return hilbert(project(word_hashes(texts)))
 
 
 class Tokens:
@@ -162,12 +159,6 @@ def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-def curve_bounds(encoded: DataFrame, ranges: int) -> list[int]:
-    """At most ranges - 1 quantiles of the curve positions of all documents."""
-    row = encoded.agg(F.percentile_approx("key", [k / ranges for k in range(1, ranges)] or [0.5], 20 * ranges).alias("q")).first()
-    return sorted(set(row["q"] or []))
-
-
 def lengths(tokens_: int, longest: int) -> list[int]:
     """Sequence lengths for so many tokens: full ones, then powers of two, which need no padding."""
     return [longest] * (tokens_ // longest) + [1 << b for b in range(longest.bit_length(), -1, -1) if (tokens_ % longest) >> b & 1]
@@ -188,7 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, ranges: int | Non
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
-                keys = curve_keys(part.column(0).to_pylist(), part.column(1).to_pylist())
+                keys = curve_keys(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), model.encode(part.column(1))], names=["doc_id", "key", "ids"])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +224,5 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, ranges: int | Non
 
     encoded = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(encode), "doc_id long, key long, ids binary")
     encoded = store.written(encoded, "packing-tokens", "lz4_raw")
-    bounds = curve_bounds(encoded, 4 * ranges)
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("key"))) if bounds else F.lit(0)
-    ordered = encoded.withColumn("part", part).repartition(ranges, "part").sortWithinPartitions("part", "key", "doc_id", "ids")
+    ordered = encoded.repartitionByRange(ranges, "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
     return ordered.select("doc_id", "ids").mapInArrow(tidy(lay), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

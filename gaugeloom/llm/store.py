@@ -10,6 +10,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,4 +28,27 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    _paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the tables that written() has made in this process, when no result that reads them is needed; returns their number."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    while _paths:
+        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
+def some(df: DataFrame, key: str, limit: int, seed: int) -> DataFrame:
+    """`key` of the `limit` rows with the smallest hashes of it, or of all if there are fewer. At most `limit` rows.
+
+    A threshold on the hash, from the number of rows, leaves about twice as
+    many to be put in order, however large df is.
+    """
+    place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40))
+    n = df.count()
+    few = df.select(key, place.alias("_o"))
+    few = few.where(F.col("_o") < F.lit(min(1 << 40, (2 * limit + 1_000) * (1 << 40) // max(n, 1))))
+    return few.orderBy("_o", key).limit(limit).select(key)

@@ -261,3 +261,12 @@ def test_labels_never_reach_the_score_of_held_out_rows(spark):
     used = labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     flipped = labels.select("doc_id", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")).alias("toxic")).where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     assert toxicity.train(docs, used).weights == toxicity.train(docs, flipped).weights
+
+
+def test_written_tables_can_be_discarded(spark, tmp_path):
+    from gaugeloom.llm import store
+
+    kept = store.written(spark.range(5), "kept")
+    assert kept.count() == 5 and store.discard(spark) >= 1
+    assert sorted(r["id"] for r in store.some(spark.range(50_000), "id", 10, seed=1).collect()) == sorted(r["id"] for r in spark.range(50_000).orderBy(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 40))).limit(10).collect())
+    assert store.some(spark.range(3), "id", 10, seed=1).count() == 3
