@@ -78,4 +78,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_exact_topk, op2_line_dedup, op3_audio_features, op4_curve_packing, op5_kd_sharding, op6_ngram_jaccard, op7_toxicity, op8_language_id, op9_sentencepiece, op10_chat_format)
 }
-ORACLE_SQL = {"op1_exact_topk": topk.ORACLE_SQL, "op2_line_dedup": lines.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL}
+ORACLE_SQL = {"op1_exact_topk": topk.ORACLE_SQL, "op6_ngram_jaccard": jaccard.ORACLE_SQL, "op2_line_dedup": lines.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL}
