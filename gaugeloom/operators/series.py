@@ -64,3 +64,19 @@ def overall_health(os: Column, penalty: Column, enabled: Column | None = None) -
 def tps(df: DataFrame, database: str, commits: str, rollbacks: str, ts: str = "ts") -> DataFrame:
     """Transactions per second and database between neighbouring rows."""
     return adjacent(df.withColumn("_n", F.col(commits) + F.col(rollbacks)), [database], "_n", ts).withColumnRenamed("rate", "tps").drop("_n", "prev_value")
+
+
+def surface_summary(df: DataFrame, entity: list[str], counters: list[str], ratios: dict[str, tuple[str, str]], ts: str = "ts") -> DataFrame:
+    """Per time the number of entities, per counter the sum of rates, and ratios of changes.
+
+    Rates count entities with a usable change; a ratio's two changes count
+    together, only where both are usable. Nothing usable gives null.
+    """
+    w = Window.partitionBy(*entity).orderBy(ts)
+    rows = df.withColumn("_e", F.col(ts) - F.lag(ts).over(w))
+    for c in counters:
+        rows = rows.withColumn(f"_d_{c}", delta(F.lag(c).over(w), F.col(c)))
+    usable = lambda c: F.when(F.col("_e") > 0, F.col(f"_d_{c}"))
+    sums = [F.sum(usable(c) * 1_000_000 / F.col("_e")).alias(f"{c}_per_s") for c in counters]
+    both = {n: (F.sum(F.when(usable(b).isNotNull(), usable(a))), F.sum(F.when(usable(a).isNotNull(), usable(b)))) for n, (a, b) in ratios.items()}
+    return rows.groupBy(ts).agg(F.count(F.lit(1)).alias("entities"), *sums, *[F.try_divide(a.cast("double"), b.cast("double")).alias(n) for n, (a, b) in both.items()])

@@ -210,3 +210,16 @@ def counter_pair_rate(spark, root):
     w = Window.partitionBy("user_id").orderBy("ts")
     e = recorded(spark, root).where("event_type = 'click'")
     return e.select("event_id", rate(F.lag("counter").over(w), F.col("counter"), F.lag("ts").over(w), F.col("ts")).alias("rate"))
+
+
+@query(f"""
+WITH {REC}, d AS (SELECT ts // {DAY} * {DAY} AS ts, user_id, max(cents) AS a, sum(cents) AS b FROM rec GROUP BY 1, 2),
+l AS (SELECT ts, ts - lag(ts) OVER w AS e, CASE WHEN a >= lag(a) OVER w THEN a - lag(a) OVER w END AS da, CASE WHEN b >= lag(b) OVER w THEN b - lag(b) OVER w END AS db FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT ts, count(*) AS entities, round(sum(CAST(da AS DOUBLE) * 1000000 / e), 9) AS a_per_s, round(sum(CAST(db AS DOUBLE) * 1000000 / e), 9) AS b_per_s,
+       CAST(sum(da) FILTER (db IS NOT NULL) AS DOUBLE) / nullif(CAST(sum(db) FILTER (da IS NOT NULL) AS DOUBLE), 0) AS share FROM l GROUP BY 1
+""")
+def surface_summary(spark, root):
+    day = (F.floor(F.col("ts") / DAY) * DAY).cast("long")
+    d = gauges(spark, root).groupBy(day.alias("ts"), "user_id").agg(F.max("cents").alias("a"), F.sum("cents").alias("b"))
+    got = series.surface_summary(d, ["user_id"], ["a", "b"], {"share": ("a", "b")})
+    return got.withColumns({c: F.round(c, 9) for c in ("a_per_s", "b_per_s")})

@@ -147,3 +147,12 @@ def test_sequences(spark):
     assert [r["ts"] for r in sequence.changes(df, ["e"], "v").orderBy("ts").collect()] == [0, 10, 40, 50]
     walk = {r["node"]: (r["root"], r["level"]) for r in sequence.forest(spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 5), (5, 4)], "p long, q long"), "p", "q").collect()}
     assert walk == {1: (1, 0), 2: (1, 1), 3: (1, 2)}
+
+
+def test_surface_summary_admits_pairs_together(spark):
+    rows = [(0, 1, 0, 0), (0, 2, 0, 0), (2_000_000, 1, 4, 10), (2_000_000, 2, 6, None), (4_000_000, 1, 2, 20)]
+    df = spark.createDataFrame(rows, "ts long, e long, x long, y long")
+    got = {r["ts"]: r for r in series.surface_summary(df, ["e"], ["x", "y"], {"q": ("x", "y")}).collect()}
+    assert (got[0]["entities"], got[0]["x_per_s"], got[0]["q"]) == (2, None, None)
+    assert (got[2_000_000]["x_per_s"], got[2_000_000]["y_per_s"], got[2_000_000]["q"]) == (5.0, 5.0, 0.4)
+    assert (got[4_000_000]["x_per_s"], got[4_000_000]["y_per_s"], got[4_000_000]["q"]) == (None, 5.0, None)
