@@ -45,7 +45,7 @@ class TimeRange:
 
     def column_of(self, previous: Column, ts: Column, columns: int) -> Column:
         """The part that the middle between an observation and the one before falls into; alone, its own time counts."""
-        middle = F.greatest(F.coalesce(previous + F.expr("1") * ((ts - previous) / 2).cast("long"), ts), F.lit(self.start))
+        middle = F.greatest(F.coalesce(previous + ((ts - previous) / 2).cast("long"), ts), F.lit(self.start))
         return F.least(F.lit(columns - 1), F.floor((middle - self.start) * columns / (self.stop - self.start))).cast("int")
 
 
@@ -60,7 +60,7 @@ def parse(text: str, now: int | None = None) -> int:
     at = datetime.fromisoformat(text)
     if at.tzinfo is None:
         raise ValueError(f"no time zone: {text}")
-    return round(at.timestamp()) * 1_000_000 + at.microsecond if at.microsecond == 0 else int(at.replace(microsecond=0).timestamp()) * 1_000_000 + at.microsecond
+    return int(at.replace(microsecond=0).timestamp()) * 1_000_000 + at.microsecond
 
 
 def hour_of(ts: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeloom.functions.timeutil import HOUR, hour_of, ts_us
 from gaugeloom.operators import rows
-from gaugeloom.plans.registry import AT, EPOCH, REC, SPAN, query, recorded
+from gaugeloom.plans.registry import AT, EPOCH, REC, SPAN, query
 from gaugeloom.sources.tables import table
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeloom.sources.layouts import Layout
@@ -15,7 +15,7 @@ def write(df: DataFrame, layout: Layout, root: str, segment: str = "segment_id",
     and then by all other columns; row groups thus have narrow key ranges.
     """
     names = [f.name for f in layout.schema.fields]
-    rest = [n for n in names if n not in layout.sort_key and not isinstance(layout.schema[n].dataType, type(None))]
+    rest = [n for n in names if n not in layout.sort_key]
     dealt = df.select(segment, *names).repartition(segment, F.spark_partition_id() % 4)  # a large segment is written by four tasks
     dealt.sortWithinPartitions(segment, *layout.sort_key, *rest).write.mode(mode).partitionBy(segment).option("compression", "zstd").parquet(f"{root}/type_id={layout.type_id}")
 
@@ -66,8 +66,6 @@ def blob(text: str, most: int = 1 << 20):
 
 def retention(catalog: DataFrame, keep_bytes: int, size: str = "bytes") -> DataFrame:
     """Segments to drop, oldest first, so that the newest that fit in `keep_bytes` stay."""
-    from pyspark.sql import Window
-
     newest = Window.orderBy(F.desc("segment_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row per segment
     sizes = catalog.groupBy("segment_id").agg(F.sum(size).alias("_b"))
     return sizes.withColumn("_upto", F.sum("_b").over(newest)).where(F.col("_upto") > keep_bytes).select("segment_id")
