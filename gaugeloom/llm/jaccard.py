@@ -39,8 +39,9 @@ LOCAL_HOT = 2_048  # an n-gram is a candidate for that if it is in so great a pa
 FRAGMENT_GRAMS = 12_000_000
 SLICE_BITS = 3  # a fragment is sorted in so many parts as these bits tell apart, to bound memory
 SCAN_ROWS, DEAL_ROWS = 2_048, 1_024
-BANDS = 8  # neighbouring fragments that are counted together for a pair
+BANDS = 2  # neighbouring fragments that are counted together for a pair
 LEADERS = 4
+TURNS, FEW_MEETINGS, MEETINGS = 8, 20_000, 0.5  # at most so many turns of more leaders, while more than so many pairs are left across clusters, or per prefix n-gram
 GRAM_BYTES = 5
 _STEPS = [np.uint64(pow(0xD1342543DE82EF95, k, 1 << 64)) for k in range(64)]
 
@@ -301,21 +302,33 @@ def _stars(prefixes: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select(*_pair("x", "y", "nx", "ny")).distinct()
 
 
-def _across(prefixes: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFrame:
+def _mixed(prefixes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Prefix rows of the n-grams that several clusters hold, with the text's cluster and the n-gram's largest."""
+    rows = prefixes.join(clusters, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    rows = store.written(rows, "prefix-clusters")
+    sizes = rows.groupBy("gram", "label").count().groupBy("gram").agg(F.max(F.struct("count", "label")).alias("m"), F.count(F.lit(1)).alias("clusters"), F.sum("count").alias("texts"))
+    major = sizes.where("clusters > 1").select("gram", F.col("m.label").alias("major"), (F.col("texts") * (F.col("texts") - F.col("m.count"))).alias("meetings"))
+    return store.written(rows.join(store.written(major, "prefix-major"), "gram"), "prefix-mixed")
+
+
+def _stars_again(mixed: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """More candidates: texts outside an n-gram's largest cluster, each with a few members of it, others in every turn."""
+    leaders = mixed.where("label = major").groupBy("gram").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "gram", "key").alias("h"), "key", "n")).alias("l"))
+    met = mixed.where("label != major").select("gram", F.col("key").alias("x"), F.col("n").alias("nx")).join(store.written(leaders, "gram-leaders"), "gram")
+    met = met.where((F.col("nx") * den >= F.col("l.n") * num) & (F.col("l.n") * den >= F.col("nx") * num))
+    best = met.groupBy("x", "nx").agg(F.slice(F.array_sort(F.collect_set("l")), 1, 2 * LEADERS).alias("ls")).select("x", "nx", F.explode("ls").alias("l"))
+    return best.select("x", "nx", F.col("l.key").alias("y"), F.col("l.n").alias("ny")).select(*_pair("x", "y", "nx", "ny")).distinct()
+
+
+def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs whose ends are in different clusters.
 
     Of a prefix n-gram's texts, those outside its largest cluster meet all the
     others; pairs inside a cluster never come up. The first n-gram that a pair
     has in common bounds its overlap by what comes behind it on either side.
     """
-    rows = prefixes.join(clusters, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    rows = store.written(rows, "prefix-clusters")
-    mixed = rows.groupBy("gram").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("gram")
-    rows = store.written(rows.join(mixed, "gram"), "prefix-mixed")
-    major = rows.groupBy("gram", "label").count().groupBy("gram").agg(F.max(F.struct("count", "label")).alias("m")).select("gram", F.col("m.label").alias("major"))
-    rows = store.written(rows.join(major, "gram"), "prefix-major")
-    few = rows.where("label != major").select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("label").alias("lx"))
-    every = rows.select("gram", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("label").alias("ly"), "major")
+    few = mixed.where("label != major").select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("label").alias("lx"))
+    every = mixed.select("gram", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("label").alias("ly"), "major")
     most = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     met = few.join(every, "gram").where(
         (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("major")) | (F.col("x") < F.col("y")))
@@ -342,12 +355,25 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, de
     whole = parts.groupBy("key", "n").agg(F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("ranks")).alias("ranks"))
     whole = store.written(whole.where(F.size("grams") * den >= F.col("n") * num), "gram-shared")
     prefixes = store.written(_prefixes(whole, num, den), "gram-prefixes")
+    front = prefixes.count()
     bands = store.written(_bands(whole, fragment_bits), "gram-bands")
 
     stars = store.written(_stars(prefixes, num, den), "gram-stars")
     links = store.written(_linked(stars, bands, num, den), "gram-links")
-    clusters = components(links).withColumnRenamed("node", "key")
-    cross = store.written(_across(prefixes, clusters, num, den), "gram-across")
+    for turn in range(TURNS):
+        mixed = _mixed(prefixes, components(links).withColumnRenamed("node", "key"))
+        left = mixed.groupBy("gram").agg(F.first("meetings").alias("m")).agg(F.sum("m")).first()[0] or 0
+        if left <= max(FEW_MEETINGS, MEETINGS * front):  # few enough pairs across clusters to look at them all
+            break
+        more = store.written(_stars_again(mixed, turn, num, den), "gram-stars")
+        found = store.written(_linked(more, bands, num, den), "gram-links")
+        links = store.written(links.union(found).distinct(), "gram-links")
+        if found.count() * 10 < more.count():  # what is left is mostly unlike; more leaders won't join it
+            mixed = _mixed(prefixes, components(links).withColumnRenamed("node", "key"))
+            break
+    else:
+        mixed = _mixed(prefixes, components(links).withColumnRenamed("node", "key"))
+    cross = store.written(_across(mixed, num, den), "gram-across")
     more = _linked(cross, bands, num, den)
     labels = store.written(components(store.written(links.union(more), "gram-all-links")).withColumnRenamed("node", "key"), "gram-components")
 
