@@ -27,6 +27,7 @@ DIMS, BITS = 4, 8
 END = 1
 ROWS = 5_000
 PIECES = 1_024
+RANGE_SEQUENCES = 64
 CACHE_ENTRIES = 300_000
 
 
@@ -172,8 +173,6 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, ranges: int | Non
     alone. Repeated rows are documents of their own; extra columns are ignored;
     an empty table gives no pieces. doc_id is taken as a long.
     """
-    spark = docs.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokens(tokenizer)
         for batch in batches:
@@ -224,5 +223,8 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, ranges: int | Non
 
     encoded = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(encode), "doc_id long, key long, ids binary")
     encoded = store.written(encoded, "packing-tokens", "lz4_raw")
+    if ranges is None:  # as many as shuffles have, but of RANGE_SEQUENCES full sequences at least
+        total = (encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 2
+        ranges = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (RANGE_SEQUENCES * longest)))
     ordered = encoded.repartitionByRange(ranges, "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
     return ordered.select("doc_id", "ids").mapInArrow(tidy(lay), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
