@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeloom.operators import links
+
 
 def statistics(df: DataFrame, by: list[str], value: str, ts: str = "ts") -> DataFrame:
     """min, max, last and nearest-rank p50, p90, p99 of each series."""
@@ -35,20 +37,19 @@ def changes(df: DataFrame, by: list[str], value: str, ts: str = "ts") -> DataFra
     return df.withColumn("_c", first | ~F.col(value).eqNullSafe(F.lag(value).over(w))).where("_c").drop("_c")
 
 
-def forest(edges: DataFrame, child: str, parent: str, depth: int = 64) -> DataFrame:
-    """(node, root, level) of every node below roots, which have no parent. Levels are joined one by one until one is empty, or `depth`.
+def forest(edges: DataFrame, child: str, parent: str, cycles: bool = False) -> DataFrame:
+    """(node, root, level) of every node below roots. A root's parent is null, is itself, or is no node of the table.
 
-    Members of cycles hang below no root and are left out.
+    With `cycles`, the lowest node of each cycle is a root too, and every node
+    is there; else members of cycles, and what hangs below them, are left out.
+    Nodes are told apart by `child`: null is none, and of several parents the
+    smallest counts. There is no limit of depth.
     """
-    spark = edges.sparkSession
-    links = edges.select(F.col(child).alias("node"), F.col(parent).alias("up"))
-    links.createOrReplaceTempView("_forest_links")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, root, level) MAX RECURSION LEVEL {depth} AS (
-          SELECT node, node, 0 FROM _forest_links WHERE up IS NULL
-          UNION ALL
-          SELECT l.node, w.root, w.level + 1 FROM _forest_links l JOIN walk w ON l.up = w.node)
-        SELECT node, root, level FROM walk""")
+    kind = edges.schema[child].dataType
+    nodes = edges.where(F.col(child).isNotNull()).groupBy(F.col(child).alias("node")).agg(F.min(F.col(parent).try_cast(kind)).alias("up"))
+    known = nodes.select(F.col("node").alias("up"), F.lit(True).alias("_known"))
+    up = F.when(F.col("_known") & (F.col("up") != F.col("node")), F.col("up"))
+    return links.roots(nodes.join(known, "up", "left").select("node", up.alias("up")), cycles)
 
 
 def weighted_mean(value: str, weight: str):

@@ -180,7 +180,7 @@ SELECT * FROM walk
 def forest(spark, root):
     key = F.col("p_partkey")
     edges = table(spark, root, "part").select(key.alias("pid"), F.when(key % 10 != 0, F.floor(key / 2)).alias("ppid"))
-    return sequence.forest(edges, "pid", "ppid")
+    return sequence.forest(edges, "pid", "ppid", cycles=True)
 
 
 @query("""

@@ -149,6 +149,15 @@ def test_sequences(spark):
     assert walk == {1: (1, 0), 2: (1, 1), 3: (1, 2)}
 
 
+def test_forest_keeps_every_row(spark):
+    """Process 1's parent 0 has no row, 9's is gone, 4 is its own; a chain of 200; a cycle 50-52-51 with a lower one below it, and a cycle of two."""
+    rows = [(1, 0), (2, 1), (9, 77), (10, 9), (4, 4), (5, 4), (6, None), (50, 52), (52, 51), (51, 50), (3, 51), (60, 61), (61, 60), *((k, k - 1) for k in range(1_001, 1_200)), (1_000, 2)]
+    walk = lambda c: {r["node"]: (r["root"], r["level"]) for r in sequence.forest(spark.createDataFrame(rows, "p int, q long"), "p", "q", cycles=c).collect()}
+    want = {1: (1, 0), 2: (1, 1), 9: (9, 0), 10: (9, 1), 4: (4, 0), 5: (4, 1), 6: (6, 0), **{k: (1, k - 998) for k in range(1_000, 1_200)}}
+    assert walk(False) == want
+    assert walk(True) == want | {50: (50, 0), 51: (50, 1), 52: (50, 2), 3: (50, 2), 60: (60, 0), 61: (60, 1)}
+
+
 def test_surface_summary_admits_pairs_together(spark):
     rows = [(0, 1, 0, 0), (0, 2, 0, 0), (2_000_000, 1, 4, 10), (2_000_000, 2, 6, None), (4_000_000, 1, 2, 20)]
     df = spark.createDataFrame(rows, "ts long, e long, x long, y long")
