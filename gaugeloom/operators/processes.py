@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeloom.operators import links
 from gaugeloom.operators.sequence import episodes
 
 USERS = 4_096
@@ -35,41 +36,22 @@ def activity_age(df: DataFrame, start: str, states: list[str], ts: str = "ts") -
     return F.when(F.col("state").isin(states) & (F.col(start) > 0) & (age >= 0), age / 1_000_000)
 
 
-def lock_roots(waits: DataFrame, depth: int = 64) -> DataFrame:
+def lock_roots(waits: DataFrame) -> DataFrame:
     """(pid, root, level) of a moment's lock waits (pid, blocked_by): who waits, in the end, for whom.
 
     A waiter hangs below its smallest blocker; prepared transactions are blocker
     0. Holders that wait for nobody are roots; in a cycle the smallest pid is
-    one. Waits are followed level by level, `depth` at most.
+    one, also of those that wait for the cycle. Chains may be of any length.
     """
-    spark = waits.sparkSession
-    edges = waits.where(F.size("blocked_by") > 0).select("pid", F.array_min("blocked_by").alias("up"))
-    nodes = edges.select("pid").union(edges.select("up")).distinct()
-    links = nodes.join(edges, "pid", "left")
-    links.createOrReplaceTempView("_lock_links")
-    reach = spark.sql(f"""
-        WITH RECURSIVE up(pid, at, level) MAX RECURSION LEVEL {depth} AS (
-          SELECT pid, pid, 0 FROM _lock_links
-          UNION ALL
-          SELECT u.pid, l.up, u.level + 1 FROM up u JOIN _lock_links l ON u.at = l.pid WHERE l.up IS NOT NULL AND u.level < {depth - 2} AND l.up <> u.pid)
-        SELECT pid, at, level FROM up""")
-    free = links.where("up IS NULL").select(F.col("pid").alias("at"), F.lit(True).alias("_free"))
-    seen = reach.join(free, "at", "left")
-    root = F.coalesce(F.max(F.when(F.col("_free"), F.col("at"))), F.min("at"))
-    roots = seen.groupBy("pid").agg(root.alias("root"))
-    return roots.join(reach, (roots["pid"] == reach["pid"]) & (reach["at"] == roots["root"])).groupBy(roots["pid"], "root").agg(F.min("level").alias("level"))
-
-
-def with_ancestors(df: DataFrame, matches: Column, child: str, parent: str, depth: int = 64) -> DataFrame:
-    """Rows that match and all their ancestors."""
-    spark = df.sparkSession
-    df.select(F.col(child).alias("c"), F.col(parent).alias("p"), F.coalesce(matches, F.lit(False)).alias("m")).createOrReplaceTempView("_ancestor_links")
-    kept = spark.sql(f"""
-        WITH RECURSIVE k(c) MAX RECURSION LEVEL {depth} AS (
-          SELECT c FROM _ancestor_links WHERE m
-          UNION ALL
-          SELECT l.p FROM k JOIN _ancestor_links l ON k.c = l.c WHERE l.p IS NOT NULL)
-        SELECT DISTINCT c AS _kept FROM k""")
+    edges = waits.where(F.size("blocked_by") > 0).groupBy("pid").agg(F.min(F.array_min("blocked_by")).alias("up"))
+    nodes = edges.select("pid").union(edges.select("up")).where("pid IS NOT NULL").distinct()
+    return links.roots(nodes.join(edges, "pid", "left").select(F.col("pid").alias("node"), "up")).withColumnRenamed("node", "pid")
+
+
+def with_ancestors(df: DataFrame, matches: Column, child: str, parent: str) -> DataFrame:
+    """Rows that match and all their ancestors, however far; cycles end where they began."""
+    edges = df.select(F.col(child).alias("node"), F.col(parent).alias("up"), F.coalesce(matches, F.lit(False)).alias("_m"))
+    kept = links.upward(edges, edges.where("_m")).withColumnRenamed("node", "_kept")
     return df.join(kept, F.col(child) == F.col("_kept"), "left_semi")
 
 

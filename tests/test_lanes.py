@@ -54,6 +54,17 @@ def test_lock_roots_with_cycles(spark):
     assert got == {5: (5, 0), 10: (5, 1), 11: (5, 2), 20: (20, 0), 21: (20, 2), 22: (20, 1), 23: (20, 2), 0: (0, 0), 30: (0, 1)}
 
 
+def test_long_chains_of_waits_and_ancestors(spark):
+    """150 waiters in a row, and one of a smaller pid that waits for a cycle."""
+    rows = [*((k, [k - 1]) for k in range(101, 251)), (520, [521]), (521, [520]), (7, [521]), (30, [30])]
+    got = {r["pid"]: (r["root"], r["level"]) for r in processes.lock_roots(spark.createDataFrame(rows, "pid int, blocked_by array<int>")).collect()}
+    assert got == {**{k: (100, k - 100) for k in range(100, 251)}, 520: (520, 0), 521: (520, 1), 7: (520, 2), 30: (30, 0)}
+    tree = spark.createDataFrame([*((k, k - 1, k == 250) for k in range(101, 251)), (100, None, False), (99, 100, False), (500, 501, True), (501, 500, False), (502, 501, None)], "pid int, ppid int, hit boolean")
+    assert sorted(r["pid"] for r in processes.with_ancestors(tree, F.col("hit"), "pid", "ppid").collect()) == [*range(100, 251), 500, 501]
+    several = spark.createDataFrame([(1, 2, True), (1, 3, True), (2, 4, False), (3, 5, False), (5, None, False), (4, None, False), (6, None, False)], "pid int, ppid int, hit boolean")
+    assert sorted({r["pid"] for r in processes.with_ancestors(several, F.col("hit"), "pid", "ppid").collect()}) == [1, 2, 3, 4, 5]
+
+
 def test_names_scopes_and_ancestors(spark):
     users = spark.createDataFrame([(1, 7, "old"), (2, 7, "new"), (1, 8, "x")], "ts long, uid long, user string")
     got = {r["pid"]: r["user"] for r in processes.with_users(spark.createDataFrame([(1, 7), (2, 9)], "pid int, uid long"), users).collect()}
