@@ -17,9 +17,15 @@ SEQUENCE = 2048
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: no text, or none with a letter."""
+    """Drops documents whose language can't be told: no text, or none with a letter.
+
+    A score of 0 tells them, not the label, which may be a language's own. If no
+    document has a label to learn from, only the letters decide.
+    """
     model = langid.train(docs.select("doc_id", "lang", "text"))
-    return langid.identify(docs, model).where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    if not model.languages:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    return langid.identify(docs, model).where("score > 0").select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +45,11 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of every group of near copies the document with the smallest doc_id."""
+    """Keeps of every group of near copies the document with the smallest doc_id. Rows without a doc_id stay: none is known to be a later one."""
     groups = jaccard.similar_groups(docs)
-    kept = store.written(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept-ids")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    later = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("later"))
+    later = store.written(later.where("later").select("doc_id"), "later-ids")
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,3 +79,24 @@ def test_run_packs_what_is_left(spark, corpus):
     assert sorted(pieces[210])[0][2] == len(model.encode(texts[210], add_special_tokens=False).ids) + 1
     for parts in pieces.values():
         assert np.cumsum([0, *(n for _, n, _ in sorted(parts))]).tolist() == [*(s for s, _, _ in sorted(parts)), parts[0][2]]
+
+
+def test_near_copies_keep_rows_without_id(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    other = " ".join(f"other{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (None, other), (None, "short one"), (3, None)], "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, text), (None, other), (None, "short one"), (3, None)], key=str)
+
+
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_language_drops_only_texts_without_letters(spark, lang):
+    docs = spark.createDataFrame([(1, "a plain text", lang), (None, "\u0434\u0430", lang), (3, "12 34", lang), (4, "", lang), (5, None, lang)], "doc_id long, text string, lang string")
+    assert sorted((r["text"] for r in corpus_pipeline.language(spark, docs, "").collect())) == ["a plain text", "\u0434\u0430"]
+
+
+def test_run_keeps_documents_without_id_and_language(spark, tmp_path):
+    texts = [" ".join(f"{w}{k}" for k in range(30)) for w in ("stone", "river", "paper")]
+    spark.createDataFrame([(None, texts[0], None, "s", 0), (7, texts[1], None, "s", 0), (8, texts[2], None, "s", 0)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {None, 7, 8}
