@@ -7,6 +7,8 @@ it by entity.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,18 +32,29 @@ def adjacent(df: DataFrame, by: list[str], value: str, ts: str = "ts", tie: str
     return out.withColumn("delta", delta(before, after)).withColumn("rate", rate(before, after, F.col("prev_ts"), F.col(ts)))
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], values: list[str], ts: str = "ts", tolerance: int | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], values: list[str], ts: str = "ts", tolerance: int | None = None, width: int | None = None) -> DataFrame:
     """left with the `values` of right's latest row at or before each left row's time, per `by`.
 
     Both sides are laid in one order and the last right row is carried on, so
     no pair of rows is compared. Right rows must be unique per key and time.
     Equal keys follow each other in one partition only if `by` spreads them.
+    With `width`, only rows of one key and span of that width do, and the last
+    right row of the spans before is carried in.
     """
     tag = F.struct(F.col(ts).alias("at"), *values)
     both = left.select(*left.columns, F.lit(1).alias("_side"), F.lit(None).cast(right.select(tag.alias("x")).schema["x"].dataType).alias("_right"))
     lookups = right.select(*[F.col(c) if c in (*by, ts) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.lit(0).alias("_side"), tag.alias("_right"))
-    w = Window.partitionBy(*by).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.unionByName(lookups).withColumn("_right", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
+    span = F.lit(0) if width is None else F.floor(F.col(ts) / width)
+    both = both.unionByName(lookups).withColumn("_p", span)
+    keys = [*by, "_p"]
+    w = Window.partitionBy(*(by if width is None else keys)).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_right", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
+    if width is not None:
+        last = both.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max_by("_right", F.when(F.col("_side") == 0, F.col(ts))).alias("_l"))
+        ahead = Window.partitionBy(*[f"_k_{k}" for k in by]).orderBy("_k__p").rowsBetween(Window.unboundedPreceding, -1)  # a row per key and span
+        carried = last.withColumn("_c", F.last("_l", ignorenulls=True).over(ahead)).drop("_l")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+        found = found.join(carried, same).withColumn("_right", F.coalesce("_right", "_c"))
     if tolerance is not None:
         found = found.withColumn("_right", F.when(F.col(ts) - F.col("_right.at") <= tolerance, F.col("_right")))
     return found.select(*left.columns, F.col("_right.at").alias("asof_ts"), *[F.col(f"_right.{v}").alias(v) for v in values])

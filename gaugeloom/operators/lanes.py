@@ -81,8 +81,7 @@ def container(df: DataFrame, capacity: DataFrame, path: str) -> DataFrame:
     """
     own = df.where(F.col("path") == path)
     r = _rates(own.select("ts", "usage_us", "throttled_us", "cpu_psi_us", "mem_psi_us", "io_psi_us", "rbytes", "wbytes", "oom_kill"), ["usage_us", "throttled_us", "cpu_psi_us", "mem_psi_us", "io_psi_us", "rbytes", "wbytes", "oom_kill"])
-    day = lambda d: d.withColumn("_all", F.lit(1))
-    r = asof(day(r), day(capacity), ["_all"], ["cpus"]).drop("_all", "asof_ts")
+    r = asof(r, capacity, [], ["cpus"], width=DAY).drop("asof_ts")
     cores = F.col("usage_us") / 1_000_000
     rated = {
         "cg_cpu_cores": cores, "cg_cpu_share": F.try_divide(cores * 100, F.col("cpus")), "cg_cpu_throttle": F.col("throttled_us") / 10_000, "cg_cpu_psi": F.col("cpu_psi_us") / 10_000, "cg_mem_psi": F.col("mem_psi_us") / 10_000,

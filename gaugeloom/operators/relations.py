@@ -52,10 +52,18 @@ def latest_of_each(df: DataFrame, part: str, values: list[str], ts: str = "ts")
 
     The newest row changes a sum by the difference to the part's row before,
     so the running sum of differences per time is the merged value; no time is
-    paired with every part.
+    paired with every part. Differences are taken inside hours; the last row of
+    the part's hour before is carried in, so no task sees all rows of a part.
+    Of rows of one part and time the one with the largest values is the newest;
+    rows without a time are left out.
     """
-    w = Window.partitionBy(part).orderBy(ts)
-    steps = df.select(ts, F.when(F.lag(ts).over(w).isNull(), 1).otherwise(0).alias("_new"), *[(F.col(v) - F.coalesce(F.lag(v).over(w), F.lit(0))).alias(f"_{v}") for v in values])
+    row = F.struct(ts, *values)
+    rows = df.where(F.col(ts).isNotNull()).select(part, ts, *values).withColumn("_h", F.floor(F.col(ts) / 3_600_000_000))
+    last = rows.groupBy(F.col(part).alias("_part"), F.col("_h").alias("_span")).agg(F.max(row).alias("_l"))
+    carried = last.withColumn("_c", F.lag("_l").over(Window.partitionBy("_part").orderBy("_span"))).drop("_l")  # a row per part and hour
+    before = F.coalesce(F.lag(row).over(Window.partitionBy(part, "_h").orderBy(ts, *values)), F.col("_c"))
+    near = rows.join(carried, F.col(part).eqNullSafe(F.col("_part")) & (F.col("_h") == F.col("_span"))).withColumn("_b", before)
+    steps = near.select(ts, F.when(F.col("_b").isNull(), 1).otherwise(0).alias("_new"), *[(F.col(v) - F.coalesce(F.col(f"_b.{v}"), F.lit(0))).alias(f"_{v}") for v in values])
     at = steps.groupBy(ts).agg(F.sum("_new").alias("_new"), *[F.sum(f"_{v}").alias(f"_{v}") for v in values])
     return running(at, ts, ["_new", *[f"_{v}" for v in values]]).select(ts, F.col("_new").alias("parts"), *[F.col(f"_{v}").alias(v) for v in values])
 

@@ -86,6 +86,31 @@ def test_latest_of_each_part(spark):
     assert got == [(1, 1, 10), (2, 2, 15), (7_200_000_001, 2, 31), (7_200_000_009, 2, 1)]
 
 
+def test_latest_of_each_part_works_in_hours(spark):
+    """As the plain fold, and no window has all rows of a part together."""
+    r, hour = random.Random(5), 3_600_000_000
+    data = [(p, t, r.randrange(50)) for p in ("a", "b", None) for t in r.sample(range(0, 40 * hour, hour // 4), 30)]
+    got = relations.latest_of_each(spark.createDataFrame(data, "p string, ts long, v long"), "p", ["v"])
+    held, want = {}, {}
+    for p, t, v in sorted(data, key=lambda x: x[1]):
+        held[p] = v
+        want[t] = (len(held), sum(held.values()))
+    assert {x["ts"]: (x["parts"], x["v"]) for x in got.collect()} == want
+    windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "windowspecdefinition(p#" in x]
+    assert windows and all("_h#" in x for x in windows)
+
+
+def test_asof_in_spans(spark):
+    r = random.Random(6)
+    left = [(i, r.choice([1, 2, None]), r.randrange(400)) for i in range(80)]
+    right = [(k, t, t * 7) for k in (1, 2, None) for t in r.sample(range(400), 12)]
+    for by in ([], ["k"]):
+        rows = right if by else [x for x in right if x[0] == 1]
+        got = counters.asof(spark.createDataFrame(left, "id long, k long, ts long"), spark.createDataFrame(rows, "k long, ts long, v long"), by, ["v"], width=25)
+        want = {i: max(((u, v) for q, u, v in rows if u <= t and (not by or q == k)), default=(None, None)) for i, k, t in left}
+        assert {x["id"]: (x["asof_ts"], x["v"]) for x in got.collect()} == want
+
+
 def test_grouped_relations(spark):
     df = spark.createDataFrame([(1, 5, True), (1, 6, True), (2, None, True), (2, 1, False), (None, 1, True)], "g long, d long, has boolean")
     got = {x["g"]: (x["members"], x["d"], x["m"]) for x in relations.grouped(df.withColumn("m", F.col("d")), ["g"], ["d"], ["m"], has={"m": "has"}).collect()}
