@@ -20,7 +20,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeloom.llm.memory import tidy
+from gaugeloom.llm.memory import slices, tidy
 
 BLOCK, BLANK = 192, 32
 HEADER = 44
@@ -171,8 +171,7 @@ def audio_features(docs: DataFrame, audio: Audio = Audio()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(i, ROWS_OUT)
+            for part in slices(batch, 1, ROWS_OUT):
                 cols = list(zip(*(features(t, audio) for t in part.column(1).to_pylist())))
                 kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "n_bytes", "media", "payload", "tensors", "n_frames", "n_segments"])

@@ -7,7 +7,22 @@ import functools
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+SLICE_BYTES = 2 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows and `size` bytes of the text in `column`, or of one row that is longer."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(upto, before + size, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def give_back() -> None:

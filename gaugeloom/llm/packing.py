@@ -20,16 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeloom.llm import store
-from gaugeloom.llm.memory import tidy
+from gaugeloom.llm.memory import slices, tidy
 from gaugeloom.llm.words import word_hashes
 
 DIMS, BITS = 4, 8
 END = 1
-ROWS = 5_000
+ROWS, SLICE_BYTES = 5_000, 4 << 20
 PIECES = 1_024
-RANGE_SEQUENCES = 64
-CACHE_ENTRIES = 300_000
-
+RANGE_SEQUENCES = 64  # a range has so many full sequences at least,
+RANGE_TOKENS = 1 << 25  # and so many tokens at most
+CACHE_WORDS, WORD_BYTES = 300_000, 64  # words kept, of so many bytes at most
+STOPS = r"([a-z\x{df}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}])([.,]) "  # a stop behind a Latin letter is a token of its own
 
 _SIGNS = np.array([[1 if pattern >> d & 1 else -1 for d in range(DIMS)] for pattern in range(1 << DIMS)])
 
@@ -81,7 +82,8 @@ def curve_keys(texts: list[str | None]) -> np.ndarray:
 class Tokens:
     """Ids, 16 bits each, of texts under a `tokenizers` file whose pre-tokenizer splits at blanks and lower-cases.
 
-    Blank-separated parts are encoded once and kept; two generations bound the memory.
+    Blank-separated words are encoded once and kept with their ids in Arrow
+    arrays; of more than CACHE_WORDS the half that was met longest ago goes.
     """
 
     def __init__(self, path: str):
@@ -93,67 +95,63 @@ class Tokens:
         self.model = Tokenizer.from_file(path)
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("more than 65,536 ids")
-        vocabulary = self.model.get_vocab()
         self.ends = np.zeros(1 << 16, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, ...]:
-        """A full stop or comma after a Latin letter is a token of its own."""
-        return (word[:-1], word[-1]) if len(word) > 1 and word[-1] in ",." and word[-2] < "\\u0130" and word[-2].isalpha() else (word,)
+        self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith("</w>")]] = True
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
+        self.met, self.calls = np.zeros(0, np.int64), 0
 
     @staticmethod
     def _plain(word: str) -> bool:
         """One token run: letters only, of scripts whose lower case and composition are letters again."""
         return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word))
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if self._plain(w)]
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of the words."""
+        out = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if self._plain(w)]
         for i in range(0, len(plain), 2_000):  # all in one text: every word ends with the only token of its that ends words
             part = plain[i : i + 2_000]
-            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
+            ids = np.array(self.model.encode_batch_fast([" ".join([words[k] for k in part])], add_special_tokens=False)[0].ids, np.uint16)
             ends = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             data = ids.tobytes()
-            for w, a, b in zip(part, [0, *ends], ends, strict=False):
-                self.new[w] = data[a:b]
-        rest = [w for w in words if not self._plain(w)]
-        for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False)):
-            self.new[w] = array("H", e.ids).tobytes()
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
-        new, old = self.new, self.old
-        out = list(map(new.get, words))
-        lacking = [i for i, ids in enumerate(out) if ids is None]
-        split = {}
-        for w in [words[i] for i in lacking]:
-            if w in old:
-                new[w] = old[w]
-            else:
-                split[w] = tuple(p.lower() if self._plain(p) else p for p in self._parts(w))
-        self._learn(list({p for parts in split.values() for p in parts}.difference(new)))
-        for w, parts in split.items():
-            new[w] = new[parts[0]] if len(parts) == 1 else new[parts[0]] + new[parts[1]]
-        for i in lacking:
-            out[i] = new[words[i]]
-        if len(new) > CACHE_ENTRIES:
-            self.old, self.new = new, {"": b""}
+            for k, a, b in zip(part, [0, *ends], ends, strict=False):
+                out[k] = data[a:b]
+        rest = [i for i, w in enumerate(words) if w and not self._plain(w)]
+        for i in range(0, len(rest), 2_000):
+            part = rest[i : i + 2_000]
+            for k, e in zip(part, self.model.encode_batch_fast([words[k] for k in part], add_special_tokens=False)):
+                out[k] = array("H", e.ids).tobytes()
         return out
 
     def encode(self, texts: pa.Array) -> pa.BinaryArray:
         """Each text's ids, 16 bits each. Words are looked up once per call; the ids of the distinct ones are dealt out by Arrow."""
         flat = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
         if not pc.any(pc.match_substring(flat, "<|")).as_py():  # special tokens are told apart by case, before anything else
-            flat = pc.replace_substring_regex(pc.ascii_lower(flat), r"([a-z])([.,]) ", r"\1 \2 ")
+            flat = pc.replace_substring_regex(pc.ascii_lower(flat), STOPS, r"\1 \2 ")
         rows = pc.split_pattern(flat, " ")
         coded = rows.flatten().dictionary_encode()
-        dealt = pa.array(self._ids(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices)
+        at = pc.index_in(coded.dictionary, value_set=self.words)
+        lacking = coded.dictionary.filter(pc.is_null(at))
+        learnt = pa.array(self._learn(lacking.to_pylist()), pa.binary())
+        known = at.to_numpy(zero_copy_only=False)
+        fresh, self.calls = np.isnan(known) if known.dtype.kind == "f" else np.zeros(len(known), bool), self.calls + 1
+        place = np.where(fresh, len(self.words) + np.cumsum(fresh) - 1, known).astype(np.int32)
+        self.met[place[~fresh]] = self.calls
+        ids = pa.concat_arrays([self.ids, learnt])
+        dealt = ids.take(pa.array(place).take(coded.indices))
+        self._keep(lacking, learnt)
         of_word = np.frombuffer(dealt.buffers()[1], np.int32)[dealt.offset :]
         of_text = of_word[rows.offsets.to_numpy() - rows.offsets[0].as_py()] if len(texts) else np.zeros(1, np.int32)
         return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(of_text.astype(np.int32)), dealt.buffers()[2]])
 
+    def _keep(self, words: pa.StringArray, ids: pa.BinaryArray) -> None:
+        short = pc.less_equal(pc.binary_length(words), WORD_BYTES)
+        self.words, self.ids = pa.concat_arrays([self.words, words.filter(short)]), pa.concat_arrays([self.ids, ids.filter(short)])
+        self.met = np.concatenate([self.met, np.full(len(self.words) - len(self.met), self.calls)])
+        if len(self.words) > CACHE_WORDS:
+            late = np.sort(np.argsort(self.met, kind="stable")[-CACHE_WORDS // 2 :])
+            self.words, self.ids, self.met = self.words.take(pa.array(late)), self.ids.take(pa.array(late)), self.met[late]
+
 
 @cache
 def tokens(path: str) -> Tokens:
@@ -171,13 +169,15 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, ranges: int | Non
     Each document's ids, then END, are laid along the curve; a piece is what of
     a document falls into one sequence. Null texts are empty: they have END
     alone. Repeated rows are documents of their own; extra columns are ignored;
-    an empty table gives no pieces. doc_id is taken as a long.
+    an empty table gives no pieces. doc_id is taken as a long; rows without one
+    are packed under null. Texts are encoded in slices of bounded bytes; a very
+    long one is a slice of its own and spreads over as many sequences as it fills.
     """
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokens(tokenizer)
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
+            for part in slices(batch, 1, ROWS, SLICE_BYTES):
                 keys = curve_keys(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), model.encode(part.column(1))], names=["doc_id", "key", "ids"])
 
@@ -223,8 +223,8 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, ranges: int | Non
 
     encoded = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(encode), "doc_id long, key long, ids binary")
     encoded = store.written(encoded, "packing-tokens", "lz4_raw")
-    if ranges is None:  # as many as shuffles have, but of RANGE_SEQUENCES full sequences at least
+    if ranges is None:  # as many as shuffles have, but not of fewer than RANGE_SEQUENCES full sequences, nor of more than RANGE_TOKENS
         total = (encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 2
-        ranges = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (RANGE_SEQUENCES * longest)))
+        ranges = max(1, -(-total // RANGE_TOKENS), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (RANGE_SEQUENCES * longest)))
     ordered = encoded.repartitionByRange(ranges, "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
     return ordered.select("doc_id", "ids").mapInArrow(tidy(lay), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

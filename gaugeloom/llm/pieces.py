@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeloom.llm.memory import tidy
+from gaugeloom.llm.memory import slices, tidy
 
 SPACE = "▁"
 ROWS_OUT = 256
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
+CACHE_LETTERS = 64  # longer chunks are not kept
 NORMAL, BYTE = 1, 6  # piece types of the model format
 
 
@@ -78,6 +79,8 @@ class Encoder:
         """Whether the encoding of left + right is those two: no merge across the boundary comes before theirs."""
         known = self.fits.get((left, right))
         if known is None:
+            if len(self.fits) >= CACHE_ENTRIES:
+                self.fits.clear()
             known = self.fits[left, right] = self._compatible(left, right)
         return known
 
@@ -156,13 +159,31 @@ class Chunks:
         if have is None:
             have = self.old.get(s)
             if have is None:
-                if len(s) > 2 and s[-2:] not in self.model.inside:  # no token crosses, as before most punctuation
-                    return self.get(s[:-1]) + self.get(s[-1])
-                have = np.array(self.model.chunk(s), np.uint16).tobytes()
+                have = b"".join(map(self._part, self._cut(s)))
+            self._keep(s, have)
+        return have
+
+    def _cut(self, s: str) -> list[str]:
+        """Parts of a chunk that no token crosses, as before most punctuation: no piece has those two characters side by side."""
+        inside, at, out = self.model.inside, 0, []
+        for i in range(1, len(s)):
+            if s[i - 1 : i + 1] not in inside:
+                out.append(s[at:i])
+                at = i
+        return [*out, s[at:]]
+
+    def _part(self, s: str) -> bytes:
+        have = self.new.get(s)
+        if have is None:
+            have = np.array(self.model.chunk(s), np.uint16).tobytes()
+            self._keep(s, have)
+        return have
+
+    def _keep(self, s: str, ids: bytes) -> None:
+        if len(s) <= CACHE_LETTERS:
             if len(self.new) >= CACHE_ENTRIES:
                 self.old, self.new = self.new, {}
-            self.new[s] = have
-        return have
+            self.new[s] = ids
 
 
 @cache
@@ -198,14 +219,14 @@ def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
     The ids are those of the sentencepiece library without begin and end ids,
     and the text that of its decode(ids). Null and empty texts have no ids and
     decode to an empty text. Rows are independent: repeated rows give repeated
-    results, an empty table none; other columns are ignored.
+    results, an empty table none; other columns are ignored. Time and memory
+    grow with a text's length, whether it has blanks or not.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _chunks(model_file)
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(i, ROWS_OUT)
+            for part in slices(batch, 1, ROWS_OUT):
                 got = [encode(t or "", chunks) for t in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got).astype(np.int32)))

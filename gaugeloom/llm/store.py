@@ -6,6 +6,7 @@ from shared storage, not a recomputation of everything before.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ _paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where the cluster names it; a temporary folder where it is unset (local tests)."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder in local mode, and an error on a cluster, whose machines share none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.gettempdir()}/gaugeloom-{spark.sparkContext.applicationId}"
     return path.rstrip("/")
 
