@@ -2,8 +2,9 @@
 
 Training counts n-grams per language in the tasks and adds them up by a
 shuffle; the matrix of log-probabilities, languages x BUCKETS, is all that
-reaches the driver and the broadcast. Scoring hashes the n-grams of a block of
-documents in numpy and adds up the matrix's columns per document.
+reaches the driver and the broadcast, with the languages' shares of the rows as
+priors. Scoring hashes the n-grams of a block of documents in numpy, counts the
+buckets that each document has, and adds up the matrix's rows of those.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeloom.llm import store
-from gaugeloom.llm.memory import tidy
+from gaugeloom.llm.memory import slices, tidy
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 TRAIN_ROWS = 20_000
-ROWS = 512
-MAX_LANGUAGES = 1_000
+ROWS, BLOCK_POINTS, CELLS = 128, 1 << 16, 1 << 20  # documents and code points counted at once, numbers gathered at once
+MAX_LANGUAGES = 500
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint32(0x9E3779B1)
@@ -34,7 +35,7 @@ _MIX = np.uint32(0x9E3779B1)
 class Model:
     languages: tuple[str, ...]
     log_prob: np.ndarray  # (BUCKETS, languages), float32
-    prior: np.ndarray
+    prior: np.ndarray  # logarithms
 
 
 def grams(points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -58,71 +59,93 @@ def train_rows(docs: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     return labelled.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("lang", F.col("text").cast("string"))
 
 
+def blocks(text: str) -> Iterator[np.ndarray]:
+    """Code points of a text in blocks that overlap, so that every n-gram of the highest order, and no other, begins in one block alone."""
+    points, more = code_points(text), max(ORDERS) - 1
+    for i in range(0, len(points), BLOCK_POINTS):
+        yield points[i : i + BLOCK_POINTS + more]
+
+
+def bucket_counts(text: str) -> np.ndarray:
+    """How many n-grams of a text each bucket has."""
+    out = np.zeros(BUCKETS, np.int64)
+    for points in blocks(text):
+        for _, g in grams(points):
+            out += np.bincount(g[:BLOCK_POINTS], minlength=BUCKETS)
+    return out
+
+
 def train(docs: DataFrame, limit: int = TRAIN_ROWS, smoothing: float = 0.5) -> Model:
-    """The model of `docs` (doc_id, lang, text). Bounds: `limit` rows, MAX_LANGUAGES languages."""
+    """The model of `docs` (doc_id, lang, text). Bound: `limit` rows, those with the smallest hashes of doc_id.
+
+    Rows with a null doc_id, lang or text teach nothing; repeated rows count as
+    often as they occur; an empty table gives a model without languages. More
+    than MAX_LANGUAGES languages are an error.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                have = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for _, g in grams(code_points(text)):
-                    have += np.bincount(g, minlength=BUCKETS)
+                have = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
+                have[:BUCKETS] += bucket_counts(text)
+                have[BUCKETS] += 1  # the number of rows, for the prior
         for lang, have in sums.items():
             at = np.flatnonzero(have)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(have[at])], names=["lang", "bucket", "n"])
 
     counts = train_rows(docs, limit).mapInArrow(tidy(count), "lang string, bucket int, n long")
-    rows = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).orderBy("lang").limit(MAX_LANGUAGES).collect()
-    table = np.full((BUCKETS, len(rows)), smoothing)
+    rows = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    table = np.full((BUCKETS + 1, len(rows)), smoothing)
     for k, r in enumerate(rows):
-        if r["x"]:
-            at, n = np.array(r["x"]).T
-            table[at, k] += n
-    prior = np.zeros(len(rows), np.float32)  # texts are long: a flat prior
-    return Model(tuple(r["lang"] for r in rows), np.log(table / table.sum(axis=0)).astype(np.float32), prior)
-
-
-def scores(texts: list[str], model: Model) -> np.ndarray:
-    """(texts, languages): the mean log-probability of a text's n-grams. All texts must have a character."""
-    table = np.vstack([model.log_prob, np.zeros((1, len(model.languages)), np.float32)])
-    pad = np.zeros(max(ORDERS), np.uint32)
-    out, block, size, first = np.zeros((len(texts), len(model.languages))), [], 0, 0
+        at, n = np.array(r["x"]).T
+        table[at, k] += n
+    words, prior = table[:BUCKETS], table[BUCKETS]
+    return Model(tuple(r["lang"] for r in rows), np.log(words / words.sum(axis=0)).astype(np.float32), np.log(prior / prior.sum()))
+
+
+def scores(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """((texts, languages): log P(n-grams of the text, language); the number of n-grams). At most ROWS texts."""
+    out, total = np.tile(model.prior, (len(texts), 1)), np.zeros(len(texts), np.int64)
+    counts = np.zeros((len(texts), BUCKETS), np.int32)
     for k, text in enumerate(texts):
-        block.append(code_points(text))
-        size += len(block[-1])
-        if size > 1 << 17 or k == len(texts) - 1:
-            lengths = np.array([len(b) for b in block])
-            starts = np.concatenate([[0], np.cumsum(lengths + len(pad))[:-1]])
-            ends = starts + lengths
-            for order, g in grams(np.concatenate([x for b in block for x in (b, pad)])):
-                for over in range(1 - order, len(pad)):  # n-grams that reach past the end of their text count nothing
-                    at = ends + over
-                    g[at[(at >= 0) & (at < len(g))]] = BUCKETS
-                out[first : k + 1] += np.add.reduceat(table[g], np.minimum(starts, len(g) - 1), axis=0)
-            out[first : k + 1] /= lengths[:, None]
-            block, size, first = [], 0, k + 1
-    return out
+        for points in blocks(text):
+            for _, g in grams(points):
+                g = g[:BLOCK_POINTS]
+                total[k] += len(g)
+                np.add(counts[k], np.bincount(g, minlength=BUCKETS), out=counts[k], casting="unsafe")
+    text, bucket = np.nonzero(counts)
+    step = max(1, CELLS // max(1, len(model.languages)))
+    for i in range(0, len(text), step):
+        t = text[i : i + step]
+        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        out[t[first]] += np.add.reduceat(counts[t, bucket[i : i + step], None] * model.log_prob[bucket[i : i + step]].astype(np.float64), first, axis=0)
+    return out, total
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, sharpness: float = 20.0) -> DataFrame:
     """The columns `keep` (default: all) of docs with lang_pred and score.
 
-    The score is the posterior of a text of `sharpness` n-grams with the
-    text's mean log-probabilities, from 0 to 1. Null texts, texts without a
-    letter and any text under a model without languages get `und` and 0.
-    Columns of docs named lang_pred and score are replaced.
+    The language is the likeliest one; ties go to the first in alphabetical
+    order. The score is its posterior, from 0 to 1, for texts of up to
+    `sharpness` n-grams; for longer ones the evidence is scaled to as many.
+    Null texts, texts without a letter and any text under a model without
+    languages get `und` and 0. Repeated rows score alike; an empty table stays
+    empty. Columns of docs named lang_pred and score are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        for batch in (part for b in batches for part in slices(b, b.num_columns - 1, ROWS)):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             known = [k for k, t in enumerate(texts) if t and m.languages and LETTER.search(t)]
             pred, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             if known:
-                s = scores([texts[k] for k in known], m) * sharpness
+                s, total = scores([texts[k] for k in known], m)
+                s *= np.minimum(1, sharpness / total)[:, None]
                 p = np.exp(s - s.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 for k, best, row in zip(known, s.argmax(axis=1), p):

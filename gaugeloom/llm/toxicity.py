@@ -2,9 +2,10 @@
 
 Words spelt with digits and signs, stretched by repeated letters or spaced out
 are seen as the output of a noisy channel. A lattice lists what letters each
-character may stand for (or that it stands for none); a character trigram model
-learned from the corpus picks the likeliest path (Viterbi), and the restored
-word is scored along with the plain ones.
+character may stand for (or that it stands for none), and that a separator ends
+a word or stands inside one; a character trigram model learned from all texts
+picks the likeliest path (Viterbi), and the restored words are scored along
+with the plain ones.
 
 A document's score is the logistic of a bias and the weights of the features
 that it holds: words, and beginnings of words of four and five letters, whose
@@ -17,7 +18,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeloom.llm import store
-from gaugeloom.llm.memory import tidy
-from gaugeloom.llm.words import word_hashes
+from gaugeloom.llm.memory import slices, tidy
+from gaugeloom.llm.words import mix, word_hashes
 
 TRAIN_ROWS = 20_000
 ROWS = 512
 LEXICON = 5_000
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES, CACHE_LETTERS = 100_000, 64  # tokens kept, and the longest of them
+STRETCH = 4_096  # characters that are decoded at once
+LETTER_BYTES = 256 << 10
 PREFIXES = (4, 5)
 BEGINNING = 3.0
 # What a character may stand for, beside itself if it is a letter.
@@ -41,12 +45,14 @@ LEET = {
 }
 WORD = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+][ .\-_*]){3,}[\w@$!|+](?!\w)")
-SIGN = re.compile(r"[^\W\d_].*[0-9@$!|+(€£#*]|[0-9@$!|+(€£#*].*[^\W\d_]")
+LETTER, SIGN = re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$!|+(€£#*]")
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
 SEPARATED = re.compile(r"[^\W\d_](?:[.\-_*~][^\W_]){2,}")
 EDGE = "!$*.,;:?\"'()[]{}<>|…"
 LETTERS = 28  # word edge, a to z, any other letter
 SWAP, LOSE, DROP, MERGE = math.log(0.3), math.log(0.002), math.log(0.02), math.log(0.6)
+GAPS = " .-_*"
+END_WORD, JOIN = math.log(0.05), math.log(0.95)  # of a separator in a run of single characters
 
 
 def _index(c: str) -> int:
@@ -60,37 +66,60 @@ class Model:
     weights: dict[int, dict[str, float]]
     bias: float
     letters: np.ndarray
-    long_words: tuple[str, ...] = field(default=())
 
 
-def restore(noisy: str, letters: np.ndarray) -> str:
-    """The likeliest reading of `noisy` (lower case).
+def restore(noisy: str, letters: list[list[list[float]]], spaced: bool = False) -> str:
+    """The likeliest reading of `noisy` (lower case), decoded in stretches of STRETCH characters.
 
-    A state is the last two letters; of all paths into a state the best stays.
-    A letter stands for itself, or for nothing if it repeats the one before; a
-    sign stands for its letters or for nothing.
+    A state is the last two letters, of which the edge of a word is one; of all
+    paths into a state the best stays, as a pointer back. A letter stands for
+    itself, or for nothing if it repeats the one before; a sign stands for its
+    letters or for nothing. If `spaced`, separators end a word or stand for nothing.
     """
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    stretched = set(STRETCHED.findall(noisy)) | set(noisy[:1])
+    read: list[str] = []
+    states: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
+
+    def settle(to: tuple[int, int]) -> None:
+        out = []
+        for step in reversed(back):
+            to, x = step[to]
+            out.append(x)
+        read.append("".join(reversed(out)))
+        back.clear()
+
     before = ""
     for c in noisy:
-        if c.isalpha():
+        if spaced and c in GAPS:
+            options = [(" ", END_WORD), ("", JOIN)]
+        elif c.isalpha():
             options = [(c, 0.0)]
             if c == before:
-                options = [(c, DROP), ("", MERGE)] if c == noisy[:1] or noisy.count(c * 3) else [(c, 0.0), ("", DROP)]
+                options = [(c, DROP), ("", MERGE)] if c in stretched else [(c, 0.0), ("", DROP)]
         else:
             options = [(x, SWAP) for x in LEET.get(c, "")] + [("", LOSE if c in LEET else 0.0)]
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+        after: dict[tuple[int, int], float] = {}
+        step: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for (a, b), score in states.items():
             for x, cost in options:
-                if x:
+                if x == " ":
+                    to, s = (0, 0), score + cost + (letters[a][b][0] if b else 0.0)
+                elif x:
                     i = _index(x)
-                    to, s, t = (b, i), score + cost + letters[a, b, i], text + x
+                    to, s = (b, i), score + cost + letters[a][b][i]
                 else:
-                    to, s, t = (a, b), score + cost, text
-                if to not in after or s > after[to][0]:
-                    after[to] = (s, t)
-        states, before = after, c
-    return max(((s + letters[a, b, 0], t) for (a, b), (s, t) in states.items()), key=lambda x: x[0])[1]
+                    to, s = (a, b), score + cost
+                if to not in after or s > after[to]:
+                    after[to], step[to] = s, ((a, b), x)
+        back.append(step)
+        states, before = after, before if spaced and c in GAPS else c
+        if len(back) == STRETCH:
+            best = max(states, key=states.get)
+            settle(best)
+            states = {best: 0.0}
+    settle(max(states, key=lambda at: states[at] + letters[at[0]][at[1]][0]))
+    return "".join(read)
 
 
 def noisy_part(token: str) -> str | None:
@@ -98,7 +127,7 @@ def noisy_part(token: str) -> str | None:
     core = token.strip(EDGE)
     inner = token.rstrip(".,;:?\"')]}>…").lstrip("\"'([{<") if token[:1] in "$@|!" else core
     for part in (inner, core):
-        if part and (SIGN.search(part) or STRETCHED.search(part) or SEPARATED.search(part)):
+        if part and (LETTER.search(part) and SIGN.search(part) or STRETCHED.search(part) or SEPARATED.search(part)):
             return part
     return None
 
@@ -112,7 +141,7 @@ class Scorer:
     """Scores texts; keeps what the tokens seen most recently amount to."""
 
     def __init__(self, model: Model):
-        self.model, self.new, self.old = model, {}, {}
+        self.model, self.letters, self.new, self.old = model, model.letters.tolist(), {}, {}
 
     def token(self, token: str) -> tuple[tuple[int, str], ...]:
         have = self.old.get(token)
@@ -120,11 +149,12 @@ class Scorer:
             m = self.model
             found = [f for w in WORD.findall(token) for f in _features(w, m.weights)]
             if (part := noisy_part(token)) is not None:
-                found += [f for w in WORD.findall(restore(part, m.letters)) for f in _features(w, m.weights)]
+                found += [f for w in WORD.findall(restore(part, self.letters)) for f in _features(w, m.weights)]
             have = tuple(found)
-        if len(self.new) >= CACHE_ENTRIES:
-            self.old, self.new = self.new, {}
-        self.new[token] = have
+        if len(token) <= CACHE_LETTERS:
+            if len(self.new) >= CACHE_ENTRIES:
+                self.old, self.new = self.new, {}
+            self.new[token] = have
         return have
 
     def score(self, text: str | None) -> float:
@@ -136,10 +166,9 @@ class Scorer:
                 have = self.token(token)
             if have:
                 found.update(have)
-        for spaced in SPACED.findall(lower):
-            joined = restore(re.sub(r"[ .\-_*]", "", spaced), m.letters)
-            found.update((0, w) for w in m.long_words if w in joined)
-            found.update(_features(joined, m.weights))
+        for run in SPACED.findall(lower):
+            for word in WORD.findall(restore(run, self.letters, spaced=True)):
+                found.update(_features(word, m.weights))
         total = m.bias + sum(m.weights[k][f] for k, f in found)
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, total))))
 
@@ -152,36 +181,77 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Dat
 
 
 def one_of_copies(sample: DataFrame) -> DataFrame:
-    """One row per smallest hash of three words: what copies share must not count as often as there are copies."""
+    """One row per label and key of a text: what copies share must not count as often as there are copies.
+
+    The key of near copies is most often the same, two independent minima over
+    hashes of three words; a text of fewer words has its word sequence as key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in slices(b, 1, ROWS)):
+            least = []
+            for h in word_hashes(batch.column(1).to_pylist()):
+                g = h[:-2] + np.uint64(3) * h[1:-1] + np.uint64(5) * h[2:] if len(h) > 2 else h
+                least.append((mix(g).min() >> np.uint64(1), mix(g ^ np.uint64(0x5851F42D4C957F2D)).min() >> np.uint64(1)) if len(h) > 2 else (len(h), int(h @ (2 * np.arange(len(h), dtype=np.uint64) + 1)) >> 1))
+            keys = np.array(least, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["toxic", "text", "k1", "k2"])
+
+    return sample.mapInArrow(tidy(run), "toxic int, text string, k1 long, k2 long").groupBy("k1", "k2", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
+
+
+@cache
+def _classes() -> np.ndarray:
+    """_index of every code point that is a letter, else 0."""
+    out = np.zeros(0x110000, np.uint8)
+    for c in range(len(out)):
+        if WORD.match(chr(c)):
+            out[c] = _index(chr(c))
+    return out
+
+
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """(LETTERS ** 3): how often a letter or the edge of a word follows two others, in lower case."""
+    at = _classes()[np.frombuffer("\n".join(["", *texts, ""]).lower().encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
+    one, two = at[:-1], np.concatenate([[0], at[:-2]])
+    use = (at[1:] > 0) | (one > 0)
+    return np.bincount(((np.where(one > 0, two, 0) * LETTERS + one) * LETTERS + at[1:])[use], minlength=LETTERS**3)
+
+
+def letter_model(docs: DataFrame) -> np.ndarray:
+    """Counts of letter trigrams over all texts. A task returns at most LETTERS ** 3 rows, as does their sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
-            least = [int((h[:-2] + np.uint64(3) * h[1:-1] + np.uint64(5) * h[2:]).min()) >> 1 if len(h) > 2 else len(h) for h in word_hashes(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["toxic", "text", "least"])
+        sums = np.zeros(LETTERS**3, np.int64)
+        for batch in (part for b in batches for part in slices(b, 0, ROWS, LETTER_BYTES)):
+            sums += letter_counts([t for t in batch.column(0).to_pylist() if t])
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["gram", "n"])
 
-    return sample.mapInArrow(tidy(run), "toxic int, text string, least long").groupBy("least", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
+    counts = np.full(LETTERS**3, 0.05)
+    for r in docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        counts[r["gram"]] += r["n"]
+    return counts.reshape((LETTERS,) * 3)
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, lexicon: int = LEXICON) -> Model:
-    """The model of labelled documents. Bounds: `limit` rows, `lexicon` features."""
+    """The model of labelled documents (weights) and of all texts (letters). Bounds of the weights: `limit` rows, `lexicon` features.
+
+    Labels that are null, or of a null doc_id or one that docs lacks, teach
+    nothing; of several labels of a doc_id the most toxic counts. Null texts are
+    empty. Without toxic or without clean rows all texts score alike, below 0.5.
+    """
     sample = one_of_copies(labelled(docs, labels, limit))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic: Counter = Counter()
         clean: Counter = Counter()
-        grams: Counter = Counter()
         rows = [0, 0]
         for batch in batches:
             for y, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = set(WORD.findall(text.lower()))
                 rows[y] += 1
-                have = {(0, w) for w in words} | {(n, w[:n]) for n in PREFIXES for w in words if len(w) >= n}
-                (toxic if y else clean).update(have)
-                for w in words:
-                    at = [0, 0, *map(_index, w), 0]
-                    grams.update(zip(at, at[1:], at[2:]))
+                (toxic if y else clean).update({(0, w) for w in words} | {(n, w[:n]) for n in PREFIXES for w in words if len(w) >= n})
         out = [(k, f, toxic[k, f], clean[k, f]) for k, f in toxic.keys() | clean.keys()]
-        out += [(-1, f"{a} {b} {c}", n, 0) for (a, b, c), n in grams.items()]
         out.append((-2, "", rows[1], rows[0]))
         cols = list(zip(*out))
         for i in range(0, len(out), 50_000):
@@ -191,9 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, lexicon:
     counts = store.written(counts, "toxicity-counts")  # of at most `limit` documents
     n = counts.where("kind = -2").first()
     features = counts.where("kind >= 0").count()
-    letters = np.full((LETTERS,) * 3, 0.05)
-    for r in counts.where("kind = -1").collect():  # at most 28 ** 3
-        letters[tuple(map(int, r["feature"].split()))] += r["toxic"]
+    letters = letter_model(docs)
     weights: dict[int, dict[str, float]] = {k: {} for k in (0, *PREFIXES)}
     if n is None or not n["toxic"] or not n["clean"]:
         return Model(weights, -2.0, np.log(letters / letters.sum(axis=2, keepdims=True)))
@@ -210,22 +278,22 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, lexicon:
         at = [0, 0, *map(_index, w), 0]
         for gram in zip(at, at[1:], at[2:]):
             letters[gram] += letters[gram[0], gram[1]].sum() * 0.1
-    longer = tuple(sorted(w for w in weights[0] if len(w) >= 5))
-    return Model(weights, math.log(nt / nc) - 1, np.log(letters / letters.sum(axis=2, keepdims=True)), longer)
+    return Model(weights, math.log(nt / nc) - 1, np.log(letters / letters.sum(axis=2, keepdims=True)))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (default: all) of docs with toxicity, from 0 to 1.
 
     Null and empty texts score as the bias alone. Rows are independent:
-    repeated rows score alike, an empty table stays empty.
+    repeated rows score alike, an empty table stays empty. Time grows with a
+    text's length, with or without blanks. A column of docs named toxicity is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in (docs.columns if keep is None else keep) if c != "toxicity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        for batch in (part for b in batches for part in slices(b, b.num_columns - 1, ROWS)):
             got = [scorer.score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.float64())], names=[*kept, "toxicity"])
 

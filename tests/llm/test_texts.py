@@ -4,9 +4,10 @@ import hashlib
 import io
 import os
 import random
+import time
 import wave
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -59,11 +60,11 @@ def test_pieces_with_a_small_cache(monkeypatch, texts):
         assert pieces.encode(t or "", chunks).tolist() == sp.encode(t or "")
 
 
-@pytest.mark.parametrize("cache", [packing.CACHE_ENTRIES, 5])
+@pytest.mark.parametrize("cache", [packing.CACHE_WORDS, 5])
 def test_tokens_are_those_of_the_library(monkeypatch, texts, cache):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "CACHE_ENTRIES", cache)
+    monkeypatch.setattr(packing, "CACHE_WORDS", cache)
     path = public_tokenizers.path("word_bpe_49k.json")
     model, want = packing.Tokens(path), Tokenizer.from_file(path)
     for i in range(0, len(texts), 9):
@@ -157,11 +158,30 @@ def test_languages_are_told_on_held_out_rows(spark):
 
 
 def test_language_scores_match_single_texts():
-    model = langid.Model(("a", "b"), np.log(np.random.default_rng(1).random((langid.BUCKETS, 2))).astype(np.float32), np.zeros(2))
-    texts = ["x", "yz", "longer text here", "é" * 50, "z" * 300_000, "end"]
-    for t, s in zip(texts, langid.scores(texts, model)):
-        want = sum(model.log_prob[g].astype(float).sum(axis=0) for _, g in langid.grams(langid.code_points(t))) / len(t)
-        assert np.allclose(s, want, rtol=1e-3)
+    model = langid.Model(("a", "b"), np.log(np.random.default_rng(1).random((langid.BUCKETS, 2))).astype(np.float32), np.log([0.2, 0.8]))
+    texts = ["x", "yz", "longer text here", "é" * 50, "z" * 300_000, "end", "ab" * langid.BLOCK_POINTS]
+    for t, s, n in zip(texts, *langid.scores(texts, model)):
+        every = np.concatenate([g for _, g in langid.grams(langid.code_points(t))])
+        assert n == len(every) and np.allclose(s, model.prior + model.log_prob[every].astype(float).sum(axis=0), rtol=1e-6)
+
+
+def test_language_model_counts_are_those_of_brute_force(spark):
+    rows = [(0, "a", "abc"), (1, "a", "ab"), (2, "b", "xyz xyz"), (3, None, "zz"), (4, "b", None), (5, "b", ""), (None, "a", "qq"), (1, "a", "ab")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), smoothing=0.5)
+    assert model.languages == ("a", "b")
+    for k, texts in enumerate((["abc", "ab", "ab"], ["xyz xyz", ""])):
+        n = np.full(langid.BUCKETS, 0.5)
+        for t in texts:
+            for _, g in langid.grams(langid.code_points(t)):
+                np.add.at(n, g, 1)
+        assert np.allclose(model.log_prob[:, k], np.log(n / n.sum()), rtol=1e-5)
+    assert np.allclose(np.exp(model.prior), [3.5 / 6, 2.5 / 6])
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(spark.createDataFrame([(0, "a", "x"), (1, "b", "y")], "doc_id long, lang string, text string"))
 
 
 def toxic_corpus(n, seed=3):
@@ -194,6 +214,56 @@ def test_toxicity_reads_through_obfuscation(spark):
     assert toxicity.score(docs.limit(5), none).where("toxicity BETWEEN 0 AND 0.5").count() == 5
 
 
+LONG = ["".join(chr(0x4E00 + i % 3000) for i in range(100_000)), "😀" * 100_000, "1@" * 50_000, "a" * 100_000, "a1" * 50_000, "a." * 50_000, "a " * 50_000, "_ " * 50_000]
+
+
+@pytest.mark.parametrize("text", LONG, ids=range(len(LONG)))
+def test_long_texts_without_words(text):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, chunks = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Chunks(pieces.encoder(path))
+    ids = pieces.encode(text, chunks).tolist()
+    assert ids == sp.encode(text) and chunks.model.decode(ids) == sp.decode(ids)
+    model = toxicity.Model({0: {"idiot": 9.0}, 4: {}, 5: {}}, -2.0, np.log(np.full((toxicity.LETTERS,) * 3, 1 / toxicity.LETTERS)))
+    began = time.process_time()
+    assert toxicity.Scorer(model).score(text) < 0.5 < toxicity.Scorer(model).score(text + " idiot")
+    assert time.process_time() - began < 10  # about a second; what is quadratic takes minutes
+    assert len(langid.scores([text], langid.Model(("a", "b"), np.zeros((langid.BUCKETS, 2), np.float32), np.zeros(2)))[0]) == 1
+
+
+def test_letter_counts_match_plain_counting():
+    texts = ["The cat, the CAT", "", "a1b  c", "éa ² _x_", "\n\nend"]
+    want = Counter()
+    for w in toxicity.WORD.findall("\n".join(texts).lower()):
+        at = [0, 0, *map(toxicity._index, w), 0]
+        want.update(zip(at, at[1:], at[2:]))
+    got = toxicity.letter_counts(texts).reshape((toxicity.LETTERS,) * 3)
+    assert {tuple(map(int, g)): int(got[tuple(g)]) for g in np.argwhere(got)} == dict(want)
+
+
+def test_toxicity_trains_on_all_unlike_rows(spark):
+    rows = [(1, "you idiot"), (1, "you fool"), (1, "idiot"), (0, "idiot"), (1, "idiot"), (1, "a b c d"), (1, "a b c d"), (1, None)]
+    got = toxicity.one_of_copies(spark.createDataFrame(rows, "toxic int, text string")).collect()
+    assert len(got) == 6  # texts of one length are not one row
+    docs = spark.createDataFrame([(k, t, 1) for k, (_, t) in enumerate(rows)], "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(k, y, 2) for k, (y, _) in enumerate(rows)] + [(None, 1, 2), (99, 1, 2), (0, None, 2)], "doc_id long, toxic int, text int")
+    plain = toxicity.labelled(docs, labels).orderBy("text").collect()
+    assert [tuple(r) for r in plain] == sorted(((y, t or "") for y, t in rows), key=lambda r: r[1])
+
+
+def test_separators_are_edges_of_the_lattice():
+    letters = np.full((toxicity.LETTERS,) * 3, 0.01)
+    for w in ("you", "idiot", "are", "an"):
+        at = [0, 0, *map(toxicity._index, w), 0]
+        for g in zip(at, at[1:], at[2:]):
+            letters[g] += 1
+    letters = np.log(letters / letters.sum(axis=2, keepdims=True)).tolist()
+    assert toxicity.restore("i d i o t", letters, spaced=True).split() == ["idiot"]
+    assert toxicity.restore("y.o.u i-d-1-o-t", letters, spaced=True).split() == ["you", "idiot"]
+    assert toxicity.restore("y o u a r e", letters, spaced=True).split() == ["you", "are"]
+
+
 def test_viterbi_finds_the_best_path():
     letters = np.full((toxicity.LETTERS,) * 3, 0.01)
     for w in ("idiot", "idle", "lion", "toil"):
@@ -212,7 +282,7 @@ def test_viterbi_finds_the_best_path():
             options = [(c, 0.0)] if c.isalpha() else [(x, toxicity.SWAP) for x in toxicity.LEET[c]] + [("", toxicity.LOSE)]
             paths = [(t + x, s + cost) for t, s in paths for x, cost in options]
         best = max(s + score(t) for t, s in paths)
-        assert any(t == toxicity.restore(noisy, letters) and s + score(t) > best - 1e-9 for t, s in paths)
+        assert any(t == toxicity.restore(noisy, letters.tolist()) and s + score(t) > best - 1e-9 for t, s in paths)
 
 
 def test_shards_are_even_and_slots_gapless(spark):
