@@ -1,12 +1,16 @@
 """N-gram Jaccard join by vertical partitioning of the n-gram order.
 
-All n-grams are ordered by how many texts hold them, then by hash; the hashes'
-leading bits cut that order into fragments. Every fragment is one group: it
-sees all texts' parts of it, so it alone can tell which of its n-grams at least
-two texts share. N-grams of one text can't add to any overlap, and a text whose
-shared n-grams are too few to reach the threshold has no partner; what is left
-is a small share of the corpus. Candidate pairs meet in a prefix of the order;
-their partial overlaps are counted fragment by fragment and summed.
+First, n-grams are dealt by the leading bits of their hashes. Every part of the
+hash space is one group, so it alone can tell how many texts hold its n-grams.
+N-grams of one text can't add to any overlap, and a text whose shared n-grams
+are too few to reach the threshold has no partner; what is left is a small
+share of the corpus.
+
+The other n-grams are ordered by how many texts hold them, then by hash, and
+that order is cut into FRAGMENTS contiguous fragments of about equal weight.
+Candidate pairs meet in a prefix of the order. Their partial overlaps are
+counted fragment by fragment, from the rarest n-grams on, and summed; a pair
+goes as soon as what is left of either text can't lift it to the threshold.
 
 Equal sets are one node from the start. Candidates first go only between a
 node and one leader per prefix n-gram; the links found so far make clusters,
@@ -34,13 +38,15 @@ from gaugeloom.llm.memory import give_back, tidy
 from gaugeloom.llm.words import mix, word_hashes
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
-HOT_GRAMS, HOT_FRAGMENTS = 100_000, 8  # n-grams that are broadcast as frequent, and the fragments they make up
+HOT_GRAMS, HOT_PARTS = 100_000, 8  # n-grams that are broadcast as frequent, and the parts they make up
 LOCAL_HOT = 2_048  # an n-gram is a candidate for that if it is in so great a part of a batch of texts (and in 8)
-FRAGMENT_GRAMS = 12_000_000
-SLICE_BITS = 3  # a fragment is sorted in so many parts as these bits tell apart, to bound memory
+PART_GRAMS = 6_000_000
+SLICE_BITS = 3  # a part is sorted in so many slices as these bits tell apart, to bound memory
 SCAN_ROWS, DEAL_ROWS = 2_048, 1_024
-BANDS = 2  # neighbouring fragments that are counted together for a pair
-LEADERS = 4
+FRAGMENTS = 4  # of the order, counted one after the other
+HOT_RANK = 64
+LEADERS, HOT_LEADERS, HOT_ROWS = 4, 20_000, 1_000  # at most so many leaders are broadcast, of n-grams with more than so many texts
+CELL_TEXTS = 1_000  # texts of an n-gram that meet as many others in one cell
 TURNS, FEW_MEETINGS, MEETINGS = 8, 20_000, 0.5  # at most so many turns of more leaders, while more than so many pairs are left across clusters, or per prefix n-gram
 GRAM_BYTES = 5
 _STEPS = [np.uint64(pow(0xD1342543DE82EF95, k, 1 << 64)) for k in range(64)]
@@ -103,9 +109,9 @@ def _hot(scan: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["key"] for r in counted.select("key").collect()], np.int64).view(np.uint64))
 
 
-def _to_bytes(grams: np.ndarray, fragment_bits: int) -> bytes:
-    """GRAM_BYTES bytes each, of the bits behind those that name the fragment."""
-    return (grams << np.uint64(fragment_bits) >> np.uint64(64 - 8 * GRAM_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES].tobytes()
+def _to_bytes(grams: np.ndarray, part_bits: int) -> bytes:
+    """GRAM_BYTES bytes each, of the bits behind those that name the part."""
+    return (grams << np.uint64(part_bits) >> np.uint64(64 - 8 * GRAM_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES].tobytes()
 
 
 def _from_bytes(data: bytes) -> np.ndarray:
@@ -125,10 +131,10 @@ def _all_grams(column: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def _deal(docs: DataFrame, hot: np.ndarray, fragment_bits: int, width: int) -> DataFrame:
-    """Per batch and fragment a row with the parts of all its texts: keys, sizes, lengths of parts, n-grams, and at home the hot ones."""
+def _deal(docs: DataFrame, hot: np.ndarray, part_bits: int, width: int) -> DataFrame:
+    """Per batch and part of the hash space a row with what all its texts have there: keys, sizes, lengths, n-grams, and at home the hot ones."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
-    fragments = 1 << fragment_bits
+    parts = 1 << part_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = sent.value
@@ -147,12 +153,12 @@ def _deal(docs: DataFrame, hot: np.ndarray, fragment_bits: int, width: int) -> D
             hot_owner, hot_place = owner[is_hot], place[is_hot].astype("<i4")
             hot_begin = np.searchsorted(hot_owner, np.arange(len(sets) + 1))
             grams, owner = grams[~is_hot], owner[~is_hot]
-            fragment = (grams >> np.uint64(64 - fragment_bits)).astype(np.int64)
-            order = np.argsort(fragment, kind="stable")  # inside a fragment still by owner, then by n-gram
+            part_of = (grams >> np.uint64(64 - part_bits)).astype(np.int64)
+            order = np.argsort(part_of, kind="stable")  # inside a part still by owner, then by n-gram
             grams, owner = grams[order], owner[order]
-            begin = np.searchsorted(fragment[order], np.arange(fragments + 1))
-            home = keys & (fragments - 1)
-            for f in range(fragments):
+            begin = np.searchsorted(part_of[order], np.arange(parts + 1))
+            home = keys & (parts - 1)
+            for f in range(parts):
                 a, b = begin[f], begin[f + 1]
                 part = np.bincount(owner[a:b], minlength=len(sets))
                 who = np.flatnonzero((part > 0) | (home == f))
@@ -161,11 +167,11 @@ def _deal(docs: DataFrame, hot: np.ndarray, fragment_bits: int, width: int) -> D
                 hots = [hot_place[hot_begin[w] : hot_begin[w + 1]] if home[w] == f else hot_place[:0] for w in who]
                 cols = [
                     pa.array([f], pa.int32()), pa.array([keys[who].tobytes()]), pa.array([sizes[who].astype("<i4").tobytes()]), pa.array([part[who].astype("<i4").tobytes()]),
-                    pa.array([_to_bytes(grams[a:b], fragment_bits)]), pa.array([np.array([len(h) for h in hots], "<i4").tobytes()]), pa.array([np.concatenate(hots).tobytes()]),
+                    pa.array([_to_bytes(grams[a:b], part_bits)]), pa.array([np.array([len(h) for h in hots], "<i4").tobytes()]), pa.array([np.concatenate(hots).tobytes()]),
                 ]
-                yield pa.RecordBatch.from_arrays(cols, names=["fragment", "keys", "sizes", "parts", "grams", "hot_parts", "hot"])
+                yield pa.RecordBatch.from_arrays(cols, names=["part", "keys", "sizes", "parts", "grams", "hot_parts", "hot"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "fragment int, keys binary, sizes binary, parts binary, grams binary, hot_parts binary, hot binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "part int, keys binary, sizes binary, parts binary, grams binary, hot_parts binary, hot binary")
 
 
 def _held_twice(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,16 +186,16 @@ def _held_twice(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
-    """(key, n, fragment, grams, ranks): of each text's part of a fragment the n-grams that other texts hold too.
+    """(key, n, part, grams, ranks): of what each text has in a part the n-grams that other texts hold too.
 
-    An n-gram is a long: the fragment and the bits that were sent; hot ones
-    have negative numbers and fragments of their own. Ranks order them: the number of texts that hold
+    An n-gram is a long: the part and the bits that were sent; hot ones
+    have negative numbers and parts of their own. Ranks order them: the number of texts that hold
     one, as a power of two; hot ones come last.
     """
 
     def run(table: pa.Table) -> pa.Table:
         col = lambda n, t: np.concatenate([np.frombuffer(x, t) for x in table[n].to_pylist()])
-        f = table["fragment"][0].as_py()
+        f = table["part"][0].as_py()
         keys, sizes, parts, hot_parts, hot = col("keys", np.int64), col("sizes", "<i4"), col("parts", "<i4"), col("hot_parts", "<i4"), col("hot", "<i4")
         grams = _all_grams(table["grams"])
         _, once = np.unique(keys, return_index=True)  # equal texts from other batches
@@ -208,9 +214,9 @@ def _shared(dealt: DataFrame) -> DataFrame:
         use = first[hot_owner]
         hot = hot[use]
         owner = np.concatenate([owner, hot_owner[use]])
-        place = np.concatenate([np.full(len(grams), f), -1 - hot % HOT_FRAGMENTS])
+        place = np.concatenate([np.full(len(grams), f), -1 - hot % HOT_PARTS])
         grams = np.concatenate([grams, -1 - hot.astype(np.int64)])
-        rank = np.concatenate([rank, 64 + hot])
+        rank = np.concatenate([rank, HOT_RANK + hot])
         order = np.lexsort((place, owner))
         owner, place, grams, rank = owner[order], place[order], grams[order], rank[order]
         begin = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])])) if len(owner) else np.zeros(0, np.int64)
@@ -218,9 +224,9 @@ def _shared(dealt: DataFrame) -> DataFrame:
         lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (grams, rank.astype(np.int32))]
         who = owner[begin]
         give_back()
-        return pa.table([pa.array(keys[who]), pa.array(sizes[who].astype(np.int64)), pa.array(place[begin].astype(np.int32)), *lists], names=["key", "n", "fragment", "grams", "ranks"])
+        return pa.table([pa.array(keys[who]), pa.array(sizes[who].astype(np.int64)), pa.array(place[begin].astype(np.int32)), *lists], names=["key", "n", "part", "grams", "ranks"])
 
-    return dealt.groupBy("fragment").applyInArrow(run, "key long, n long, fragment int, grams array<long>, ranks array<int>")
+    return dealt.groupBy("part").applyInArrow(run, "key long, n long, part int, grams array<long>, ranks array<int>")
 
 
 def _prefixes(whole: DataFrame, num: int, den: int) -> DataFrame:
@@ -246,39 +252,62 @@ def _prefixes(whole: DataFrame, num: int, den: int) -> DataFrame:
     return whole.select("key", "n", "grams", "ranks").mapInArrow(tidy(run), "gram long, key long, n long, pos long, alone long")
 
 
-def _bands(whole: DataFrame, fragment_bits: int) -> DataFrame:
-    """(key, band, grams): a text's n-grams by BANDS ranges of fragments; hot ones are dealt over all bands."""
-    shift = 8 * GRAM_BYTES + fragment_bits - BANDS.bit_length() + 1
+def _cuts(whole: DataFrame) -> list[float]:
+    """Places in the order, FRAGMENTS - 1 of them, between which there are about as many occurrences of n-grams.
+
+    The whole part of a place is the rank, all hot n-grams being of one; behind
+    the point is the share of the rank's hashes, or hot n-grams, that come before.
+    """
+    rows = whole.select(F.explode("ranks").alias("rank")).groupBy(F.least("rank", F.lit(HOT_RANK)).alias("rank")).count().orderBy("rank").collect()  # at most HOT_RANK + 1
+    total, before, out = sum(r["count"] for r in rows), 0, []
+    for r in rows:
+        while len(out) < FRAGMENTS - 1 and before + r["count"] >= total * (len(out) + 1) / FRAGMENTS:
+            out.append(r["rank"] + (total * (len(out) + 1) / FRAGMENTS - before) / r["count"])
+        before += r["count"]
+    return out
+
+
+def _segments(whole: DataFrame, part_bits: int, hot: int) -> DataFrame:
+    """(key, fragment, grams, behind): a text's n-grams by contiguous fragments of the order, and how many come in later ones."""
+    cuts = _cuts(whole)
+    span = float(1 << (8 * GRAM_BYTES + part_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                grams = batch.column(1)[i].values.to_numpy(zero_copy_only=False)
-                band = np.where(grams < 0, -grams % BANDS, grams >> shift)
-                order = np.argsort(band, kind="stable")
-                ends = np.searchsorted(band[order], np.arange(BANDS + 1))
-                out += [(key, b, grams[order[ends[b] : ends[b + 1]]]) for b in range(BANDS) if ends[b] < ends[b + 1]]
-            if out:
-                keys, bands, lists = zip(*out)
+        for batch in (b.slice(i, SCAN_ROWS) for b in batches for i in range(0, b.num_rows, SCAN_ROWS)):
+            lists: list[np.ndarray] = []
+            behind: list[np.ndarray] = []
+            for i in range(batch.num_rows):
+                grams, ranks = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2))
+                is_hot = ranks >= HOT_RANK
+                place = np.where(is_hot, HOT_RANK + (ranks - HOT_RANK) / max(hot, 1), ranks + grams / span)
+                fragment = np.searchsorted(cuts, place, side="right")
+                order = np.argsort(fragment, kind="stable")
+                ends = np.searchsorted(fragment[order], np.arange(FRAGMENTS + 1))
+                lists += [grams[order[ends[f] : ends[f + 1]]] for f in range(FRAGMENTS)]
+                behind.append(len(grams) - ends[1:])
+            if lists:
                 upto = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bands, pa.int32()), pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(lists)))], names=["key", "band", "grams"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(batch.column(0).to_numpy(), FRAGMENTS)), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), batch.num_rows)),
+                    pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(lists))), pa.array(np.concatenate(behind).astype(np.int64)),
+                ], names=["key", "fragment", "grams", "behind"])
 
-    return whole.select("key", "grams").mapInArrow(tidy(run), "key long, band int, grams array<long>")
+    return whole.select("key", "grams", "ranks").mapInArrow(tidy(run), "key long, fragment int, grams array<long>, behind long")
 
 
-def overlaps(pairs: DataFrame, bands: DataFrame) -> DataFrame:
-    """pairs(a, b) with shared: partial overlaps by band of the order, summed per pair."""
-    left = bands.select(F.col("key").alias("a"), "band", F.col("grams").alias("left"))
-    right = bands.select(F.col("key").alias("b"), "band", F.col("grams").alias("right"))
-    partial = pairs.join(left, "a").join(right, ["b", "band"]).select("a", "b", F.size(F.array_intersect("left", "right")).alias("shared"))
-    return partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+def linked(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, na, nb) that reach the threshold.
 
-
-def _linked(pairs: DataFrame, bands: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that reach the threshold."""
-    found = overlaps(pairs.select("a", "b"), bands).join(pairs, ["a", "b"])
-    return found.where(F.col("shared") * den >= (F.col("na") + F.col("nb") - F.col("shared")) * num).select("a", "b")
+    The overlaps of one fragment after the other are added up; behind the last
+    one, what is left is nothing, and the bound is the threshold itself.
+    """
+    live = pairs.withColumn("shared", F.lit(0).cast("long"))
+    for f in range(FRAGMENTS):
+        left, right = (segments.where(F.col("fragment") == f).select(F.col("key").alias(x), F.col("grams").alias(f"grams_{x}"), F.col("behind").alias(f"behind_{x}")) for x in "ab")
+        most = F.col("shared") + F.least("behind_a", "behind_b")
+        live = live.join(left, "a").join(right, "b").withColumn("shared", F.col("shared") + F.size(F.array_intersect("grams_a", "grams_b")))
+        live = live.where(most * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b", "na", "nb", "shared")
+    return live.select("a", "b")
 
 
 def _pair(x: str, y: str, nx: str, ny: str) -> list:
@@ -286,7 +315,20 @@ def _pair(x: str, y: str, nx: str, ny: str) -> list:
     return [F.when(first, F.col(p)).otherwise(F.col(q)).alias(n) for p, q, n in ((x, y, "a"), (y, x, "b"), (nx, ny, "na"), (ny, nx, "nb"))]
 
 
-def _stars(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+def _with_leaders(rows: DataFrame, leaders: DataFrame, total: int) -> DataFrame:
+    """rows joined with leaders(gram, ..., c) by gram.
+
+    Those of n-grams with c over max(HOT_ROWS, total / HOT_LEADERS), so of fewer
+    than HOT_LEADERS, are broadcast: no task gets all texts of a common n-gram.
+    """
+    leaders = store.written(leaders, "gram-leaders")
+    limit = max(HOT_ROWS, total // HOT_LEADERS)
+    hot = F.broadcast(leaders.where(F.col("c") > limit).drop("c"))
+    cold = rows.join(F.broadcast(leaders.where(F.col("c") > limit).select("gram")), "gram", "left_anti")
+    return rows.join(hot, "gram").unionByName(cold.join(leaders.where(F.col("c") <= limit).drop("c"), "gram"))
+
+
+def _stars(prefixes: DataFrame, front: int, num: int, den: int) -> DataFrame:
     """Candidate pairs of a text and a few of the leaders of its prefix n-grams.
 
     A leader is the text with the smallest share of n-grams of its own, as the
@@ -294,8 +336,8 @@ def _stars(prefixes: DataFrame, num: int, den: int) -> DataFrame:
     2 * LEADERS pairs per text.
     """
     ways = {"own": F.struct((F.col("alone") / F.col("n")).alias("o"), F.xxhash64("key").alias("h"), "key", "n"), "any": F.struct(F.lit(0.0).alias("o"), F.xxhash64("gram", "key").alias("h"), "key", "n")}
-    leaders = prefixes.groupBy("gram").agg(*[F.min(x).alias(w) for w, x in ways.items()], F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    met = prefixes.select("gram", F.col("key").alias("x"), F.col("n").alias("nx")).join(store.written(leaders, "gram-leaders"), "gram")
+    leaders = prefixes.groupBy("gram").agg(*[F.min(x).alias(w) for w, x in ways.items()], F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = _with_leaders(prefixes.select("gram", F.col("key").alias("x"), F.col("n").alias("nx")), leaders, front)
     fair = lambda l: (F.col("nx") * den >= l["n"] * num) & (l["n"] * den >= F.col("nx") * num) & (l["key"] != F.col("x"))
     best = met.groupBy("x", "nx").agg(*[F.slice(F.array_sort(F.collect_set(F.when(fair(F.col(w)), F.col(w)))), 1, LEADERS).alias(w) for w in ways])
     pairs = best.select("x", "nx", F.explode(F.concat(*ways)).alias("l")).select("x", "nx", F.col("l.key").alias("y"), F.col("l.n").alias("ny"))
@@ -303,18 +345,18 @@ def _stars(prefixes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _mixed(prefixes: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Prefix rows of the n-grams that several clusters hold, with the text's cluster and the n-gram's largest."""
+    """Prefix rows of the n-grams that several clusters hold, with the text's cluster, the n-gram's largest, and the numbers of texts in all and outside it."""
     rows = prefixes.join(clusters, "key", "left").withColumn("label", F.coalesce("label", "key"))
     rows = store.written(rows, "prefix-clusters")
     sizes = rows.groupBy("gram", "label").count().groupBy("gram").agg(F.max(F.struct("count", "label")).alias("m"), F.count(F.lit(1)).alias("clusters"), F.sum("count").alias("texts"))
-    major = sizes.where("clusters > 1").select("gram", F.col("m.label").alias("major"), (F.col("texts") * (F.col("texts") - F.col("m.count"))).alias("meetings"))
+    major = sizes.where("clusters > 1").select("gram", F.col("m.label").alias("major"), "texts", (F.col("texts") - F.col("m.count")).alias("outside"))
     return store.written(rows.join(store.written(major, "prefix-major"), "gram"), "prefix-mixed")
 
 
-def _stars_again(mixed: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+def _stars_again(mixed: DataFrame, front: int, turn: int, num: int, den: int) -> DataFrame:
     """More candidates: texts outside an n-gram's largest cluster, each with a few members of it, others in every turn."""
-    leaders = mixed.where("label = major").groupBy("gram").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "gram", "key").alias("h"), "key", "n")).alias("l"))
-    met = mixed.where("label != major").select("gram", F.col("key").alias("x"), F.col("n").alias("nx")).join(store.written(leaders, "gram-leaders"), "gram")
+    leaders = mixed.where("label = major").groupBy("gram").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "gram", "key").alias("h"), "key", "n")).alias("l"), F.first("texts").alias("c"))
+    met = _with_leaders(mixed.where("label != major").select("gram", F.col("key").alias("x"), F.col("n").alias("nx")), leaders, front)
     met = met.where((F.col("nx") * den >= F.col("l.n") * num) & (F.col("l.n") * den >= F.col("nx") * num))
     best = met.groupBy("x", "nx").agg(F.slice(F.array_sort(F.collect_set("l")), 1, 2 * LEADERS).alias("ls")).select("x", "nx", F.explode("ls").alias("l"))
     return best.select("x", "nx", F.col("l.key").alias("y"), F.col("l.n").alias("ny")).select(*_pair("x", "y", "nx", "ny")).distinct()
@@ -326,11 +368,17 @@ def _across(mixed: DataFrame, num: int, den: int) -> DataFrame:
     Of a prefix n-gram's texts, those outside its largest cluster meet all the
     others; pairs inside a cluster never come up. The first n-gram that a pair
     has in common bounds its overlap by what comes behind it on either side.
+    Both sides of a common n-gram are dealt into cells of about CELL_TEXTS by
+    CELL_TEXTS texts, so no task meets all of them.
     """
-    few = mixed.where("label != major").select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("label").alias("lx"))
-    every = mixed.select("gram", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("label").alias("ly"), "major")
+    cells = lambda n: F.ceil(F.col(n) / CELL_TEXTS).cast("long")
+    mine = lambda n: F.pmod(F.xxhash64(F.lit(6), "key"), cells(n))
+    every_cell = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), cells(n) - 1))
+    mixed = mixed.withColumns({"row": mine("outside"), "column": mine("texts")})
+    few = mixed.where("label != major").select("gram", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("label").alias("lx"), "row", every_cell("texts").alias("column"))
+    every = mixed.select("gram", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("label").alias("ly"), "major", every_cell("outside").alias("row"), "column")
     most = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    met = few.join(every, "gram").where(
+    met = few.join(every, ["gram", "row", "column"]).where(
         (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("major")) | (F.col("x") < F.col("y")))
         & (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
         & (most * den >= (F.col("nx") + F.col("ny") - most) * num)
@@ -349,24 +397,24 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, de
     scan = store.written(_scan(docs, width), "gram-scan")
     members = scan.where("hot IS NULL").select("doc_id", "key", "n")
     total = members.agg(F.sum("n")).first()[0] or 0
-    fragment_bits = max(4, (-(-int(total) // FRAGMENT_GRAMS) - 1).bit_length())  # BANDS is no more than that
+    part_bits = max(4, (-(-int(total) // PART_GRAMS) - 1).bit_length())
     hot = _hot(scan)
-    parts = _shared(_deal(docs, hot, fragment_bits, width))
+    parts = _shared(_deal(docs, hot, part_bits, width))
     whole = parts.groupBy("key", "n").agg(F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("ranks")).alias("ranks"))
     whole = store.written(whole.where(F.size("grams") * den >= F.col("n") * num), "gram-shared")
     prefixes = store.written(_prefixes(whole, num, den), "gram-prefixes")
     front = prefixes.count()
-    bands = store.written(_bands(whole, fragment_bits), "gram-bands")
+    segments = store.written(_segments(whole, part_bits, len(hot)), "gram-segments")
 
-    stars = store.written(_stars(prefixes, num, den), "gram-stars")
-    links = store.written(_linked(stars, bands, num, den), "gram-links")
+    stars = store.written(_stars(prefixes, front, num, den), "gram-stars")
+    links = store.written(linked(stars, segments, num, den), "gram-links")
     for turn in range(TURNS):
         mixed = _mixed(prefixes, components(links).withColumnRenamed("node", "key"))
-        left = mixed.groupBy("gram").agg(F.first("meetings").alias("m")).agg(F.sum("m")).first()[0] or 0
+        left = mixed.groupBy("gram").agg(F.first(F.col("texts") * F.col("outside")).alias("m")).agg(F.sum("m")).first()[0] or 0
         if left <= max(FEW_MEETINGS, MEETINGS * front):  # few enough pairs across clusters to look at them all
             break
-        more = store.written(_stars_again(mixed, turn, num, den), "gram-stars")
-        found = store.written(_linked(more, bands, num, den), "gram-links")
+        more = store.written(_stars_again(mixed, front, turn, num, den), "gram-stars")
+        found = store.written(linked(more, segments, num, den), "gram-links")
         links = store.written(links.union(found).distinct(), "gram-links")
         if found.count() * 10 < more.count():  # what is left is mostly unlike; more leaders won't join it
             mixed = _mixed(prefixes, components(links).withColumnRenamed("node", "key"))
@@ -374,12 +422,12 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, de
     else:
         mixed = _mixed(prefixes, components(links).withColumnRenamed("node", "key"))
     cross = store.written(_across(mixed, num, den), "gram-across")
-    more = _linked(cross, bands, num, den)
+    more = linked(cross, segments, num, den)
     labels = store.written(components(store.written(links.union(more), "gram-all-links")).withColumnRenamed("node", "key"), "gram-components")
 
-    nodes = members.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least")).join(labels, "key", "left")
-    of_label = nodes.groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("least").alias("component_id"))
-    named = store.written(nodes.select("key", F.coalesce("label", "key").alias("label")).join(of_label, "label").select("key", "component_id"), "gram-names")
+    nodes = store.written(members.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least")).join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")), "gram-nodes")
+    of_label = store.written(nodes.groupBy("label").agg(F.min("least").alias("component_id")), "gram-labels")  # written, so that a large group's side of the join can be split
+    named = store.written(nodes.select("key", "label").join(of_label, "label").select("key", "component_id"), "gram-names")
     out = members.join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

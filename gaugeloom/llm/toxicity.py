@@ -270,10 +270,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, lexicon:
     t, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
     g2 = 2 * (term(t, t + c, nt / (nt + nc)) + term(c, t + c, nc / (nt + nc)))
     ratio = F.log((t + 0.5) / (nt + 1)) - F.log((c + 0.5) / (nc + 1))
-    picked = counts.where("kind >= 0").select("kind", "feature", "toxic", "clean", g2.alias("g2"), ratio.alias("ratio")).where((F.col("g2") > 2 * math.log(max(features, 2))) & (F.col("ratio") > 2) & (t >= 4 * c))
+    sure = ratio - F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))  # less a standard error: what is rare has no say of its own
+    picked = counts.where("kind >= 0").select("kind", "feature", "toxic", "clean", g2.alias("g2"), sure.alias("sure"), ratio.alias("ratio")).where((F.col("g2") > 2 * math.log(max(features, 2))) & (F.col("ratio") > 2) & (F.col("sure") > 0) & (t >= 4 * c))
     for r in picked.orderBy(F.desc("g2"), "kind", "feature").limit(lexicon).collect():
         most = BEGINNING if r["kind"] == PREFIXES[0] else math.inf  # the shortest beginnings are shared by innocent words
-        weights[r["kind"]][r["feature"]] = min(r["ratio"], r["g2"] / 8, most)
+        weights[r["kind"]][r["feature"]] = min(r["sure"], r["g2"] / 8, most)
     for w, _ in weights[0].items():  # the channel model expects what obfuscation hides
         at = [0, 0, *map(_index, w), 0]
         for gram in zip(at, at[1:], at[2:]):

@@ -103,6 +103,37 @@ def test_groups_with_hot_n_grams(spark, monkeypatch):
     assert jaccard.similar_groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("turns", [1, 8])
+def test_groups_that_leave_the_loop_early_meet_in_cells(spark, monkeypatch, turns):
+    for name, value in {"FEW_MEETINGS": -1, "MEETINGS": -1, "TURNS": turns, "CELL_TEXTS": 7, "HOT_ROWS": 3, "LEADERS": 1}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    tail = " ".join(f"p{k}" for k in range(30))
+    rows = near_copies(3, 60) + [(1000 + i, f"{tail} " + " ".join(f"z{i % 17}_{k}" for k in range(i % 13))) for i in range(60)]
+    got = jaccard.similar_groups(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r[0], r[1], r[2]) for r in got) == brute_groups(rows)
+
+
+def test_overlaps_are_counted_by_fragments_of_the_order(spark):
+    r = random.Random(5)
+    texts = {k: sorted(r.sample(range(400), r.randint(1, 60))) for k in range(40)}
+    held = {g: sum(g in t for t in texts.values()) for g in range(400)}
+    rank = lambda g: 64 + g if g < 5 else (held[g] - 1).bit_length()
+    whole = spark.createDataFrame([(k, len(t), [-1 - g if g < 5 else g for g in t], [rank(g) for g in t]) for k, t in texts.items()], "key long, n long, grams array<long>, ranks array<int>")
+    segments = jaccard._segments(whole, 4, 5)
+    place = lambda g: (rank(g), g)
+    seen = {}
+    for x in segments.collect():
+        seen[x["key"], x["fragment"]] = [-1 - g if g < 0 else g for g in x["grams"]]
+        assert x["behind"] == len(texts[x["key"]]) - sum(len(seen.get((x["key"], f), ())) for f in range(x["fragment"] + 1))
+    by_fragment = [[place(g) for k in texts for g in seen[k, f]] for f in range(jaccard.FRAGMENTS)]
+    assert all(max(a) < min(b) for a, b in zip(by_fragment, by_fragment[1:]) if a and b)  # contiguous
+    assert len([x for x in by_fragment if x]) > 2
+    pairs = [(a, b, len(texts[a]), len(texts[b])) for a in texts for b in range(a)]
+    got = jaccard.linked(spark.createDataFrame(pairs, "a long, b long, na long, nb long"), segments, 10, 100).collect()
+    want = {(a, b) for a, b, na, nb in pairs if 100 * len(set(texts[a]) & set(texts[b])) >= 10 * len(set(texts[a]) | set(texts[b]))}
+    assert {(x[0], x[1]) for x in got} == want and 10 < len(want) < len(pairs)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(500, 501), (501, 500)]
     random.Random(3).shuffle(links)
