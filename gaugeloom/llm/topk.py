@@ -7,9 +7,10 @@ negative weight) bounds every score in the block. Blocks are scored in order of
 their bounds until the bound falls below the k-th best score so far.
 
 Queries come in chunks and documents in groups, both of bounded size; a cell
-of one chunk and one group is the unit of work. A first pass over one group per
-chunk gives each query a k-th score, so the cells of the second pass prune by
-it and return only what can still be among the best.
+of one chunk and one group is the unit of work. A small
+table of the groups' own maxima and minima, in pages, tells which group bounds
+a chunk highest; a first pass over that one gives each query a k-th score, its
+floor. The second pass ships a chunk and a group only where a bound reaches a floor.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gaugeloom.llm import store
 
-BLOCK_ROWS, GROUP_ROWS, CHUNK_ROWS = 256, 16_384, 1_024
+BLOCK_ROWS, GROUP_ROWS, CHUNK_ROWS, PAGE_GROUPS = 256, 16_384, 1_024, 4_096
 NONE = np.iinfo(np.int64).min
 
 
@@ -77,6 +78,13 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64) if most < 2**53 else a @ b.T
 
 
+def _bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """(queries, blocks): no vector between low and high scores more; the largest number there is where that could leave 64 bits."""
+    if float(np.abs(q).max(initial=0)) * max(float(np.abs(high).max(initial=0)), float(np.abs(low).max(initial=0))) * q.shape[1] >= 2**62:
+        return np.full((len(q), len(high)), np.iinfo(np.int64).max)
+    return _product(np.maximum(q, 0), high) + _product(np.minimum(q, 0), low)
+
+
 def _first(score: np.ndarray, rank: np.ndarray, k: int, ranks: int) -> tuple[np.ndarray, np.ndarray]:
     """Each row's k largest scores with their ranks, smaller ranks first among equals."""
     none = score == NONE
@@ -101,8 +109,8 @@ def search_cell(queries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], blocks
         if not mine:
             continue
         every = np.sort(np.concatenate([b[0] for b in mine]))
-        bound = _product(np.maximum(q, 0), np.stack([b[2] for b in mine])) + _product(np.minimum(q, 0), np.stack([b[3] for b in mine]))
-        order = np.argsort(-bound, axis=1, kind="stable")
+        bound = _bounds(q, np.stack([b[2] for b in mine]), np.stack([b[3] for b in mine]))
+        order = np.argsort(~bound, axis=1, kind="stable")
         best, rank = np.full((len(q), k), NONE), np.zeros((len(q), k), np.int64)
         for step in range(len(mine)):
             at = order[:, step]
@@ -148,6 +156,42 @@ def _floors(chunks: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     return chunks.groupBy("chunk", "part").cogroup(blocks.groupBy("chunk", "part")).applyInArrow(run, "chunk int, dim int, ids binary, matrix binary, floors binary")
 
 
+def _extremes(blocks: DataFrame) -> DataFrame:
+    """(page, part, dim, high, low) of groups; PAGE_GROUPS groups make a page."""
+
+    def run(table: pa.Table) -> pa.Table:
+        high, low = (np.stack([np.frombuffer(x, np.int64) for x in table[n].to_pylist()]) for n in ("high", "low"))
+        return pa.table([table["part"][:1], table["dim"][:1], pa.array([high.max(axis=0).tobytes()]), pa.array([low.min(axis=0).tobytes()])], names=["part", "dim", "high", "low"])
+
+    found = blocks.select("part", "dim", "high", "low").groupBy("part", "dim").applyInArrow(run, "part int, dim int, high binary, low binary")
+    return found.withColumn("page", F.expr(f"part div {PAGE_GROUPS}").cast("int"))
+
+
+def _bounded(chunks: DataFrame, extremes: DataFrame, nearest: bool) -> DataFrame:
+    """(chunk, part, most): the cells in which some query's bound reaches its floor, or, if `nearest`, of every page the group with the largest sum of bounds.
+
+    chunks and extremes: by chunk and page.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        read = lambda t, n, d: [np.frombuffer(x, np.int64).reshape(-1, d) for x, k in zip(t[n].to_pylist(), t["dim"].to_pylist()) if k == d]
+        most: dict[int, float] = {}
+        for dim in set(left["dim"].to_pylist()) & set(right["dim"].to_pylist()):
+            q, high, low = np.concatenate(read(left, "matrix", dim)), np.concatenate(read(right, "high", dim)), np.concatenate(read(right, "low", dim))
+            floor = np.concatenate([np.frombuffer(x, np.int64) for x, k in zip(left["floors"].to_pylist(), left["dim"].to_pylist()) if k == dim])
+            parts = [p for p, k in zip(right["part"].to_pylist(), right["dim"].to_pylist()) if k == dim]
+            bound = _bounds(q, high, low)
+            for i in np.flatnonzero((bound >= floor[:, None]).any(axis=0)):
+                most[parts[i]] = most.get(parts[i], 0.0) + float(bound[:, i].astype(float).sum())
+        if nearest and most:
+            best = max(most, key=lambda p: (most[p], -p))
+            most = {best: most[best]}
+        chunk = left["chunk"][0].as_py() if left.num_rows else None
+        return pa.table([pa.array([chunk] * len(most), pa.int32()), pa.array(list(most), pa.int32()), pa.array(list(most.values()), pa.float64())], names=["chunk", "part", "most"])
+
+    return chunks.groupBy("chunk", "page").cogroup(extremes.groupBy("chunk", "page")).applyInArrow(run, "chunk int, part int, most double")
+
+
 def _cells(chunks: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score) of all cells of a chunk and a group."""
 
@@ -170,13 +214,14 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> Da
 
     rows: vec_id, embedding. Vectors that are null or empty, or hold null or
     non-finite components, and rows of a null vec_id take no part; vectors of
-    another length than the query's are no candidates. Rows are told apart by
-    vec_id: one never answers itself, and repeated rows are one row. With fewer
+    another length than the query's are no candidates. Repeated rows are one
+    row; rows of one vec_id with different vectors are rows of their own, but no
+    candidates for each other, and as queries share one answer. With fewer
     than k candidates all are returned; an empty table gives an empty result.
     Scores must fit 64 bits.
     """
     vectors = rows.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), quantized(F.col("embedding"), scale).alias("v"), is_query.alias("asks")).where("v IS NOT NULL")
-    vectors = store.written(vectors.dropDuplicates(["vec_id"]), "top-vectors")
+    vectors = store.written(vectors.groupBy("vec_id", "v").agg(F.bool_or("asks").alias("asks")), "top-vectors")
     n, asked = vectors.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     groups, sets = max(1, -(-n // GROUP_ROWS)), max(1, -(-asked // CHUNK_ROWS))
     blocks = _numbered(_blocks(vectors.select("vec_id", "v"), groups, BLOCK_ROWS), groups, "top-blocks")
@@ -184,10 +229,13 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> Da
     chunks = chunks.select(F.col("part").alias("chunk"), "dim", "ids", "matrix")
 
     none = F.expr(f"cast(unhex(repeat('{np.array([NONE], np.int64).tobytes().hex()}', int(octet_length(ids) div 8))) as binary)")
-    home = chunks.withColumn("part", F.col("chunk") % groups).withColumn("floors", none)
-    near = blocks.withColumn("chunk", F.explode(F.sequence(F.col("part"), F.lit(sets + groups), F.lit(groups)))).where(F.col("chunk") < sets)
-    asking = store.written(_floors(home, near, k), "top-floors").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    found = _cells(asking, blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(sets - 1)))), k)
+    extremes = _extremes(blocks).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    in_pages = F.explode(F.sequence(F.lit(0), F.lit(-(-groups // PAGE_GROUPS) - 1)))
+    home = _bounded(chunks.withColumn("floors", none).withColumn("page", in_pages), extremes, True).groupBy("chunk").agg(F.max_by("part", F.struct("most", -F.col("part"))).alias("part"))
+    home = store.written(home, "top-homes")  # a row per chunk
+    asking = store.written(_floors(chunks.withColumn("floors", none).join(home, "chunk"), blocks.join(home, "part"), k), "top-floors")
+    live = store.written(_bounded(asking.withColumn("page", in_pages), extremes, False).select("chunk", "part"), "top-live")
+    found = _cells(asking.join(live, "chunk"), blocks.join(live, "part"), k)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -184,6 +184,25 @@ def test_top_k_matches_brute_force(spark, monkeypatch, k):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_groups_of_blocks_below_the_floor_are_not_shipped(spark, monkeypatch):
+    for name, value in {"BLOCK_ROWS": 16, "GROUP_ROWS": 64, "CHUNK_ROWS": 4, "PAGE_GROUPS": 2}.items():
+        monkeypatch.setattr(topk, name, value)
+    shipped, bounded = [], topk._bounded
+    monkeypatch.setattr(topk, "_bounded", lambda *a: shipped.append(bounded(*a)) or shipped[-1])
+    r = np.random.default_rng(6)
+    rows = [(i, (5.0 * np.eye(8)[i % 8] + r.normal(size=8) / 9).tolist()) for i in range(640)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5).collect()
+    assert sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got) == brute_top(rows, 5)
+    assert shipped[1].count() < 8 * 10 / 2  # of 8 chunks and 10 groups
+
+
+def test_vectors_of_one_id_are_rows_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 2.0]), (3, [4.0, 1.0]), (3, [1.0, 5.0]), (3, [1.0, 5.0]), (4, [2.0**48, 0.0]), (5, [2.0**48, -(2.0**48)])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=3).collect()
+    s = 64 * 64
+    assert [(x["vec_id"], x["score"]) for x in sorted(got, key=lambda x: x["rank"])] == [(4, s * 2**48), (5, s * 2**48), (3, 10 * s)]
+
+
 def test_blocks_below_the_kth_score_are_not_scored():
     r = np.random.default_rng(1)
     near, far = r.integers(50, 60, (64, 4)), r.integers(-60, -50, (6400, 4))

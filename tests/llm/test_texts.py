@@ -302,6 +302,38 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert shards.shard_documents(docs.limit(0), 12).count() == 0 and shards.shard_documents(docs.limit(3), 1).count() == 3
 
 
+def test_shards_are_those_of_a_plain_tree(spark):
+    r = random.Random(9)
+    rows = [(i, "x" * r.randint(0, 400), r.choice(["hot", "hot", "s1", None]), r.choice(["en", None])) for i in range(400)] + [(1000 + i, "copy " * 20, "hot", "en") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    todo, at = [(x, 7) for x in [shards.metadata(docs).collect()]], {}
+    while todo:  # depth first, the left side first: shards in order of the leaves
+        node, k = todo.pop(0)
+        if k == 1:
+            at |= {x["doc_id"]: len(set(at.values())) for x in node} if node else {}
+            continue
+        wide = lambda d: max(x[f"u_{d}"] for x in node) - min(x[f"u_{d}"] for x in node)
+        d = max(shards.DIMENSIONS, key=wide)
+        wanted, key = sum(x["size"] for x in node) * (k // 2) / k, lambda x: x[f"k_{d}"]
+        upto = lambda v, key=key, node=node: sum(x["size"] for x in node if key(x) <= v)
+        mid = min(v for v in {key(x) for x in node} if upto(v) >= wanted)
+        low, high = sum(x["size"] for x in node if key(x) < mid), upto(mid)
+        if min(high - wanted, wanted - low) <= shards.TOLERANCE * wanted:
+            left = [x for x in node if key(x) < mid or (key(x) == mid and high - wanted <= wanted - low)]
+        else:
+            inside = sorted((x for x in node if key(x) == mid), key=lambda x: x["tie"])
+            tie = min(t for t in {x["tie"] for x in inside} if low + sum(x["size"] for x in inside if x["tie"] <= t) >= wanted)
+            below, with_ = (low + sum(x["size"] for x in inside if x["tie"] < t) for t in (tie, tie + 1))
+            left = [x for x in node if key(x) < mid or (key(x) == mid and x["tie"] < tie + (with_ - wanted <= wanted - below))]
+        todo[:0] = [(left, k // 2), ([x for x in node if x not in left], k - k // 2)]
+    got = {x["doc_id"]: x["shard"] for x in shards.shard_documents(docs, 7).collect()}
+    assert got == at
+    weight = Counter()
+    for x in shards.metadata(docs).collect():
+        weight[got[x["doc_id"]]] += x["size"]
+    assert max(weight.values()) - min(weight.values()) < 0.1 * sum(weight.values()) / 7
+
+
 def test_chats_keep_maximal_conversations(spark):
     turns = lambda c, *t: [(c, k, "user" if k % 2 == 0 else "assistant", x, c) for k, x in enumerate(t)]
     rows = turns(1, "a", "b") + turns(2, "a", "b", "c") + turns(3, "a", "b", "c") + turns(4, "a", "x") + turns(5, "b") + turns(6, "a") + turns(7, None, "") + turns(8, None)
