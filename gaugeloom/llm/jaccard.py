@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from gaugeloom.llm import store
 from gaugeloom.llm.components import components
-from gaugeloom.llm.memory import give_back, tidy
+from gaugeloom.llm.memory import give_back, small_batches, tidy
 from gaugeloom.llm.words import mix, word_hashes
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -394,6 +394,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, de
     are documents with equal sets; a null doc_id counts in a group but never
     names it. Extra columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     scan = store.written(_scan(docs, width), "gram-scan")
     members = scan.where("hot IS NULL").select("doc_id", "key", "n")
     total = members.agg(F.sum("n")).first()[0] or 0

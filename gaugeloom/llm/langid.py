@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeloom.llm import store
-from gaugeloom.llm.memory import slices, tidy
+from gaugeloom.llm.memory import slices, small_batches, tidy
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -94,6 +94,7 @@ def train(docs: DataFrame, limit: int = TRAIN_ROWS, smoothing: float = 0.5) -> M
             at = np.flatnonzero(have)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(have[at])], names=["lang", "bucket", "n"])
 
+    small_batches(docs.sparkSession)
     counts = train_rows(docs, limit).mapInArrow(tidy(count), "lang string, bucket int, n long")
     rows = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
@@ -135,6 +136,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, sharp
     languages get `und` and 0. Repeated rows score alike; an empty table stays
     empty. Columns of docs named lang_pred and score are replaced.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

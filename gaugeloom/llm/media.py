@@ -20,7 +20,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeloom.llm.memory import slices, tidy
+from gaugeloom.llm.memory import slices, small_batches, tidy
 
 BLOCK, BLANK = 192, 32
 HEADER = 44
@@ -168,6 +168,7 @@ def audio_features(docs: DataFrame, audio: Audio = Audio()) -> DataFrame:
     Null texts are empty; an empty text is one block of blanks. Repeated rows
     give repeated results, an empty table none; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

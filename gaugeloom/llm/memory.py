@@ -10,8 +10,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, BATCH_BYTES = 2 << 20, 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches that go to Python hold BATCH_BYTES at most, unless the session asks for fewer: executors buffer several of them off their heap."""
+    if int(spark.conf.get(_BATCH, str(BATCH_BYTES + 1)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
 
 def slices(batch: pa.RecordBatch, column: int, rows: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

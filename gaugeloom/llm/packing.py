@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeloom.llm import store
-from gaugeloom.llm.memory import slices, tidy
+from gaugeloom.llm.memory import slices, small_batches, tidy
 from gaugeloom.llm.words import word_hashes
 
 DIMS, BITS = 4, 8
@@ -173,6 +173,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, ranges: int | Non
     are packed under null. Texts are encoded in slices of bounded bytes; a very
     long one is a slice of its own and spreads over as many sequences as it fills.
     """
+    small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokens(tokenizer)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeloom.llm.memory import slices, tidy
+from gaugeloom.llm.memory import slices, small_batches, tidy
 
 SPACE = "▁"
 ROWS_OUT = 256
@@ -222,6 +222,7 @@ def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
     results, an empty table none; other columns are ignored. Time and memory
     grow with a text's length, whether it has blanks or not.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _chunks(model_file)

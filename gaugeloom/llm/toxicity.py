@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeloom.llm import store
-from gaugeloom.llm.memory import slices, tidy
+from gaugeloom.llm.memory import slices, small_batches, tidy
 from gaugeloom.llm.words import mix, word_hashes
 
 TRAIN_ROWS = 20_000
@@ -240,6 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, lexicon:
     nothing; of several labels of a doc_id the most toxic counts. Null texts are
     empty. Without toxic or without clean rows all texts score alike, below 0.5.
     """
+    small_batches(docs.sparkSession)
     sample = one_of_copies(labelled(docs, labels, limit))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,6 +290,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     repeated rows score alike, an empty table stays empty. Time grows with a
     text's length, with or without blanks. A column of docs named toxicity is replaced.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in (docs.columns if keep is None else keep) if c != "toxicity"]
 
