@@ -78,6 +78,41 @@ def autovacuum(df: DataFrame, kind: str, relation: str, elapsed: str, removed: s
     return df.groupBy(kind, relation).agg(F.count(F.lit(1)).alias("n"), F.sum(elapsed).alias("elapsed"), F.sum(removed).alias("removed"), F.max_by(F.struct(dead), ts)[dead].alias("dead"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
 
 
+def checkpoint_warnings(df: DataFrame, phase: str, seconds: str) -> DataFrame:
+    """One row if checkpoints came too often (phase 2): how often, and the shortest time between two."""
+    return df.where(F.col(phase) == 2).agg(F.count(F.lit(1)).alias("n"), F.min(seconds).alias("least_seconds")).where("n > 0").withColumn("tier", F.lit("notable"))
+
+
+def lifecycle(df: DataFrame, kind: str) -> DataFrame:
+    """Starts, stops and crashes: every row is a group of its own; kind 0 is critical."""
+    return df.withColumn("n", F.lit(1).cast("long")).withColumn("tier", F.when(F.col(kind) == 0, "critical").otherwise("notable"))
+
+
+def pooler_groups(df: DataFrame, level: str, text: str, shared: list[str], ts: str = "ts", order: str = "event_id") -> DataFrame:
+    """The pooler's lines by level and exact text: rows, first and last time, the earliest row, fields that all members share.
+
+    Levels 0, 1 to 2 and the rest are critical, notable and routine.
+    """
+    out = df.groupBy(level, text).agg(
+        F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.min_by(order, F.struct(ts, order)).alias("representative"), *[shared_text(c).alias(c) for c in shared]
+    )
+    return out.withColumn("tier", F.when(F.col(level) == 0, "critical").when(F.col(level).isin(1, 2), "notable").otherwise("routine"))
+
+
+def unmatched(matched: DataFrame, target: str, ts: str = "ts", order: str = "event_id") -> DataFrame:
+    """One row for acquired locks without a wait (see lock_matches): occurrences, the first one's id, targets in order of their first occurrence."""
+    rows = matched.where("holders IS NULL")
+    first = rows.groupBy(target).agg(F.min(F.struct(ts, order)).alias("_f"), F.count(F.lit(1)).alias("_n"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_f", target))), lambda x: x[target])
+    return first.agg(F.sum("_n").alias("n"), F.min("_f")[order].alias("representative"), listed.alias("targets")).where("n > 0")
+
+
+def slow_threshold(settings: DataFrame, name: str, value: str, unit: str, ts: str = "ts") -> DataFrame:
+    """One row: the latest log_min_duration_statement in ms, null if it is negative or there is none."""
+    x = F.col(value).cast("double") * F.when(F.col(unit) == "s", 1_000).when(F.col(unit) == "min", 60_000).otherwise(1)
+    return settings.where(F.col(name) == "log_min_duration_statement").agg(F.max_by(F.when(x >= 0, x), ts).alias("threshold_ms"))
+
+
 def waits(df: DataFrame, holders: str, pid: str, target: str, duration: str, ts: str = "ts") -> DataFrame:
     """Lock waits by their holders: distinct waiters, longest wait, targets in order of their first wait."""
     targets = df.groupBy(holders, target).agg(F.min(ts).alias("_t"))

@@ -56,7 +56,7 @@ def current(df: DataFrame, surface: Surface, at: int, interval: float = DEFAULT_
     have = [c for c in surface.counters if c in df.columns]
     if surface.partition:
         return snapshot.partitioned(df, at, surface.partition, list(surface.identity), have, back, ts)
-    return snapshot.with_rates(df, at, list(surface.identity), have, list(surface.same), ts).where(F.col(ts) >= at - back)
+    return snapshot.with_rates(df, at, list(surface.identity), have, list(surface.same), ts, back)
 
 
 def find(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeloom.functions.counters import adjacent, delta, neighbours
+from gaugeloom.functions.counters import adjacent, delta, neighbours, predecessor
 
 PRESSURE = ("cpu", "memory", "io")
 
@@ -16,10 +16,20 @@ def sum_then_rate(df: DataFrame, value: str, width: int, ts: str = "ts") -> Data
     return neighbours(at, [value], ts, width).withColumn("rate", F.when(F.col(f"prev_{value}").isNotNull() & (F.col(value) >= F.col(f"prev_{value}")), (F.col(value) - F.col(f"prev_{value}")).cast("double") / ((F.col(ts) - F.col("prev_ts")) / 1_000_000)))
 
 
-def process_summary(df: DataFrame, entity: str, value: str, weight: str, ts: str = "ts") -> DataFrame:
-    """Per moment: entities, those with a usable change, the sum of changes and the weighted sum of values; null if nothing is known."""
-    rows = adjacent(df, [entity], value, ts)
-    return rows.groupBy(ts).agg(F.count(F.lit(1)).alias("entities"), F.count("delta").alias("usable"), F.sum("delta").alias("change"), F.sum(weight).alias("weight"))
+def process_summary(df: DataFrame, entity: list[str], counters: list[str], gauges: list[str], states: dict[str, Column] | None = None, ts: str = "ts") -> DataFrame:
+    """Per moment: entities, of each counter the entities with a usable change, the sum of changes and of rates, sums of gauges, and how many are in each state.
+
+    A change is usable against the moment right before, in which the same
+    entity must have been: `entity` names pid and start time, so a number used
+    again is another one. Sums of nothing known are null.
+    """
+    rows = predecessor(df, entity, counters, ts)
+    sums = []
+    for c in counters:
+        change = F.when(F.col(ts) > F.col("prev_ts"), delta(F.col(f"prev_{c}"), F.col(c)))
+        sums += [F.count(change).alias(f"{c}_usable"), F.sum(change).alias(f"{c}_change"), (F.sum(change) * 1_000_000 / (F.col(ts) - F.max("prev_ts"))).alias(f"{c}_per_s")]
+    counted = [F.count_if(condition).alias(name) for name, condition in (states or {}).items()]
+    return rows.groupBy(ts).agg(F.count(F.lit(1)).alias("entities"), *sums, *[F.sum(g).alias(g) for g in gauges], *counted)
 
 
 def cpu_busy(d: dict[str, Column], seconds: Column, ticks: Column, cores: Column) -> Column:

@@ -103,6 +103,44 @@ def event_lock_waits(spark, root):
     return events.waits(s, "holders", "pid", "target", "d").withColumn("targets", F.array_join(F.col("targets").cast("array<string>"), ","))
 
 
+@query("SELECT count(*) AS n, min(o_orderkey) AS least_seconds, 'notable' AS tier FROM orders WHERE o_orderkey % 3 = 2 HAVING count(*) > 0")
+def event_checkpoint_warnings(spark, root):
+    return events.checkpoint_warnings(table(spark, root, "orders").withColumn("phase", F.col("o_orderkey") % 3), "phase", "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_custkey % 4 AS kind, CAST(1 AS BIGINT) AS n, CASE WHEN o_custkey % 4 = 0 THEN 'critical' ELSE 'notable' END AS tier FROM orders")
+def event_lifecycle(spark, root):
+    return events.lifecycle(table(spark, root, "orders").select("o_orderkey", (F.col("o_custkey") % 4).alias("kind")), "kind")
+
+
+@query("""
+SELECT o_custkey % 4 AS level, o_orderpriority AS text, count(*) AS n, min(o_orderkey) AS first_ts, max(o_orderkey) AS last_ts, min(o_orderkey) AS representative,
+       CASE WHEN min(o_orderstatus) = max(o_orderstatus) THEN min(o_orderstatus) END AS status, CASE o_custkey % 4 WHEN 0 THEN 'critical' WHEN 3 THEN 'routine' ELSE 'notable' END AS tier
+FROM orders GROUP BY 1, 2
+""")
+def event_pooler_groups(spark, root):
+    o = table(spark, root, "orders").select((F.col("o_custkey") % 4).alias("level"), F.col("o_orderpriority").alias("text"), F.col("o_orderkey").alias("ts"), F.col("o_orderkey").alias("event_id"), F.col("o_orderstatus").alias("status"))
+    return events.pooler_groups(o, "level", "text", ["status"])
+
+
+@query("""
+WITH f AS (SELECT o_orderstatus AS target, min(o_orderkey) AS k, count(*) AS n FROM orders a WHERE o_custkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM orders w WHERE w.o_custkey % 2 = 1 AND w.o_orderpriority = '1-URGENT' AND w.o_custkey = a.o_custkey AND w.o_orderkey <= a.o_orderkey) GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n, min(k) AS representative, string_agg(target, ',' ORDER BY k) AS targets FROM f
+""")
+def event_locks_unmatched(spark, root):
+    o = table(spark, root, "orders").where("o_custkey % 2 = 1").select("o_custkey", F.col("o_orderkey").alias("ts"), F.col("o_orderkey").alias("event_id"), F.col("o_orderstatus").alias("target"), "o_orderpriority")
+    waiting = o.where("o_orderpriority = '1-URGENT'").withColumn("holders", F.col("ts").cast("string"))
+    matched = events.lock_matches(waiting, o, ["o_custkey"], "holders").join(o.select("event_id", "target"), "event_id")
+    return events.unmatched(matched, "target").withColumn("targets", F.array_join("targets", ","))
+
+
+@query("SELECT max_by(CASE WHEN o_custkey % 3 > 0 THEN o_custkey * CASE o_orderstatus WHEN 'F' THEN 1000 WHEN 'O' THEN 60000 ELSE 1 END END, o_orderkey)::DOUBLE AS threshold_ms FROM orders")
+def event_slow_threshold(spark, root):
+    unit = F.when(F.col("o_orderstatus") == "F", "s").when(F.col("o_orderstatus") == "O", "min").otherwise("ms")
+    o = table(spark, root, "orders").select(F.lit("log_min_duration_statement").alias("name"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).otherwise(-1).alias("value"), unit.alias("unit"), F.col("o_orderkey").alias("ts"))
+    return events.slow_threshold(o, "name", "value", "unit")
+
+
 #: Messages made of order columns; `m` in SQL and messages() in Spark are the same texts.
 MESSAGES = """m AS (
   SELECT o_orderkey, CASE o_orderkey % 6

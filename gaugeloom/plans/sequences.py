@@ -55,11 +55,14 @@ def sum_then_rate(spark, root):
 
 @query(f"""
 WITH {REC}, d AS (SELECT ts // {DAY} * {DAY} AS ts, user_id, max(cents) AS cents FROM rec GROUP BY 1, 2),
-a AS (SELECT *, lag(cents) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM d)
-SELECT ts, count(*) AS entities, count(*) FILTER (cents >= b) AS usable, CAST(sum(CASE WHEN cents >= b THEN cents - b END) AS BIGINT) AS change, CAST(sum(cents) AS BIGINT) AS weight FROM a GROUP BY 1
+t AS (SELECT ts, lag(ts) OVER (ORDER BY ts) AS prev_ts FROM (SELECT DISTINCT ts FROM d)),
+a AS (SELECT d.*, p.cents AS b FROM d JOIN t USING (ts) LEFT JOIN d p ON p.ts = t.prev_ts AND p.user_id = d.user_id)
+SELECT ts, count(*) AS entities, count(*) FILTER (cents >= b) AS usable, CAST(sum(CASE WHEN cents >= b THEN cents - b END) AS BIGINT) AS change, CAST(sum(cents) AS BIGINT) AS weight, count(*) FILTER (cents > 5000) AS large FROM a GROUP BY 1
 """)
 def process_summary(spark, root):
-    return series.process_summary(_daily(spark, root).withColumn("w", F.col("cents")), "user_id", "cents", "w")
+    rows = _daily(spark, root).withColumn("w", F.col("cents"))
+    got = series.process_summary(rows, ["user_id"], ["cents"], ["w"], {"large": F.col("cents") > 5000})
+    return got.select("ts", "entities", F.col("cents_usable").alias("usable"), F.col("cents_change").alias("change"), F.col("w").alias("weight"), "large")
 
 
 def _daily(spark, root):
@@ -223,3 +226,31 @@ def surface_summary(spark, root):
     d = gauges(spark, root).groupBy(day.alias("ts"), "user_id").agg(F.max("cents").alias("a"), F.sum("cents").alias("b"))
     got = series.surface_summary(d, ["user_id"], ["a", "b"], {"share": ("a", "b")})
     return got.withColumns({c: F.round(c, 9) for c in ("a_per_s", "b_per_s")})
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 1 THEN CAST(l_quantity AS BIGINT) END AS s, CASE WHEN l_linenumber % 3 > 0 THEN l_partkey % 5 END AS i, l_suppkey % 4 AS x, l_partkey % 3 AS y FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(coalesce(s, i) IS NOT NULL AS BOOLEAN) AND true AS known,
+       CASE WHEN coalesce(s, 0) + coalesce(i, 0) > 0 AND s IS NOT NULL THEN s * 100.0::DOUBLE / (coalesce(s, 0) + coalesce(i, 0)) END AS sequential_share_pct,
+       CASE WHEN coalesce(s, i) IS NOT NULL THEN coalesce(s, 0) + coalesce(i, 0) END AS tuple_throughput, x + y + l_linenumber AS dml_total,
+       CASE WHEN coalesce(s, i) IS NOT NULL THEN coalesce(s, 0) + coalesce(i, 0) END AS displayed_storage_bytes,
+       CASE WHEN coalesce(s, 0) + coalesce(i, 0) + x + y > 0 THEN (coalesce(i, 0) + y) * 100.0::DOUBLE / (coalesce(s, 0) + coalesce(i, 0) + x + y) END AS buffer_hit_pct,
+       CASE WHEN y > 0 THEN x / y::DOUBLE END AS autovacuum_mean_ms
+FROM l
+""")
+def relation_metrics(spark, root):
+    li, n = table(spark, root, "lineitem"), F.col("l_linenumber")
+    s, i, x, y = F.when(n > 1, F.col("l_quantity").cast("long")), F.when(n % 3 > 0, F.col("l_partkey") % 5), F.col("l_suppkey") % 4, F.col("l_partkey") % 3
+    null = F.lit(None).cast("long")
+    have = {"d_seq_scan": s, "d_idx_scan": i, "r_seq_tup_read": s, "r_idx_tup_fetch": i, "r_n_tup_ins": x, "r_n_tup_upd": y, "r_n_tup_del": n, "main_bytes": s, "toast_bytes": i, "d_total_autovacuum_time": x, "d_autovacuum_count": y}
+    have |= {"d_heap_blks_read": s, "d_heap_blks_hit": i, "d_idx_blks_read": x, "d_idx_blks_hit": y} | {f"d_{p}_blks_{k}": null for p in ("toast", "tidx") for k in ("read", "hit")}
+    rows = li.select("l_orderkey", "l_linenumber", F.coalesce(s, i).isNotNull().alias("known"), *[v.alias(k) for k, v in have.items()])
+    names = ["sequential_share_pct", "displayed_storage_bytes", "buffer_hit_pct", "autovacuum_mean_ms"]
+    got = rows.select("l_orderkey", "l_linenumber", "known", *ratios.derived(ratios.TABLE, set(rows.columns)), *ratios.derived(ratios.RATES, set(rows.columns), "r_"))
+    return got.select("l_orderkey", "l_linenumber", "known", *names, "tuple_throughput", "dml_total")
+
+
+@query("SELECT l_suppkey, count(*) FILTER (l_partkey % 5 = 0 AND l_linenumber > 1) AS no_scan_count, count(*) FILTER (l_linenumber > 1) AS known_scan_count FROM lineitem GROUP BY 1")
+def index_scan_counts(spark, root):
+    rows = table(spark, root, "lineitem").select("l_suppkey", F.when(F.col("l_linenumber") > 1, F.col("l_partkey") % 5).alias("d_idx_scan"))
+    return rows.groupBy("l_suppkey").agg(*ratios.scan_counts())

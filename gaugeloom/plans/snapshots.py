@@ -70,13 +70,35 @@ def snapshot_page(spark, root):
 WITH {REC}, d AS (
   SELECT event_id, user_id, ts, lag(ts) OVER w AS previous_ts, counter, lag(counter) OVER w AS before FROM rec WINDOW w AS (PARTITION BY user_id ORDER BY ts))
 SELECT event_id, user_id, ts, previous_ts, CASE WHEN counter >= before AND ts > previous_ts THEN CAST(counter - before AS DOUBLE) / ((ts - previous_ts) / 1000000.0::DOUBLE) END AS counter_rate
-FROM d WHERE event_id % 10 = 3
+FROM d
 """)
 def row_detail_predecessor(spark, root):
-    got = snapshot.row_detail(recorded(spark, root), ["user_id"], ["counter"], F.col("event_id") % 10 == 3)
+    got = snapshot.row_detail(recorded(spark, root), ["user_id"], ["counter"])
     return got.select("event_id", "user_id", "ts", "previous_ts", "counter_rate")
 
 
+@query(f"""
+WITH {REC}, d AS (
+  SELECT event_id, user_id, ts, lag(ts) OVER w AS previous_ts, counter, lag(counter) OVER w AS before FROM rec WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT event_id, user_id, ts, previous_ts, CASE WHEN counter >= before AND ts > previous_ts THEN CAST(counter - before AS DOUBLE) / ((ts - previous_ts) / 1000000.0::DOUBLE) END AS counter_rate
+FROM d WHERE event_id = 777
+""")
+def row_detail_one(spark, root):
+    return snapshot.detail_of_one(recorded(spark, root), ["user_id"], ["counter"], F.col("event_id") == 777).select("event_id", "user_id", "ts", "previous_ts", "counter_rate")
+
+
+@query(f"WITH {MOMENTS}, a AS (SELECT * FROM m WHERE ts = (SELECT max(ts) FROM m WHERE ts <= {SHIP_AT})) SELECT * FROM a ORDER BY calls DESC NULLS LAST, pid, slot LIMIT 20 OFFSET 20")
+def snapshot_page_after(spark, root):
+    rows = snapshot.at_moment(moments(spark, root), SHIP_AT)
+    last = snapshot.page(rows, "calls", ["pid", "slot"], 20, eligible=False).tail(1)[0]  # of 20 rows
+    return snapshot.page(rows.where(snapshot.after("calls", ["pid", "slot"], snapshot.cursor_of(last, "calls", ["pid", "slot"]))), "calls", ["pid", "slot"], 20, eligible=False)
+
+
+@query(f"WITH {MOMENTS}, a AS (SELECT * FROM m WHERE ts = (SELECT max(ts) FROM m WHERE ts <= {SHIP_AT})) SELECT count(*) AS eligible, least(count(*), 20) AS returned, count(*) > 20 AS truncated, min(ts) AS sample_from, max(ts) AS sample_to FROM a")
+def snapshot_page_facts(spark, root):
+    return snapshot.page_facts(snapshot.at_moment(moments(spark, root), SHIP_AT), 20)
+
+
 @query(f"WITH {REC} SELECT event_id, user_id, ts FROM rec WHERE user_id = 11 AND ts <= {AT} ORDER BY ts DESC LIMIT 1")
 def first_match(spark, root):
     return snapshot.first_match(recorded(spark, root), (F.col("user_id") == 11) & (F.col("ts") <= AT), "ts").select("event_id", "user_id", "ts")
