@@ -10,6 +10,7 @@ ids come out backwards, from the last prefix on.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,7 +23,7 @@ from gaugeloom.llm.memory import slices, small_batches, tidy
 
 SPACE = "▁"
 ROWS_OUT = 256
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 300_000
 CACHE_LETTERS = 64  # longer chunks are not kept
 NORMAL, BYTE = 1, 6  # piece types of the model format
 
@@ -159,13 +160,24 @@ class Chunks:
         if have is None:
             have = self.old.get(s)
             if have is None:
-                have = b"".join(map(self._part, self._cut(s)))
+                if len(s) > CACHE_LETTERS or (len(s) > 2 and s[-2:] not in self.model.inside):
+                    have = b"".join(map(self._part, self._cut(s)))
+                else:
+                    have = array("H", self.model.chunk(s)).tobytes()
             self._keep(s, have)
         return have
 
     def _cut(self, s: str) -> list[str]:
-        """Parts of a chunk that no token crosses, as before most punctuation: no piece has those two characters side by side."""
+        """Parts of a chunk that no token crosses, as before most punctuation: no piece has those two characters side by side.
+
+        Short chunks are cut at their end only, which keeps their words whole for the cache.
+        """
         inside, at, out = self.model.inside, 0, []
+        if len(s) <= CACHE_LETTERS:
+            end = len(s)
+            while end > 2 and s[end - 2 : end] not in inside:
+                end -= 1
+            return [s[:end], *s[end:]]
         for i in range(1, len(s)):
             if s[i - 1 : i + 1] not in inside:
                 out.append(s[at:i])
@@ -175,7 +187,7 @@ class Chunks:
     def _part(self, s: str) -> bytes:
         have = self.new.get(s)
         if have is None:
-            have = np.array(self.model.chunk(s), np.uint16).tobytes()
+            have = array("H", self.model.chunk(s)).tobytes()
             self._keep(s, have)
         return have
 
