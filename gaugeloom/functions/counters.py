@@ -60,6 +60,12 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], values: list[str], ts
     return found.select(*left.columns, F.col("_right.at").alias("asof_ts"), *[F.col(f"_right.{v}").alias(v) for v in values])
 
 
+def preceded(left: DataFrame, right: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
+    """left's rows that have a row of right at or before their time, per `by`. Only the first time of each key of right is joined."""
+    first = right.groupBy(*by).agg(F.min(ts).alias("_first"))
+    return left.join(first, by).where(F.col("_first") <= F.col(ts)).select(*left.columns)
+
+
 def moments(df: DataFrame, at: int, by: list[str] | None = None, ts: str = "ts") -> DataFrame:
     """(by..., current_ts, previous_ts): the latest moment at or before `at`, and the one before it. One row per `by`."""
     by = by or []

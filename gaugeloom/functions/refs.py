@@ -6,7 +6,7 @@ import base64
 import json
 import zlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 VERSION, MOST_BYTES = 1, 8_192
@@ -38,6 +38,9 @@ def shortened(text: Column, most: int) -> Column:
     return F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
 
 
-def locate(df, type_id: int, ordinal: int):
-    """The row that a locator names; the caller checks that it is exactly one."""
-    return df.where((F.col("type_id") == type_id) & (F.col("row_ordinal") == ordinal)).limit(2)
+def locate(df: DataFrame, type_id: int, ordinal: int) -> Row:
+    """The row that a locator names; a LookupError unless it is exactly one."""
+    found = df.where((F.col("type_id") == type_id) & (F.col("row_ordinal") == ordinal)).head(2)
+    if len(found) != 1:
+        raise LookupError("no row has this locator" if not found else "several rows have this locator")
+    return found[0]

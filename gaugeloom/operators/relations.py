@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gaugeloom.functions import tristate
 
 
-def members(df: DataFrame, identity: list[str], counters: list[str], moment: list[str] | None = None, ts: str = "ts") -> DataFrame:
+def members(df: DataFrame, identity: list[str], counters: list[str], ts: str = "ts") -> DataFrame:
     """Rows with d_<counter> and elapsed against the row of the same identity before; null where it fell or there is none."""
     w = Window.partitionBy(*identity).orderBy(ts)
     out = df.withColumn("elapsed", F.col(ts) - F.lag(ts).over(w))
@@ -55,7 +55,8 @@ def latest_of_each(df: DataFrame, part: str, values: list[str], ts: str = "ts")
     paired with every part. Differences are taken inside hours; the last row of
     the part's hour before is carried in, so no task sees all rows of a part.
     Of rows of one part and time the one with the largest values is the newest;
-    rows without a time are left out.
+    rows without a time are left out. While a part's newest row lacks a value,
+    the merged value is unknown.
     """
     row = F.struct(ts, *values)
     rows = df.where(F.col(ts).isNotNull()).select(part, ts, *values).withColumn("_h", F.floor(F.col(ts) / 3_600_000_000))
@@ -63,9 +64,13 @@ def latest_of_each(df: DataFrame, part: str, values: list[str], ts: str = "ts")
     carried = last.withColumn("_c", F.lag("_l").over(Window.partitionBy("_part").orderBy("_span"))).drop("_l")  # a row per part and hour
     before = F.coalesce(F.lag(row).over(Window.partitionBy(part, "_h").orderBy(ts, *values)), F.col("_c"))
     near = rows.join(carried, F.col(part).eqNullSafe(F.col("_part")) & (F.col("_h") == F.col("_span"))).withColumn("_b", before)
-    steps = near.select(ts, F.when(F.col("_b").isNull(), 1).otherwise(0).alias("_new"), *[(F.col(v) - F.coalesce(F.col(f"_b.{v}"), F.lit(0))).alias(f"_{v}") for v in values])
-    at = steps.groupBy(ts).agg(F.sum("_new").alias("_new"), *[F.sum(f"_{v}").alias(f"_{v}") for v in values])
-    return running(at, ts, ["_new", *[f"_{v}" for v in values]]).select(ts, F.col("_new").alias("parts"), *[F.col(f"_{v}").alias(v) for v in values])
+    first, zero = F.col("_b").isNull(), F.lit(0)
+    changes = {"_new": F.when(first, 1).otherwise(0)}
+    for v in values:
+        changes[f"_v_{v}"] = F.coalesce(F.col(v), zero) - F.coalesce(F.col(f"_b.{v}"), zero)
+        changes[f"_u_{v}"] = F.col(v).isNull().cast("int") - F.when(first, 0).otherwise(F.col(f"_b.{v}").isNull().cast("int"))
+    at = near.select(ts, *[c.alias(n) for n, c in changes.items()]).groupBy(ts).agg(*[F.sum(n).alias(n) for n in changes])
+    return running(at, ts, list(changes)).select(ts, F.col("_new").alias("parts"), *[F.when(F.col(f"_u_{v}") == 0, F.col(f"_v_{v}")).alias(v) for v in values])
 
 
 def running(df: DataFrame, order: str, columns: list[str], width: int = 3_600_000_000) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugeloom.functions import ratios
-from gaugeloom.functions.counters import adjacent, predecessor, rate
+from gaugeloom.functions.counters import adjacent, asof, predecessor, rate
 from gaugeloom.functions.timeutil import HOUR
 from gaugeloom.operators import detect, sequence, series
 from gaugeloom.plans.registry import DAY, EPOCH, REC, gauges, query, recorded
@@ -111,14 +111,18 @@ def overall_health(spark, root):
     return _health(spark, root).join(active, "ts").select("ts", series.overall_health(F.col("os_health"), series.postgres_penalty(F.col("active"), F.lit(4.0))).cast("int").alias("health"))
 
 
-@query("""
-SELECT p_partkey, CASE WHEN q = -1 THEN CAST(cpus AS DOUBLE) WHEN q > 0 AND period > 0 THEN least(CAST(q AS DOUBLE) / period, cpus) END AS capacity
-FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN -1 ELSE p_size * 7 - 14 END AS q, p_partkey % 9 * 10 AS period, p_size % 16 AS cpus FROM part)
+@query(f"""
+WITH {REC}, l AS (SELECT event_id, user_id, ts FROM rec WHERE event_type = 'purchase'),
+  r AS (SELECT user_id, ts AS then, CASE WHEN cents % 5 = 0 THEN -1 ELSE cents * 7 - 14 END AS q, cents % 9 * 10 AS period, cents % 16 AS cpus FROM rec WHERE event_type = 'view')
+SELECT event_id, CASE WHEN q = -1 THEN CAST(cpus AS DOUBLE) WHEN q > 0 AND period > 0 THEN least(CAST(q AS DOUBLE) / period, cpus) END AS capacity
+FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.then
 """)
 def capacity_asof(spark, root):
-    p = table(spark, root, "part")
-    q = F.when(F.col("p_partkey") % 5 == 0, -1).otherwise(F.col("p_size") * 7 - 14)
-    return p.select("p_partkey", ratios.cpu_capacity(q, F.col("p_partkey") % 9 * 10, F.col("p_size") % 16).alias("capacity"))
+    e = gauges(spark, root)
+    limits = e.where("event_type = 'view'").select("user_id", "ts", F.when(F.col("cents") % 5 == 0, -1).otherwise(F.col("cents") * 7 - 14).alias("q"), (F.col("cents") % 9 * 10).alias("period"), (F.col("cents") % 16).alias("cpus"))
+    moments = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    held = asof(moments, limits, ["user_id"], ["q", "period", "cpus"])
+    return held.select("event_id", ratios.cpu_capacity(F.col("q"), F.col("period"), F.col("cpus")).alias("capacity"))
 
 
 @query(f"WITH {REC} SELECT 'slow_query' AS detector, CAST(user_id AS VARCHAR) || '/' || event_type AS entity, ts FROM rec WHERE cents >= 5000")

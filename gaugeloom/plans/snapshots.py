@@ -122,8 +122,7 @@ SELECT count(*) AS preceded FROM l SEMI JOIN (SELECT user_id, min(ts) AS first F
 """)
 def asof_semi_count(spark, root):
     e = gauges(spark, root)
-    first = e.where("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("first"))
-    errors = e.where("event_type = 'error'").join(first, "user_id").where("first <= ts")
+    errors = counters.preceded(e.where("event_type = 'error'"), e.where("event_type = 'signup'"), ["user_id"])
     return errors.agg(F.count(F.lit(1)).alias("preceded"))
 
 

@@ -86,6 +86,14 @@ def test_latest_of_each_part(spark):
     assert got == [(1, 1, 10), (2, 2, 15), (7_200_000_001, 2, 31), (7_200_000_009, 2, 1)]
 
 
+def test_latest_of_each_part_without_a_value(spark):
+    """A null is unknown while it is the newest, and leaves no trace in later sums."""
+    hour = 3_600_000_000
+    df = spark.createDataFrame([("a", 1, 5), ("b", 2, 1), ("a", 3, None), ("b", hour + 1, 2), ("a", hour + 2, 7), ("c", hour + 3, None)], "p string, ts long, v long")
+    got = sorted(tuple(r) for r in relations.latest_of_each(df, "p", ["v"]).select("ts", "parts", "v").collect())
+    assert got == [(1, 1, 5), (2, 2, 6), (3, 2, None), (hour + 1, 2, None), (hour + 2, 2, 9), (hour + 3, 3, None)]
+
+
 def test_latest_of_each_part_works_in_hours(spark):
     """As the plain fold, and no window has all rows of a part together."""
     r, hour = random.Random(5), 3_600_000_000

@@ -19,6 +19,14 @@ def test_references_round_trip(spark):
             refs.parse(bad)
 
 
+def test_locators_name_one_row(spark):
+    df = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 1, "c")], "type_id int, row_ordinal int, name string")
+    assert refs.locate(df, 1, 0)["name"] == "a"
+    for type_id, ordinal in ((1, 1), (2, 0)):
+        with pytest.raises(LookupError):
+            refs.locate(df, type_id, ordinal)
+
+
 def test_shortened_text(spark):
     rows = spark.createDataFrame([("abcdef",), ("abc",), (None,)], "t string").select(refs.shortened(F.col("t"), 4).alias("s")).collect()
     assert [r["s"] for r in rows] == ["abc…", "abc", None]
