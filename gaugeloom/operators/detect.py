@@ -12,7 +12,7 @@ CAP = 4_096
 CPU_BUSY_PCT, LOAD_PER_CPU, MEMORY_LEFT_PCT, FILESYSTEM_USED_PCT = 80, 2, 10, 90
 SLOW_MS, WRAPAROUND_AGE, HEALTH_LEAST, ACTIVE_PER_CPU = 5_000, 1_600_000_000, 50, 2
 
-THRESHOLDS: dict[str, Column | str] = {
+THRESHOLDS: dict[str, str] = {
     "host_cpu": f"100 * busy_delta >= {CPU_BUSY_PCT} * total_delta",
     "load": f"load1 >= {LOAD_PER_CPU} * cpus",
     "memory": f"100 * available <= {MEMORY_LEFT_PCT} * total",
@@ -31,6 +31,12 @@ def crossing(df: DataFrame, detector: str, condition: Column | str, entity: list
     return df.where(condition).select(F.lit(detector).alias("detector"), key.alias("entity"), F.col(ts).alias("ts"))
 
 
+def crossings(df: DataFrame, detectors: list[str], entity: list[str], ts: str = "ts") -> DataFrame:
+    """(detector, entity, ts) of rows that meet a threshold of any of the detectors; one pass over the rows."""
+    met = F.array_compact(F.array(*[F.when(F.expr(THRESHOLDS[d]), F.lit(d)) for d in detectors]))
+    return df.select(F.explode(met).alias("detector"), F.concat_ws("/", *[F.col(e).cast("string") for e in entity]).alias("entity"), F.col(ts).alias("ts"))
+
+
 def risen(df: DataFrame, detector: str, counter: str, entity: list[str], ts: str = "ts") -> DataFrame:
     """Rows whose counter is above that of the row before of the same entity."""
     w = Window.partitionBy(*entity).orderBy(ts)

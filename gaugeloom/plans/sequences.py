@@ -131,6 +131,25 @@ def detect_threshold(spark, root):
     return detect.crossing(e, "slow_query", detect.THRESHOLDS["slow_query"], ["user_id", "event_type"])
 
 
+HOST = {
+    "busy_delta": "p_size", "total_delta": "60", "load1": "p_size % 20", "cpus": "p_partkey % 5", "available": "p_size * 4", "total": "400", "free": "p_size * 6",
+    "xid_age": "p_size * 40000000", "health": "p_size * 2", "active": "p_size % 11",
+}
+CROSSED = {
+    "host_cpu": "busy_delta >= 0.8 * total_delta", "load": "load1 >= 2 * cpus", "memory": "available <= total / 10.0", "filesystem": "total - free >= 0.9 * total",
+    "xid_age": "xid_age >= 1600000000", "overall_health": "health < 50", "active_backends": "active > 2 * cpus",
+}
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, {", ".join(f"CAST({v} AS BIGINT) AS {n}" for n, v in HOST.items())} FROM part)
+{" UNION ALL ".join(f"SELECT '{n}' AS detector, CAST(p_partkey AS VARCHAR) AS entity, CAST(p_partkey AS BIGINT) AS ts FROM p WHERE {c}" for n, c in CROSSED.items())}
+""")
+def detect_host_thresholds(spark, root):
+    rows = table(spark, root, "part").select(F.col("p_partkey"), F.col("p_partkey").cast("long").alias("ts"), *[F.expr(v).cast("long").alias(n) for n, v in HOST.items()])
+    return detect.crossings(rows, list(CROSSED), ["p_partkey"])
+
+
 RISEN = "SELECT 'deadlocks' AS detector, CAST(user_id AS VARCHAR) AS entity, ts FROM (SELECT user_id, ts, counter, lag(counter) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM rec) WHERE counter > b"
 
 
