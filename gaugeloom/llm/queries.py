@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeloom.llm import chat, jaccard, langid, lines, media, packing, pieces, shards, topk, toxicity
+from gaugeloom.llm import chat, jaccard, langid, lines, media, mixing, packing, pieces, shards, topk, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -74,8 +74,14 @@ def op10_chat_format(spark, root):
     return chat.format_chats(_table(spark, root, "conversations"))
 
 
+def op13_fair_mix(spark, root):
+    got = mixing.fair_queue(_table(spark, root, "documents"))
+    alike = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
+    return got.groupBy("row").agg(*alike, F.sum("words").alias("taken"), F.min("position").alias("mix_position")).drop("row")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_topk, op2_line_dedup, op3_audio_features, op4_curve_packing, op5_kd_sharding, op6_ngram_jaccard, op7_toxicity, op8_language_id, op9_sentencepiece, op10_chat_format)
+    for f in (op1_exact_topk, op2_line_dedup, op3_audio_features, op4_curve_packing, op5_kd_sharding, op6_ngram_jaccard, op7_toxicity, op8_language_id, op9_sentencepiece, op10_chat_format, op13_fair_mix)
 }
-ORACLE_SQL = {"op1_exact_topk": topk.ORACLE_SQL, "op6_ngram_jaccard": jaccard.ORACLE_SQL, "op2_line_dedup": lines.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL}
+ORACLE_SQL = {"op1_exact_topk": topk.ORACLE_SQL, "op6_ngram_jaccard": jaccard.ORACLE_SQL, "op2_line_dedup": lines.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL, "op13_fair_mix": mixing.ORACLE_SQL}
