@@ -27,20 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read back."""
+def written_at(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+    """`df` written once as Parquet in the shared folder and read back, and where it is, for drop()."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     _paths.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    """`df` written once as Parquet in the shared folder and read back."""
+    return written_at(df, name, compression)[0]
+
+
+def drop(spark: SparkSession, path: str) -> bool:
+    """Deletes one table that written_at() has made, when nothing reads it any more."""
+    _paths.remove(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def discard(spark: SparkSession) -> int:
     """Deletes the tables that written() has made in this process, when no result that reads them is needed; returns their number."""
-    jvm, gone = spark.sparkContext._jvm, 0
+    gone = 0
     while _paths:
-        path = jvm.org.apache.hadoop.fs.Path(_paths.pop())
-        gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gone += drop(spark, _paths[-1])
     return gone
 
 
