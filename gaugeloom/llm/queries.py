@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugeloom.llm import chat, jaccard, kmeans, langid, lines, media, mixing, packing, pieces, shards, topk, toxicity
+from gaugeloom.llm import alignment, chat, jaccard, kmeans, langid, lines, media, mixing, packing, pieces, shards, topk, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -74,6 +74,10 @@ def op10_chat_format(spark, root):
     return chat.format_chats(_table(spark, root, "conversations"))
 
 
+def op11_alignment(spark, root):
+    return alignment.align(_table(spark, root, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_exponion(spark, root):
     return kmeans.clusters(_table(spark, root, "embeddings"))
 
@@ -86,6 +90,6 @@ def op13_fair_mix(spark, root):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_topk, op2_line_dedup, op3_audio_features, op4_curve_packing, op5_kd_sharding, op6_ngram_jaccard, op7_toxicity, op8_language_id, op9_sentencepiece, op10_chat_format, op12_exponion, op13_fair_mix)
+    for f in (op1_exact_topk, op2_line_dedup, op3_audio_features, op4_curve_packing, op5_kd_sharding, op6_ngram_jaccard, op7_toxicity, op8_language_id, op9_sentencepiece, op10_chat_format, op11_alignment, op12_exponion, op13_fair_mix)
 }
 ORACLE_SQL = {"op1_exact_topk": topk.ORACLE_SQL, "op6_ngram_jaccard": jaccard.ORACLE_SQL, "op2_line_dedup": lines.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL, "op12_exponion": kmeans.ORACLE_SQL, "op13_fair_mix": mixing.ORACLE_SQL}
