@@ -18,8 +18,8 @@ and then just the pairs across clusters are left to be looked at. So a group of
 thousands of near copies costs a few pairs per member, and no link between
 different clusters is lost.
 
-Sets are known by 64-bit hashes: two different n-grams or sets are taken for
-equal with a chance of about n * n / 2 ** 65.
+N-grams are known by whole 63-bit hashes, sets by 64-bit ones: of n different
+n-grams any two are taken for equal with a chance of about n * n / 2 ** 64.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ HOT_RANK = 64
 LEADERS, HOT_LEADERS, HOT_ROWS = 4, 20_000, 1_000  # at most so many leaders are broadcast, of n-grams with more than so many texts
 CELL_TEXTS = 1_000  # texts of an n-gram that meet as many others in one cell
 TURNS, FEW_MEETINGS, MEETINGS = 8, 20_000, 0.5  # at most so many turns of more leaders, while more than so many pairs are left across clusters, or per prefix n-gram
-GRAM_BYTES = 5
+GRAM_BITS = 63  # n-grams are non-negative longs; negative ones stand for hot n-grams
 _STEPS = [np.uint64(pow(0xD1342543DE82EF95, k, 1 << 64)) for k in range(64)]
 
 
@@ -63,7 +63,7 @@ def gram_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
         g = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
             g += h[i : i + len(g)] * _STEPS[i + 1]
-        out.append(np.unique(mix(g)))
+        out.append(np.unique(mix(g) >> np.uint64(64 - GRAM_BITS)))
     return out
 
 
@@ -109,23 +109,12 @@ def _hot(scan: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["key"] for r in counted.select("key").collect()], np.int64).view(np.uint64))
 
 
-def _to_bytes(grams: np.ndarray, part_bits: int) -> bytes:
-    """GRAM_BYTES bytes each, of the bits behind those that name the part."""
-    return (grams << np.uint64(part_bits) >> np.uint64(64 - 8 * GRAM_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GRAM_BYTES].tobytes()
-
-
-def _from_bytes(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // GRAM_BYTES, 8), np.uint8)
-    out[:, :GRAM_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, GRAM_BYTES)
-    return out.view("<u8").reshape(-1)
-
-
 def _all_grams(column: pa.ChunkedArray) -> np.ndarray:
     """The n-grams of all rows in one array, decoded row by row."""
-    out, at = np.empty(sum(pc.sum(pc.binary_length(c)).as_py() or 0 for c in column.chunks) // GRAM_BYTES, np.uint64), 0
+    out, at = np.empty(sum(pc.sum(pc.binary_length(c)).as_py() or 0 for c in column.chunks) // 8, np.uint64), 0
     for chunk in column.chunks:
         for value in chunk:
-            part = _from_bytes(value.as_py())
+            part = np.frombuffer(value.as_py(), "<u8")
             out[at : at + len(part)] = part
             at += len(part)
     return out
@@ -153,7 +142,7 @@ def _deal(docs: DataFrame, hot: np.ndarray, part_bits: int, width: int) -> DataF
             hot_owner, hot_place = owner[is_hot], place[is_hot].astype("<i4")
             hot_begin = np.searchsorted(hot_owner, np.arange(len(sets) + 1))
             grams, owner = grams[~is_hot], owner[~is_hot]
-            part_of = (grams >> np.uint64(64 - part_bits)).astype(np.int64)
+            part_of = (grams >> np.uint64(GRAM_BITS - part_bits)).astype(np.int64)
             order = np.argsort(part_of, kind="stable")  # inside a part still by owner, then by n-gram
             grams, owner = grams[order], owner[order]
             begin = np.searchsorted(part_of[order], np.arange(parts + 1))
@@ -167,7 +156,7 @@ def _deal(docs: DataFrame, hot: np.ndarray, part_bits: int, width: int) -> DataF
                 hots = [hot_place[hot_begin[w] : hot_begin[w + 1]] if home[w] == f else hot_place[:0] for w in who]
                 cols = [
                     pa.array([f], pa.int32()), pa.array([keys[who].tobytes()]), pa.array([sizes[who].astype("<i4").tobytes()]), pa.array([part[who].astype("<i4").tobytes()]),
-                    pa.array([_to_bytes(grams[a:b], part_bits)]), pa.array([np.array([len(h) for h in hots], "<i4").tobytes()]), pa.array([np.concatenate(hots).tobytes()]),
+                    pa.array([grams[a:b].astype("<u8").tobytes()]), pa.array([np.array([len(h) for h in hots], "<i4").tobytes()]), pa.array([np.concatenate(hots).tobytes()]),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["part", "keys", "sizes", "parts", "grams", "hot_parts", "hot"])
 
@@ -185,10 +174,10 @@ def _held_twice(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nd
     return owner[order[use]], ordered[use], held[use]
 
 
-def _shared(dealt: DataFrame) -> DataFrame:
+def _shared(dealt: DataFrame, part_bits: int) -> DataFrame:
     """(key, n, part, grams, ranks): of what each text has in a part the n-grams that other texts hold too.
 
-    An n-gram is a long: the part and the bits that were sent; hot ones
+    An n-gram is its whole hash as a long; hot ones
     have negative numbers and parts of their own. Ranks order them: the number of texts that hold
     one, as a power of two; hot ones come last.
     """
@@ -205,10 +194,10 @@ def _shared(dealt: DataFrame) -> DataFrame:
         if not first.all():
             use = first[owner]
             grams, owner = grams[use], owner[use]
-        slice_ = (grams >> np.uint64(8 * GRAM_BYTES - SLICE_BITS)).astype(np.uint8)
+        slice_ = (grams >> np.uint64(GRAM_BITS - part_bits - SLICE_BITS)).astype(np.uint8) & ((1 << SLICE_BITS) - 1)
         found = [_held_twice(grams[part], owner[part]) for k in range(1 << SLICE_BITS) if len(part := np.flatnonzero(slice_ == k))]
         owner, grams, held = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(3))
-        grams = grams.astype(np.int64) + (f << (8 * GRAM_BYTES))
+        grams = grams.astype(np.int64)
         rank = np.ceil(np.log2(held)).astype(np.int32)
         hot_owner = np.repeat(np.arange(len(keys)), hot_parts)
         use = first[hot_owner]
@@ -267,10 +256,10 @@ def _cuts(whole: DataFrame) -> list[float]:
     return out
 
 
-def _segments(whole: DataFrame, part_bits: int, hot: int) -> DataFrame:
+def _segments(whole: DataFrame, hot: int) -> DataFrame:
     """(key, fragment, grams, behind): a text's n-grams by contiguous fragments of the order, and how many come in later ones."""
     cuts = _cuts(whole)
-    span = float(1 << (8 * GRAM_BYTES + part_bits))
+    span = float(1 << GRAM_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, SCAN_ROWS) for b in batches for i in range(0, b.num_rows, SCAN_ROWS)):
@@ -400,12 +389,12 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUMERATOR, de
     total = members.agg(F.sum("n")).first()[0] or 0
     part_bits = max(4, (-(-int(total) // PART_GRAMS) - 1).bit_length())
     hot = _hot(scan)
-    parts = _shared(_deal(docs, hot, part_bits, width))
+    parts = _shared(_deal(docs, hot, part_bits, width), part_bits)
     whole = parts.groupBy("key", "n").agg(F.flatten(F.collect_list("grams")).alias("grams"), F.flatten(F.collect_list("ranks")).alias("ranks"))
     whole = store.written(whole.where(F.size("grams") * den >= F.col("n") * num), "gram-shared")
     prefixes = store.written(_prefixes(whole, num, den), "gram-prefixes")
     front = prefixes.count()
-    segments = store.written(_segments(whole, part_bits, len(hot)), "gram-segments")
+    segments = store.written(_segments(whole, len(hot)), "gram-segments")
 
     stars = store.written(_stars(prefixes, front, num, den), "gram-stars")
     links = store.written(linked(stars, segments, num, den), "gram-links")

@@ -119,7 +119,7 @@ def test_overlaps_are_counted_by_fragments_of_the_order(spark):
     held = {g: sum(g in t for t in texts.values()) for g in range(400)}
     rank = lambda g: 64 + g if g < 5 else (held[g] - 1).bit_length()
     whole = spark.createDataFrame([(k, len(t), [-1 - g if g < 5 else g for g in t], [rank(g) for g in t]) for k, t in texts.items()], "key long, n long, grams array<long>, ranks array<int>")
-    segments = jaccard._segments(whole, 4, 5)
+    segments = jaccard._segments(whole, 5)
     place = lambda g: (rank(g), g)
     seen = {}
     for x in segments.collect():
@@ -210,3 +210,10 @@ def test_blocks_below_the_kth_score_are_not_scored():
     q = np.array([[5, 5, 5, 5]])
     _, _, _, scored = topk.search_cell([(np.array([99_999]), q, np.array([topk.NONE]))], blocks, 20)
     assert scored == 1
+
+
+def test_unlike_words_are_not_linked(spark):
+    """Single words whose hashes agree in many leading bits, and many single words, none of which is like another."""
+    rows = [(1, "word4820314"), (2, "word12825320"), (3, "word4820314"), (4, "word12825320")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 2}
