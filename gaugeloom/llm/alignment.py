@@ -21,6 +21,7 @@ off it. So a task holds one matrix and a few sums per text, whatever the corpus.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -41,8 +42,11 @@ SCORE_CHUNKS, COUNT_SHARE = 32, 4 << 20  # chunks scored together: so many, or m
 GROUP_BYTES = 32 << 20  # of counts, that a task of scoring gets for its stripes
 TEXTS, CHUNK_BYTES = 4_096, 6 << 20
 BLOCK = 1 << 20  # characters of a long text that are cut at once
-CACHE_PARTS, PART_LETTERS = 300_000, 48
+CACHE_PARTS, PART_LETTERS = 200_000, 48
+TOGETHER = 1 << 18  # characters of texts whose parts are looked up and learnt at once
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+# Fixed value: how byte-level tokenizers part a text before they merge bytes.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _piece_bytes(piece: str) -> bytes:
@@ -78,61 +82,120 @@ class Aligner:
             self.bytes_a[i] = bytes(map(letters.__getitem__, token))
         self.bytes_b = [_piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.width_a, self.width_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.ranks = self._ranks(file_a)
         self.parts: dict[str, tuple] = {}
-
-    def _align(self, part: str, a: list[int], b: list[int]) -> tuple:
-        """(groups as text, links as pairs of 16-bit ids, number of A's and of B's tokens), or (None, ...) if the bytes differ."""
-        if b"".join(map(self.bytes_a.__getitem__, a)) != (raw := part.encode()) or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
-            return None, b"", 0, 0
-        if len(a) == 1 or len(b) == 1:  # one group, as for most words
-            return f"{','.join(map(str, a))}|{','.join(map(str, b))}".encode(), np.array([b[-1], a[-1]], "<u2").tobytes(), len(a), len(b)
+        # Ids as text, with what may follow: ',' or '|' behind ids of A, ',' or ';' or a line end behind those of B.
+        self.shown = [f"{i}{mark}" for mark, n in ((",", len(self.bytes_a)), ("|", len(self.bytes_a)), (",", len(self.bytes_b)), (";", len(self.bytes_b)), ("\n", len(self.bytes_b))) for i in range(n)]
+
+    def _ranks(self, file_a: str):
+        """The same tokenizer as one that ranks byte strings, several times as fast; None unless ids past the single bytes are in the order of the merges."""
+        import tiktoken
+
+        with open(file_a, encoding="utf-8") as f:
+            file = json.load(f)
+        vocab, level = file["model"]["vocab"], file["pre_tokenizer"]
+        merged = [vocab.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in file["model"]["merges"]]
+        singles = sorted(i for t, i in vocab.items() if len(t) == 1)
+        if file["normalizer"] or level["type"] != "ByteLevel" or level["add_prefix_space"] or not level.get("use_regex", True) or singles != list(range(256)) or merged != list(range(256, 256 + len(merged))):
+            return None
+        return tiktoken.Encoding("ranks", pat_str=_BYTE_LEVEL, mergeable_ranks={self.bytes_a[i]: i for i in range(256 + len(merged))}, special_tokens={})
+
+    def _ids(self, text: str, short: bool) -> list[int]:
+        """A's ids. Below U+0250 all know what a letter is; elsewhere, and for long parts, the tokenizer itself is asked."""
+        if short and self.ranks is not None and (text.isascii() or max(text) < "\u0250"):
+            return self.ranks.encode_ordinary(text)
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _aligned(self, parts: list[str]) -> list[tuple] | None:
+        """(groups as text, links as pairs of 16-bit ids, number of A's and of B's tokens) of each part; None if the bytes differ.
+
+        The parts are encoded as one text, so several must be such as _CUT makes.
+        """
+        text = "".join(parts)
+        raw = text.encode()
+        a, b = self._ids(text, max(map(len, parts)) <= PART_LETTERS), self.b.encode(text[1:])
+        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            return None
+        a, b = np.array(a), np.array(b)
         end_a, end_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
-        _, last_a, last_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
-        texts, i, j = [], 0, 0
-        for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist()):
-            texts.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-            i, j = x, y
-        return ";".join(texts).encode(), np.stack([np.array(b)[last_b], np.array(a)[last_a]], 1).astype("<u2").tobytes(), len(a), len(b)
-
-    def _learnt(self, parts: list[str]) -> dict[str, tuple]:
-        """Parts, which begin with a space, and their alignment. Those known before go if there are too many; long ones are not kept."""
+        cuts, last_a, last_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
+        upto = np.searchsorted(cuts, np.cumsum([len(p.encode()) for p in parts])) + 1  # groups up to the end of each part
+        group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+        ids_a, ids_b, mark_a, mark_b = len(self.bytes_a), len(self.bytes_b), np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[last_a] = 1
+        mark_b[last_b] = 1
+        mark_b[last_b[upto - 1]] = 2
+        shown = np.concatenate([a + mark_a * ids_a, b + mark_b * ids_b + 2 * ids_a])[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")]
+        groups = "".join(map(self.shown.__getitem__, shown.tolist())).encode().split(b"\n")
+        links = np.stack([b[last_b], a[last_a]], 1).astype("<u2").tobytes()
+        n_a, n_b = (np.diff(np.concatenate([[0], last[upto - 1] + 1])).tolist() for last in (last_a, last_b))
+        begins = [0, *upto.tolist()]
+        return [(groups[i], links[4 * begins[i] : 4 * begins[i + 1]], n_a[i], n_b[i]) for i in range(len(parts))]
+
+    def _learn(self, needed: set[str]) -> dict[str, tuple]:
+        """The alignment of parts that are not known yet; (None, ...) for those whose bytes differ. Short ones are kept."""
+        lacking = [p for p in needed if p not in self.parts]
+        alone = [p for p in lacking if len(p) < 2 or p[1].isspace() or p[-1].isspace() or "▁" in p]
+        together: dict[bool, list[str]] = {True: [], False: []}
+        for p in set(lacking).difference(alone):
+            together[len(p) <= PART_LETTERS and (p.isascii() or max(p) < "\u0250")].append(p)
         new = {}
-        for i in range(0, len(parts), 2_000):
-            some = parts[i : i + 2_000]
-            ids = self.a.encode_batch_fast(some, add_special_tokens=False)
-            for part, x, y in zip(some, ids, self.b.encode([p[1:] for p in some], num_threads=1)):
-                new[part] = self._align(part, x.ids, y)
-        if len(self.parts) + len(new) > CACHE_PARTS:
-            self.parts.clear()
-        self.parts |= {p: x for p, x in new.items() if len(p) <= PART_LETTERS}
+        for some in (x[i : i + 2_000] for x in together.values() for i in range(0, len(x), 2_000)):
+            found = self._aligned(some)
+            if found is None:
+                alone += some
+            else:
+                new |= zip(some, found)
+        for p in alone:
+            found = self._aligned([p])
+            new[p] = (None, b"", 0, 0) if found is None else found[0]
+        kept = {p: x for p, x in new.items() if len(p) <= PART_LETTERS}
+        if len(self.parts) + len(kept) > CACHE_PARTS:  # what was met first is frequent and stays, with what is needed now
+            first = dict(list(self.parts.items())[: CACHE_PARTS // 2])
+            self.parts = first | {p: self.parts[p] for p in needed if p in self.parts}
+        self.parts |= kept
         return new
 
     def texts(self, texts: list[str | None]) -> list[tuple]:
         """(number of A's tokens, of B's tokens, of groups, hash of the groups, links) of each text."""
-        out = []
+        out: list[tuple] = []
+        some: list[str] = []
+        size = 0
         for text in texts:
-            n_a, n_b, n_groups, links, digest = 0, 0, 0, [], hashlib.sha256()
-            for parts in _parts(text or ""):
-                found = self._known(parts)
-                groups = [f[0] for f in found]
-                if None in groups:
-                    n_groups = 0
-                    break
-                joined = b";".join(groups)
-                digest.update(b";" + joined if n_groups else joined)
-                n_groups += joined.count(b"|")
-                links.append(b"".join(map(itemgetter(1), found)))
-                n_a += sum(map(itemgetter(2), found))
-                n_b += sum(map(itemgetter(3), found))
-            out.append((n_a, n_b, n_groups, digest.hexdigest(), b"".join(links)) if n_groups else (0, 0, 0, "", b""))
-        return out
-
-    def _known(self, parts: list[str]) -> list[tuple]:
-        found = list(map(self.parts.get, parts))
-        if None in found:
-            new = self._learnt(list(dict.fromkeys(p for p, f in zip(parts, found) if f is None)))
-            found = [f or new[p] for p, f in zip(parts, found)]
-        return found
+            if len(text or "") > TOGETHER:  # by blocks
+                out += self._small(some)
+                some, size = [], 0
+                out.append(self._one(_parts(text)))
+                continue
+            some.append(text or "")
+            size += len(some[-1])
+            if size > TOGETHER:
+                out += self._small(some)
+                some, size = [], 0
+        return out + self._small(some)
+
+    def _small(self, texts: list[str]) -> list[tuple]:
+        cut = [list(_parts(t)) for t in texts]
+        new = self._learn({p for blocks in cut for parts in blocks for p in parts})
+        return [self._one(blocks, new) for blocks in cut]
+
+    def _one(self, blocks, new: dict[str, tuple] | None = None) -> tuple:
+        n_a, n_b, n_groups, links, digest = 0, 0, 0, [], hashlib.sha256()
+        for parts in blocks:
+            learnt = self._learn(set(parts)) if new is None else new
+            found = list(map(self.parts.get, parts))
+            if None in found:
+                found = [f or learnt[p] for p, f in zip(parts, found)]
+            groups = [f[0] for f in found]
+            if None in groups:
+                return (0, 0, 0, "", b"")
+            joined = b";".join(groups)
+            digest.update(b";" + joined if n_groups else joined)
+            n_groups += joined.count(b"|")
+            links.append(b"".join(map(itemgetter(1), found)))
+            n_a += sum(map(itemgetter(2), found))
+            n_b += sum(map(itemgetter(3), found))
+        return (n_a, n_b, n_groups, digest.hexdigest(), b"".join(links)) if n_groups else (0, 0, 0, "", b"")
 
 
 def _parts(text: str) -> Iterator[list[str]]:

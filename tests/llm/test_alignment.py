@@ -74,17 +74,28 @@ def test_matches_whole_texts(spark, rows):
 
 
 def test_many_chunks_parts_and_blocks(spark, rows, monkeypatch):
-    for name, value in {"TEXTS": 5, "FAN_IN": 3, "SCORE_CHUNKS": 2, "COUNT_SHARE": 1 << 30, "GROUP_BYTES": 500, "BLOCK": 40, "CACHE_PARTS": 30}.items():
+    for name, value in {"TEXTS": 5, "FAN_IN": 3, "SCORE_CHUNKS": 2, "COUNT_SHARE": 1 << 30, "GROUP_BYTES": 500, "BLOCK": 40, "TOGETHER": 150, "CACHE_PARTS": 30}.items():
         monkeypatch.setattr(alignment, name, value)
     alignment.aligner.cache_clear()
     model = alignment.Aligner(A, B)
     want, _, _ = brute(rows)
     assert [x[:4] for x in model.texts([t for _, t in rows])] == [(w[1], w[2], w[3], w[7]) for w in want]
     monkeypatch.setattr(alignment, "BLOCK", 1 << 20)
+    monkeypatch.setattr(alignment, "TOGETHER", 1 << 18)
     got = alignment.align(spark.createDataFrame(rows, "doc_id long, text string"), A, B).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_ranks_give_the_tokenizers_ids():
+    """Every character below U+0250 beside letters, digits, signs and blanks."""
+    model, a = alignment.Aligner(A, B), Tokenizer.from_file(A)
+    a.encode_special_tokens = True
+    assert model.ranks is not None
+    texts = [f" {x}{chr(c)}{y}{chr(c)}{chr(c)} {chr(c)}{x}" for c in range(0x250) for x, y in (("a", "1"), ("é", " "), ("'", "s"), ("\n", "."), ("", "\t"))]
+    texts += [t for t in map(lambda t: " " + (t or ""), odd_texts()) if max(t) < "\u0250"]
+    assert [model._ids(t, True) for t in texts] == [e.ids for e in a.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_empty_table_and_query(spark, tmp_path):
     assert alignment.align(spark.createDataFrame([], "doc_id long, text string"), A, B).count() == 0
     spark.createDataFrame([(1, None, "a"), (2, "▁", "b"), (5, "two words", None)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
