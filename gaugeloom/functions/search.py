@@ -7,7 +7,7 @@ both are ordinary columns, combined with & and |.
 from __future__ import annotations
 
 import re
-from decimal import Decimal
+from decimal import Context, Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,36 +41,50 @@ def quantity(text: str) -> Decimal:
     m = re.fullmatch(r"(\d+(?:\.\d{1,9})?)\s*([A-Za-z%]+)?(?:/s)?", text.strip())
     if not m or len(m[1].replace(".", "")) > 38:
         raise ValueError(f"not a quantity: {text}")
-    number, unit = Decimal(m[1]), m[2]
+    number, unit, wide = Decimal(m[1]), m[2], Context(prec=80)
     if unit == "%":
         if number > 100:
             raise ValueError("more than 100 %")
         return number
     if unit in BYTES:
-        if (value := number * BYTES[unit]) != value.to_integral_value():
+        if (value := wide.multiply(number, BYTES[unit])) % 1:
             raise ValueError("a part of a byte")
         return value
     if unit and unit not in SECONDS:
         raise ValueError(f"unknown unit: {unit}")
-    return number * SECONDS[unit] if unit else number
+    return wide.multiply(number, SECONDS[unit]) if unit else number
 
 
-def _compare(top: Column, bottom: Column | None, text: str) -> tuple[Column, Column]:
-    """Both sides without division: top * q.den against q.num * bottom."""
-    q = quantity(text)
-    scale = Decimal(10) ** max(0, -q.as_tuple().exponent)
-    whole = lambda d: F.lit(Decimal(int(d))).cast("decimal(38,0)")
-    left = top.cast("decimal(19,0)") * F.lit(int(scale)).cast("decimal(10,0)")
-    right = whole(q * scale) if bottom is None else bottom.cast("decimal(19,0)") * F.lit(int(q * scale)).cast("decimal(19,0)")
-    return left, right
+def _against(top: Column, text: str, bottom: Column) -> tuple[Column, Column, Column]:
+    """(x, y, exact): whole numbers with top / bottom > quantity as x > y, and < as x < y or, unless `exact`, x <= y.
+
+    The whole part of the quantity times bottom is taken off top; the rest of
+    it, times bottom, is rounded down. No product leaves 38 digits.
+    """
+    n, d = quantity(text).as_integer_ratio()
+    whole, rest = min(n // d, 1 << 63), n % d  # top is smaller than that many times any bottom
+    digits = max(1, len(str(d)) - 1) if d > 1 else 0
+    while 10**digits % d:
+        digits += 1
+    number = lambda x, size: F.lit(Decimal(x)).cast(f"decimal({size},0)")
+    part = (bottom.cast("decimal(19,0)") * number(rest * (10**digits // d), 18)).cast("decimal(38,0)")
+    scale = number(10**digits, 19)
+    x = top.cast("decimal(38,0)") - (bottom.cast("decimal(19,0)") * number(whole, 19)).cast("decimal(38,0)")
+    return x, F.call_function("div", part, scale).cast("decimal(38,0)"), part % scale == 0
 
 
 def above(top: Column, text: str, bottom: Column | None = None) -> Column:
-    """Strictly greater than the quantity, exactly; with `bottom` for top / bottom."""
-    left, right = _compare(top, bottom, text)
-    return left > right
+    """A whole number is strictly greater than the quantity, exactly; with `bottom` for top / bottom. Any quantity of quantity() will do."""
+    if bottom is None:
+        n, d = quantity(text).as_integer_ratio()
+        return top.cast("decimal(38,0)") > F.lit(Decimal(min(n // d, 1 << 64))).cast("decimal(38,0)")
+    x, y, _ = _against(top, text, bottom)
+    return x > y
 
 
 def below(top: Column, text: str, bottom: Column | None = None) -> Column:
-    left, right = _compare(top, bottom, text)
-    return left < right
+    if bottom is None:
+        n, d = quantity(text).as_integer_ratio()
+        return top.cast("decimal(38,0)") < F.lit(Decimal(min(-(-n // d), 1 << 64))).cast("decimal(38,0)")
+    x, y, exact = _against(top, text, bottom)
+    return F.when(exact, x < y).otherwise(x <= y)

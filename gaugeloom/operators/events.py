@@ -107,10 +107,14 @@ def unmatched(matched: DataFrame, target: str, ts: str = "ts", order: str = "eve
     return first.agg(F.sum("_n").alias("n"), F.min("_f")[order].alias("representative"), listed.alias("targets")).where("n > 0")
 
 
-def slow_threshold(settings: DataFrame, name: str, value: str, unit: str, ts: str = "ts") -> DataFrame:
-    """One row: the latest log_min_duration_statement in ms, null if it is negative or there is none."""
+def slow_threshold(settings: DataFrame, name: str, value: str, unit: str, ts: str = "ts", order: str = "event_id", until: int | None = None) -> DataFrame:
+    """One row: the latest log_min_duration_statement in ms (at or before `until`), null if it is negative or there is none.
+
+    Of several at one time the first in recorded `order` counts.
+    """
+    settings = settings if until is None else settings.where(F.col(ts) <= until)
     x = F.col(value).cast("double") * F.when(F.col(unit) == "s", 1_000).when(F.col(unit) == "min", 60_000).otherwise(1)
-    return settings.where(F.col(name) == "log_min_duration_statement").agg(F.max_by(F.when(x >= 0, x), ts).alias("threshold_ms"))
+    return settings.where(F.col(name) == "log_min_duration_statement").agg(F.max_by(F.when(x >= 0, x), F.struct(ts, -F.col(order))).alias("threshold_ms"))
 
 
 def waits(df: DataFrame, holders: str, pid: str, target: str, duration: str, ts: str = "ts") -> DataFrame:

@@ -7,6 +7,7 @@ logarithm of the longest way; there is no limit of depth or rows.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,13 @@ from pyspark.sql import functions as F
 
 
 def _shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where the cluster names it; a temporary folder where it is unset (local tests)."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder in local mode, and an error on a cluster, whose machines share none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return (path or f"file://{tempfile.gettempdir()}/gaugeloom-{spark.sparkContext.applicationId}").rstrip("/")
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"file://{tempfile.gettempdir()}/gaugeloom-{spark.sparkContext.applicationId}"
+    return path.rstrip("/")
 
 
 class Rounds:
@@ -112,3 +117,38 @@ def upward(links: DataFrame, marked: DataFrame) -> DataFrame:
     out = rounds.written(kept)
     rounds.dropped(rounds.n - 1)
     return out
+
+
+def components(pairs: DataFrame, rounds: Rounds) -> DataFrame:
+    """(node, label) of pairs (a, b): the smallest node that pairs reach, whichever way they point.
+
+    Labels hook to smaller ones across pairs and are then looked up in each
+    other, so rounds grow as the logarithm of the longest way.
+    """
+    both = rounds.written(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    state = rounds.written(both.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("node"), F.least("a", "_b").alias("label"), F.lit(True).alias("moved")))
+    while not state.where("moved").isEmpty():
+        own, other = state.select(F.col("node").alias("a"), F.col("label").alias("own")), state.select(F.col("node").alias("b"), F.col("label").alias("to"))
+        lower = both.join(own, "a").join(other, "b").where("to < own")
+        offers = lower.select("a", "to").union(lower.select("own", "to")).groupBy("a").agg(F.min("to").alias("offer")).withColumnRenamed("a", "node")
+        hooked = state.select("node", F.col("label").alias("was")).join(offers, "node", "left").withColumn("label", F.least("was", F.coalesce("offer", "was")))
+        ahead = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        state = rounds.written(hooked.join(ahead, "label", "left").select("node", F.coalesce("next", "label").alias("label"), (F.coalesce("next", "label") != F.col("was")).alias("moved")))
+    return state.select("node", "label")
+
+
+def first_paths(starts: DataFrame, steps: DataFrame, rounds: Rounds) -> DataFrame:
+    """(node, path): of all ways from starts (node, path) down steps (up, node, name), the one whose path of names comes first.
+
+    That is the way on which a walk that takes the smaller name first, and no
+    node twice, meets the node. Only what got a better path in a round goes on
+    in the next one; paths pass no name twice, so cycles end.
+    """
+    best = fresh = rounds.written(starts.select("node", "path"))
+    while True:
+        onward = fresh.withColumnRenamed("node", "up").join(steps, "up").where(~F.array_contains("path", F.col("name")))
+        offers = onward.groupBy("node").agg(F.min(F.concat("path", F.array("name"))).alias("offer"))
+        fresh = rounds.written(offers.join(best, "node", "left").where(F.col("path").isNull() | (F.col("offer") < F.col("path"))).select("node", F.col("offer").alias("path")))
+        if fresh.isEmpty():
+            return best
+        best = rounds.written(best.join(fresh.select("node"), "node", "left_anti").unionByName(fresh))

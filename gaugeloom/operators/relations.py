@@ -7,7 +7,7 @@ nothing. Groups carry values and unknown flags as ordinary partial aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeloom.functions import tristate
@@ -35,9 +35,18 @@ def grouped(df: DataFrame, by: list[str], changes: list[str], gauges: list[str]
 
 
 def rate_sums(df: DataFrame, by: list[str], change: str, elapsed: str = "elapsed") -> DataFrame:
-    """The sum of the members' rates. Changes over one elapsed time are added as whole numbers before they are divided."""
-    exact = df.where(F.col(change).isNotNull() & (F.col(elapsed) > 0)).groupBy(*by, elapsed).agg(F.sum(change).alias("_d"))
-    return exact.groupBy(*by).agg(F.sum(F.col("_d") * 1_000_000 / F.col(elapsed)).alias("rate"))
+    """The sum of the members' rates, the same in whatever order they come.
+
+    Changes over one elapsed time are added as whole numbers before they are
+    divided. Quotients are whole numbers and rests: wholes are added as they
+    are, rests as decimals of 18 places, so no partial sum is ever rounded.
+    """
+    exact = df.where(F.col(change).isNotNull() & (F.col(elapsed) > 0)).groupBy(*by, F.col(elapsed).cast("decimal(19,0)").alias("_e")).agg((F.sum(F.col(change).cast("decimal(19,0)")) * 1_000_000).cast("decimal(35,0)").alias("_d"))
+    rest = F.col("_d") % F.col("_e")
+    whole = F.call_function("div", (F.col("_d") - rest).cast("decimal(35,0)"), F.col("_e")).cast("decimal(38,0)")
+    part = F.call_function("div", (rest.cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)"), F.col("_e")).cast("decimal(38,0)")
+    sums = exact.groupBy(*by).agg(F.sum(whole).alias("_w"), F.sum(part).alias("_p"))
+    return sums.select(*by, (F.col("_w").cast("double") + F.col("_p").cast("double") / 1e18).alias("rate"))
 
 
 def severities(df: DataFrame, by: list[str], valid: str, ready: str) -> DataFrame:
@@ -47,7 +56,7 @@ def severities(df: DataFrame, by: list[str], valid: str, ready: str) -> DataFram
     return df.groupBy(*by).agg(tristate.maximum(level, level.isNull()).alias("severity"), *counts)
 
 
-def latest_of_each(df: DataFrame, part: str, values: list[str], ts: str = "ts") -> DataFrame:
+def latest_of_each(df: DataFrame, part: str, values: list[str], ts: str = "ts", moments: DataFrame | None = None) -> DataFrame:
     """(ts, parts, values...): at every time, the sums over the newest row of every part seen so far.
 
     The newest row changes a sum by the difference to the part's row before,
@@ -57,20 +66,29 @@ def latest_of_each(df: DataFrame, part: str, values: list[str], ts: str = "ts")
     Of rows of one part and time the one with the largest values is the newest;
     rows without a time are left out. While a part's newest row lacks a value,
     the merged value is unknown.
+
+    `moments` (part, ts) lists when parts were recorded. A part that was
+    recorded and has no row is gone until it has one again; times at which no
+    part is left have no row.
     """
-    row = F.struct(ts, *values)
-    rows = df.where(F.col(ts).isNotNull()).select(part, ts, *values).withColumn("_h", F.floor(F.col(ts) / 3_600_000_000))
+    row = F.struct(ts, "_live", *values)
+    rows = df.where(F.col(ts).isNotNull()).select(part, ts, *values, F.lit(True).alias("_live"))
+    if moments is not None:
+        seen = moments.where(F.col(ts).isNotNull()).select(part, ts).distinct()
+        rows = rows.unionByName(seen.join(rows, [part, ts], "left_anti").withColumn("_live", F.lit(False)), allowMissingColumns=True)
+    rows = rows.withColumn("_h", F.floor(F.col(ts) / 3_600_000_000))
     last = rows.groupBy(F.col(part).alias("_part"), F.col("_h").alias("_span")).agg(F.max(row).alias("_l"))
     carried = last.withColumn("_c", F.lag("_l").over(Window.partitionBy("_part").orderBy("_span"))).drop("_l")  # a row per part and hour
     before = F.coalesce(F.lag(row).over(Window.partitionBy(part, "_h").orderBy(ts, *values)), F.col("_c"))
     near = rows.join(carried, F.col(part).eqNullSafe(F.col("_part")) & (F.col("_h") == F.col("_span"))).withColumn("_b", before)
-    first, zero = F.col("_b").isNull(), F.lit(0)
-    changes = {"_new": F.when(first, 1).otherwise(0)}
-    for v in values:
+    was, zero = F.coalesce(F.col("_b._live"), F.lit(False)), F.lit(0)
+    changes = {"_new": F.col("_live").cast("int") - was.cast("int")}
+    for v in values:  # what is gone has no value, and none that is unknown
         changes[f"_v_{v}"] = F.coalesce(F.col(v), zero) - F.coalesce(F.col(f"_b.{v}"), zero)
-        changes[f"_u_{v}"] = F.col(v).isNull().cast("int") - F.when(first, 0).otherwise(F.col(f"_b.{v}").isNull().cast("int"))
+        changes[f"_u_{v}"] = (F.col("_live") & F.col(v).isNull()).cast("int") - (was & F.col(f"_b.{v}").isNull()).cast("int")
     at = near.select(ts, *[c.alias(n) for n, c in changes.items()]).groupBy(ts).agg(*[F.sum(n).alias(n) for n in changes])
-    return running(at, ts, list(changes)).select(ts, F.col("_new").alias("parts"), *[F.when(F.col(f"_u_{v}") == 0, F.col(f"_v_{v}")).alias(v) for v in values])
+    merged = running(at, ts, list(changes)).select(ts, F.col("_new").alias("parts"), *[F.when(F.col(f"_u_{v}") == 0, F.col(f"_v_{v}")).alias(v) for v in values])
+    return merged if moments is None else merged.where("parts > 0")
 
 
 def running(df: DataFrame, order: str, columns: list[str], width: int = 3_600_000_000) -> DataFrame:
@@ -83,16 +101,30 @@ def running(df: DataFrame, order: str, columns: list[str], width: int = 3_600_00
     return part.join(before, "_h").select(*[c for c in df.columns if c not in columns], *[(F.sum(c).over(inside) + F.col(f"_b_{c}")).alias(c) for c in columns])
 
 
-def history(df: DataFrame, partition: str, group: list[str], identity: list[str], counters: list[str], start: int, stop: int, ts: str = "ts") -> DataFrame:
+def tablespace_history(df: DataFrame, partition: str, chosen: Column, identity: list[str], counters: list[str], start: int, stop: int, ts: str = "ts") -> DataFrame:
+    """(ts, parts, members, d_<counter>): the members of a tablespace over all partitions (databases), at every time one of them was recorded.
+
+    A partition counts with its newest moment's members until its next one; if
+    that has no member in the tablespace any more, the partition goes.
+    """
+    rows = history(df, partition, [partition], identity, counters, 0, stop, ts, chosen)
+    moments = df.where(F.col(ts) <= stop).select(partition, ts)
+    merged = latest_of_each(rows, partition, ["members", *[f"d_{c}" for c in counters]], ts, moments)
+    return merged.where(F.col(ts).between(start, stop))
+
+
+def history(df: DataFrame, partition: str, group: list[str], identity: list[str], counters: list[str], start: int, stop: int, ts: str = "ts", chosen: Column | None = None) -> DataFrame:
     """(ts, group..., members, d_<counter>): per moment of a partition, sums of changes since its moment before.
 
     A member counts only if it was there in that moment; the moment before may lie ahead of `start`.
+    Only `chosen` members are summed, moments are those of all.
     """
     times = df.where(F.col(ts) <= stop).select(partition, ts).distinct()
     chain = times.withColumn("_then", F.lag(ts).over(Window.partitionBy(partition).orderBy(ts))).where(F.col(ts).between(start, stop))
     keys = [partition, *[i for i in identity if i != partition]]
     then = df.select(*keys, F.col(ts).alias("_then"), *[F.col(c).alias(f"_b_{c}") for c in counters])
-    rows = df.join(chain, [partition, ts]).join(then, [*keys, "_then"], "left")
+    now = df.where(F.col(ts).between(start, stop))
+    rows = (now if chosen is None else now.where(chosen)).join(chain, [partition, ts]).join(then, [*keys, "_then"], "left")
     for c in counters:
         rows = rows.withColumn(f"d_{c}", F.when(F.col(c) >= F.col(f"_b_{c}"), F.col(c) - F.col(f"_b_{c}")))
     return rows.groupBy(ts, *group).agg(F.count(F.lit(1)).alias("members"), *[tristate.total(F.col(f"d_{c}"), F.lit(False)).alias(f"d_{c}") for c in counters])

@@ -80,11 +80,13 @@ def after(order: str, ties: list[str], cursor: dict, descending: bool = True) ->
     value = cursor[order]
     same = F.col(order).eqNullSafe(F.lit(value))
     behind = F.lit(False)
-    for t in reversed(ties):
-        behind = (F.col(t) > cursor[t]) | ((F.col(t) == cursor[t]) & behind)
+    known = lambda c: F.coalesce(c, F.lit(False))
+    for t in reversed(ties):  # nulls come first among ties
+        later = F.col(t).isNotNull() if cursor[t] is None else known(F.col(t) > cursor[t])
+        behind = later | (F.col(t).eqNullSafe(F.lit(cursor[t])) & behind)
     if value is None:
         return same & behind
-    return (F.col(order) < value if descending else F.col(order) > value) | F.col(order).isNull() | (same & behind)
+    return known(F.col(order) < value if descending else F.col(order) > value) | F.col(order).isNull() | (same & behind)
 
 
 def cursor_of(row, order: str, ties: list[str]) -> dict:

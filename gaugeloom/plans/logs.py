@@ -124,20 +124,20 @@ def event_pooler_groups(spark, root):
 
 
 @query("""
-WITH f AS (SELECT o_orderstatus AS target, min(o_orderkey) AS k, count(*) AS n FROM orders a WHERE o_custkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM orders w WHERE w.o_custkey % 2 = 1 AND w.o_orderpriority = '1-URGENT' AND w.o_custkey = a.o_custkey AND w.o_orderkey <= a.o_orderkey) GROUP BY 1)
+WITH f AS (SELECT o_orderstatus AS target, min(o_orderkey) AS k, count(*) AS n FROM orders a WHERE NOT EXISTS (SELECT 1 FROM orders w WHERE w.o_orderpriority = '1-URGENT' AND w.o_custkey = a.o_custkey AND w.o_orderkey <= a.o_orderkey) GROUP BY 1)
 SELECT CAST(sum(n) AS BIGINT) AS n, min(k) AS representative, string_agg(target, ',' ORDER BY k) AS targets FROM f
 """)
 def event_locks_unmatched(spark, root):
-    o = table(spark, root, "orders").where("o_custkey % 2 = 1").select("o_custkey", F.col("o_orderkey").alias("ts"), F.col("o_orderkey").alias("event_id"), F.col("o_orderstatus").alias("target"), "o_orderpriority")
+    o = table(spark, root, "orders").select("o_custkey", F.col("o_orderkey").alias("ts"), F.col("o_orderkey").alias("event_id"), F.col("o_orderstatus").alias("target"), "o_orderpriority")
     waiting = o.where("o_orderpriority = '1-URGENT'").withColumn("holders", F.col("ts").cast("string"))
     matched = events.lock_matches(waiting, o, ["o_custkey"], "holders").join(o.select("event_id", "target"), "event_id")
     return events.unmatched(matched, "target").withColumn("targets", F.array_join("targets", ","))
 
 
-@query("SELECT max_by(CASE WHEN o_custkey % 3 > 0 THEN o_custkey * CASE o_orderstatus WHEN 'F' THEN 1000 WHEN 'O' THEN 60000 ELSE 1 END END, o_orderkey)::DOUBLE AS threshold_ms FROM orders")
+@query("SELECT (CASE WHEN o_custkey % 3 > 0 THEN o_custkey * CASE o_orderstatus WHEN 'F' THEN 1000 WHEN 'O' THEN 60000 ELSE 1 END END)::DOUBLE AS threshold_ms FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1")
 def event_slow_threshold(spark, root):
     unit = F.when(F.col("o_orderstatus") == "F", "s").when(F.col("o_orderstatus") == "O", "min").otherwise("ms")
-    o = table(spark, root, "orders").select(F.lit("log_min_duration_statement").alias("name"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).otherwise(-1).alias("value"), unit.alias("unit"), F.col("o_orderkey").alias("ts"))
+    o = table(spark, root, "orders").select(F.lit("log_min_duration_statement").alias("name"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).otherwise(-1).alias("value"), unit.alias("unit"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("event_id"))
     return events.slow_threshold(o, "name", "value", "unit")
 
 

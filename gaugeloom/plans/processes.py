@@ -64,14 +64,22 @@ def lanes_backends(spark, root):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT p_partkey AS pid, p_partkey // 3 AS up FROM part WHERE p_partkey % 9 <> 0 AND p_partkey // 3 <> p_partkey),
-n AS (SELECT pid FROM e UNION SELECT up FROM e), w AS (SELECT pid, pid AS place, 0 AS level FROM n UNION ALL SELECT w.pid, e.up, level + 1 FROM w JOIN e ON w.place = e.pid)
-SELECT pid, place AS root, level FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.pid = w.place)
+WITH RECURSIVE r AS (SELECT p_partkey % 3 AS moment, p_partkey AS pid, CASE WHEN p_partkey % 9 = 0 THEN [] ELSE [p_partkey // 4, p_partkey // 7 * 3, p_partkey + 1000000, CASE WHEN p_partkey % 10 = 1 THEN 0 END] END AS b FROM part),
+e AS (SELECT DISTINCT r.moment, r.pid, u.up FROM (SELECT moment, pid, unnest(b) AS up FROM r) u JOIN r USING (moment, pid) JOIN r AS x ON x.moment = r.moment AND x.pid = u.up WHERE u.up <> 0),
+w AS (SELECT moment, pid, [pid] AS path FROM r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.moment = r.moment AND e.pid = r.pid) UNION ALL SELECT e.moment, e.pid, list_append(w.path, e.pid) FROM w JOIN e ON e.moment = w.moment AND e.up = w.pid),
+p AS (SELECT moment, pid, min(path) AS path FROM w GROUP BY ALL),
+c AS (SELECT moment, pid, pid AS other FROM r UNION SELECT c.moment, c.pid, CASE WHEN e.up = c.other THEN e.pid ELSE e.up END FROM c JOIN e ON e.moment = c.moment AND (e.up = c.other OR e.pid = c.other)),
+l AS (SELECT moment, pid, min(other) AS component FROM c GROUP BY ALL)
+SELECT r.moment, r.pid, l.component, 0 AS tree, len(p.path) AS depth, CASE WHEN len(p.path) > 1 THEN p.path[len(p.path) - 1] END AS parent, list_contains(r.b, 0) AS waits_on_prepared, array_to_string(p.path, ' ') AS path,
+       coalesce((SELECT string_agg(e.up, ' ' ORDER BY e.up) FROM e WHERE e.moment = r.moment AND e.pid = r.pid AND e.up IS DISTINCT FROM CASE WHEN len(p.path) > 1 THEN p.path[len(p.path) - 1] END), '') AS extra_blockers
+FROM r JOIN p USING (moment, pid) JOIN l USING (moment, pid)
 """)
 def lock_forest(spark, root):
     key = F.col("p_partkey")
-    p = table(spark, root, "part").where((key % 9 != 0) & (F.floor(key / 3) != key)).select(key.alias("pid"), F.array(F.floor(key / 3), key + 1_000_000).alias("blocked_by"))
-    return processes.lock_roots(p)
+    blockers = F.array(F.floor(key / 4), F.floor(key / 7) * 3, key + 1_000_000, F.when(key % 10 == 1, 0))
+    p = table(spark, root, "part").select((key % 3).alias("moment"), key.alias("pid"), F.when(key % 9 != 0, F.filter(blockers, lambda b: b.isNotNull())).otherwise(F.array().cast("array<bigint>")).alias("blocked_by"))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), " ").alias(c)
+    return processes.lock_forest(p, ["moment"]).select("moment", "pid", "component", "tree", "depth", "parent", "waits_on_prepared", text("path"), text("extra_blockers"))
 
 
 @query("""

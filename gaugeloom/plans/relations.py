@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gaugeloom.functions import tristate
-from gaugeloom.functions.timeutil import ts_us
+from gaugeloom.functions.timeutil import HOUR, ts_us
 from gaugeloom.operators import relations
 from gaugeloom.plans.registry import REC, gauges, query
 from gaugeloom.sources.tables import table
@@ -116,6 +116,20 @@ def latest_merge(spark, root):
     return relations.latest_of_each(gauges(spark, root), "event_type", ["cents"])
 
 
+@query(f"""
+WITH {REC}, m AS (SELECT DISTINCT event_type, ts // {HOUR} * {HOUR} AS ts FROM rec), v AS (SELECT event_type, ts // {HOUR} * {HOUR} AS ts, sum(cents) AS cents FROM rec WHERE event_id % 3 > 0 GROUP BY 1, 2),
+s AS (SELECT m.*, v.cents IS NOT NULL AS live, coalesce(v.cents, 0) AS cents FROM m LEFT JOIN v USING (event_type, ts)),
+d AS (SELECT ts, live::INTEGER - coalesce(lag(live) OVER w, false)::INTEGER AS new, cents - coalesce(lag(cents) OVER w, 0) AS step FROM s WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+g AS (SELECT ts, sum(new) AS new, sum(step) AS step FROM d GROUP BY 1), o AS (SELECT ts, CAST(sum(new) OVER (ORDER BY ts) AS BIGINT) AS parts, CAST(sum(step) OVER (ORDER BY ts) AS BIGINT) AS cents FROM g)
+SELECT * FROM o WHERE parts > 0
+""")
+def latest_merge_removed(spark, root):
+    hour = (F.floor(F.col("ts") / HOUR) * HOUR).cast("long").alias("ts")
+    e = gauges(spark, root)
+    rows = e.where("event_id % 3 > 0").groupBy("event_type", hour).agg(F.sum("cents").alias("cents"))
+    return relations.latest_of_each(rows, "event_type", ["cents"], moments=e.select("event_type", hour))
+
+
 HISTORY = (883_612_800_000_000, 946_684_800_000_000)  # 1998 and 1999
 
 
@@ -127,6 +141,25 @@ FROM f JOIN c ON f.datid = c.datid AND f.ts = c.ts LEFT JOIN f p ON p.datid = f.
 WHERE f.ts BETWEEN {HISTORY[0]} AND {HISTORY[1]} GROUP BY ALL
 """)
 def relation_history(spark, root):
+    return relations.history(monthly(spark, root), "datid", ["datid"], ["object"], ["calls"], *HISTORY)
+
+
+def monthly(spark, root):
+    """Suppliers' quantities by month as relations with a counter, in five databases."""
     li = table(spark, root, "lineitem")
-    f = li.groupBy(ts_us(F.date_trunc("month", F.col("l_shipdate"))).alias("ts"), F.col("l_suppkey").alias("object")).agg(F.sum(F.col("l_quantity").cast("long")).alias("calls")).withColumn("datid", F.col("object") % 5)
-    return relations.history(f, "datid", ["datid"], ["object"], ["calls"], *HISTORY)
+    return li.groupBy(ts_us(F.date_trunc("month", F.col("l_shipdate"))).alias("ts"), F.col("l_suppkey").alias("object")).agg(F.sum(F.col("l_quantity").cast("long")).alias("calls")).withColumn("datid", F.col("object") % 5)
+
+
+@query(f"""
+WITH f AS (SELECT epoch_us(date_trunc('month', l_shipdate)) AS ts, l_suppkey AS object, CAST(l_suppkey % 5 AS BIGINT) AS datid, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS calls FROM lineitem GROUP BY ALL),
+k AS (SELECT *, (object + ts // 86400000000) % 19 < 5 AND NOT (datid = 2 AND ts // 86400000000 % 2 = 0) AS chosen FROM f WHERE ts <= {HISTORY[1]}),
+c AS (SELECT *, lag(ts) OVER (PARTITION BY datid ORDER BY ts) AS past FROM (SELECT DISTINCT datid, ts FROM k)),
+h AS (SELECT k.ts, k.datid, count(*) AS members, sum(CASE WHEN k.calls >= p.calls THEN k.calls - p.calls END) AS d_calls FROM k JOIN c ON k.datid = c.datid AND k.ts = c.ts LEFT JOIN k p ON p.datid = k.datid AND p.object = k.object AND p.ts = c.past WHERE k.chosen GROUP BY ALL),
+t AS (SELECT DISTINCT ts FROM c WHERE ts BETWEEN {HISTORY[0]} AND {HISTORY[1]}),
+n AS (SELECT t.ts, c.datid, max(c.ts) AS at FROM t JOIN c ON c.ts <= t.ts GROUP BY ALL)
+SELECT n.ts, count(*) AS parts, CAST(sum(h.members) AS BIGINT) AS members, CASE WHEN bool_and(h.d_calls IS NOT NULL) THEN CAST(sum(h.d_calls) AS BIGINT) END AS d_calls FROM n JOIN h ON h.datid = n.datid AND h.ts = n.at GROUP BY n.ts
+""")
+def relation_history_tablespace(spark, root):
+    day = F.floor(F.col("ts") / 86_400_000_000)
+    chosen = ((F.col("object") + day) % 19 < 5) & ~((F.col("datid") == 2) & (day % 2 == 0))
+    return relations.tablespace_history(monthly(spark, root), "datid", chosen, ["object"], ["calls"], *HISTORY)
