@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from decimal import Context, Decimal
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,13 +56,17 @@ def quantity(text: str) -> Decimal:
     return wide.multiply(number, SECONDS[unit]) if unit else number
 
 
-def _against(top: Column, text: str, bottom: Column) -> tuple[Column, Column, Column]:
+def _fraction(quantity_: str | Fraction) -> tuple[int, int]:
+    return (quantity(quantity_) if isinstance(quantity_, str) else quantity_).as_integer_ratio()
+
+
+def _against(top: Column, text: str | Fraction, bottom: Column) -> tuple[Column, Column, Column]:
     """(x, y, exact): whole numbers with top / bottom > quantity as x > y, and < as x < y or, unless `exact`, x <= y.
 
     The whole part of the quantity times bottom is taken off top; the rest of
     it, times bottom, is rounded down. No product leaves 38 digits.
     """
-    n, d = quantity(text).as_integer_ratio()
+    n, d = _fraction(text)
     whole, rest = min(n // d, 1 << 63), n % d  # top is smaller than that many times any bottom
     digits = max(1, len(str(d)) - 1) if d > 1 else 0
     while 10**digits % d:
@@ -73,18 +78,18 @@ def _against(top: Column, text: str, bottom: Column) -> tuple[Column, Column, Co
     return x, F.call_function("div", part, scale).cast("decimal(38,0)"), part % scale == 0
 
 
-def above(top: Column, text: str, bottom: Column | None = None) -> Column:
+def above(top: Column, text: str | Fraction, bottom: Column | None = None) -> Column:
     """A whole number is strictly greater than the quantity, exactly; with `bottom` for top / bottom. Any quantity of quantity() will do."""
     if bottom is None:
-        n, d = quantity(text).as_integer_ratio()
+        n, d = _fraction(text)
         return top.cast("decimal(38,0)") > F.lit(Decimal(min(n // d, 1 << 64))).cast("decimal(38,0)")
     x, y, _ = _against(top, text, bottom)
     return x > y
 
 
-def below(top: Column, text: str, bottom: Column | None = None) -> Column:
+def below(top: Column, text: str | Fraction, bottom: Column | None = None) -> Column:
     if bottom is None:
-        n, d = quantity(text).as_integer_ratio()
+        n, d = _fraction(text)
         return top.cast("decimal(38,0)") < F.lit(Decimal(min(-(-n // d), 1 << 64))).cast("decimal(38,0)")
     x, y, exact = _against(top, text, bottom)
     return F.when(exact, x < y).otherwise(x <= y)

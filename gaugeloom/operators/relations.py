@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeloom.functions import tristate
+from gaugeloom.functions.conditions import Condition, phases
+from gaugeloom.operators import snapshot
 
 
 def members(df: DataFrame, identity: list[str], counters: list[str], ts: str = "ts") -> DataFrame:
@@ -34,6 +36,22 @@ def grouped(df: DataFrame, by: list[str], changes: list[str], gauges: list[str]
     return keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("members"), *sums, *tops)
 
 
+def page(
+    df: DataFrame, surface: str, by: list[str], wanted: Condition | None, counters: list[str], gauges: list[str], order: str, limit: int = 20, descending: bool = True, elapsed: str = "elapsed",
+) -> DataFrame:
+    """A page of groups of members (see members()): what the condition says of members holds before grouping, what it says of results after it.
+
+    A group has its number of members, each counter's rate, unknown while a
+    member's is, and each gauge's sum over the members that have it; with
+    eligible, the number of groups that match, and truncated.
+    """
+    member, result = (F.lit(True), F.lit(True)) if wanted is None else phases(wanted, grouped=True)
+    rates = [tristate.total(F.col(f"d_{c}").cast("double") * 1_000_000 / F.col(elapsed), F.col(f"d_{c}").isNull()).alias(c) for c in counters]
+    keyed = df.where(" AND ".join(f"{k} IS NOT NULL" for k in by)).where(member)
+    groups = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("table_count" if surface == "tables" else "index_count"), *rates, *[F.sum(g).alias(g) for g in gauges])
+    return snapshot.page(groups.where(result), order, by, limit, descending)
+
+
 def rate_sums(df: DataFrame, by: list[str], change: str, elapsed: str = "elapsed") -> DataFrame:
     """The sum of the members' rates, the same in whatever order they come.
 

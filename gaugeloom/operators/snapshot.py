@@ -38,26 +38,32 @@ def with_rates(df: DataFrame, at: int, identity: list[str], counters: list[str],
     return joined.select(*[c for c in df.columns if c not in counters], *[rate(F.col(f"_b_{c}"), F.col(c), F.col("_ts"), F.col(ts)).alias(c) for c in counters])
 
 
-def partitioned(df: DataFrame, at: int, partition: str, identity: list[str], counters: list[str], look_back: int | None = None, ts: str = "ts") -> DataFrame:
+def partitioned(df: DataFrame, at: int, partition: str, identity: list[str], counters: list[str], look_back: int | None = None, ts: str = "ts", layout: str | None = None) -> DataFrame:
     """As with_rates, with each partition's own two latest moments. Moments older than `look_back` show nothing.
 
-    The moments, a row per partition, are broadcast if there are at most
-    FEW_PARTITIONS; then no row of the history is shuffled, and the scan starts
-    at the earliest of them.
+    With `layout`, a column that numbers layouts, only rows of a moment's newest
+    layout count, per partition. The moments, a row per partition, are looked
+    up first: if there are at most FEW_PARTITIONS, they are literals that the
+    one scan of the rows is joined with, and it starts at the earliest of them;
+    only rows of two moments are shuffled then.
     """
     seen = df.where(F.col(ts) <= at)
-    times = seen.select(partition, ts).distinct()
-    nth = Window.partitionBy(partition).orderBy(F.desc(ts))
-    two = times.withColumn("_n", F.row_number().over(nth)).where("_n <= 2").groupBy(partition).agg(F.max(F.when(F.col("_n") == 1, F.col(ts))).alias("_now"), F.max(F.when(F.col("_n") == 2, F.col(ts))).alias("_then"))
+    numbers = F.coalesce(F.col(layout).cast("long"), F.lit(0).cast("long")) if layout else F.lit(0).cast("long")
+    times = seen.groupBy(F.col(partition).alias("_p"), F.col(ts).alias("_t")).agg(F.max(numbers).alias("_l"))
+    nth = Window.partitionBy("_p").orderBy(F.desc("_t"))
+    two = times.withColumn("_n", F.row_number().over(nth)).where("_n <= 2").groupBy("_p").agg(*[F.max(F.when(F.col("_n") == n, F.struct("_t", "_l"))).alias(m) for n, m in ((1, "_now"), (2, "_then"))])
     if look_back is not None:
-        two = two.where(F.col("_now") >= at - look_back)
-    facts = two.agg(F.count(F.lit(1)), F.min(F.coalesce("_then", "_now"))).first()
-    rows = seen.where(F.col(ts) >= F.lit(facts[1])).join(F.broadcast(two) if facts[0] <= FEW_PARTITIONS else two, partition)
+        two = two.where(F.col("_now._t") >= at - look_back)
+    found = two.limit(FEW_PARTITIONS + 1).collect()
+    if len(found) <= FEW_PARTITIONS:
+        two = F.broadcast(df.sparkSession.createDataFrame(found, two.schema))
+        seen = seen.where(F.col(ts) >= F.lit(min((r["_then"] or r["_now"])["_t"] for r in found) if found else None))
+    moment = F.struct(F.col(ts).alias("_t"), numbers.alias("_l"))
+    rows = seen.join(two, F.col(partition).eqNullSafe(F.col("_p"))).withColumn("_m", moment).where((F.col("_m") == F.col("_now")) | F.coalesce(F.col("_m") == F.col("_then"), F.lit(False)))
     keys = [partition, *[k for k in identity if k != partition]]
-    then = rows.where(F.col(ts) == F.col("_then")).select(*keys, F.col(ts).alias("_ts"), *[F.col(c).alias(f"_b_{c}") for c in counters])
-    now = rows.where(F.col(ts) == F.col("_now")).select(*df.columns)
-    joined = now.join(then, keys, "left")
-    return joined.select(*[c for c in df.columns if c not in counters], *[rate(F.col(f"_b_{c}"), F.col(c), F.col("_ts"), F.col(ts)).alias(c) for c in counters])
+    before = F.last(F.struct(ts, *counters)).over(Window.partitionBy(*keys).orderBy(ts).rangeBetween(Window.unboundedPreceding, -1))
+    now = rows.withColumn("_b", before).where(F.col("_m") == F.col("_now"))
+    return now.select(*[c for c in df.columns if c not in counters], *[rate(F.col(f"_b.{c}"), F.col(c), F.col(f"_b.{ts}"), F.col(ts)).alias(c) for c in counters])
 
 
 def look_back_of(cadence_seconds: float) -> int:
