@@ -47,12 +47,14 @@ def drop(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def discard(spark: SparkSession) -> int:
-    """Deletes the tables that written() has made in this process, when no result that reads them is needed; returns their number."""
-    gone = 0
-    while _paths:
-        gone += drop(spark, _paths[-1])
-    return gone
+def made() -> int:
+    """How many tables written() has made that are not deleted yet; a mark for discard()."""
+    return len(_paths)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: str | None = None) -> int:
+    """Deletes the tables that written() has made in this process since a mark of made(), but not `keep`, when no result that reads them is needed; returns their number."""
+    return sum(drop(spark, path) for path in _paths[since:] if path != keep)
 
 
 def some(df: DataFrame, key: str, limit: int, seed: int) -> DataFrame:

@@ -32,9 +32,8 @@ from gaugeloom.llm.words import mix, word_hashes
 
 TRAIN_ROWS = 20_000
 ROWS = 512
-LEXICON = 5_000
 CACHE_ENTRIES, CACHE_LETTERS = 100_000, 64  # tokens kept, and the longest of them
-STRETCH = 4_096  # characters that are decoded at once
+STRETCH = 4_096  # characters after which the part of the path that is certain is settled
 LETTER_BYTES = 256 << 10
 PREFIXES = (4, 5)
 BEGINNING = 3.0
@@ -69,12 +68,14 @@ class Model:
 
 
 def restore(noisy: str, letters: list[list[list[float]]], spaced: bool = False) -> str:
-    """The likeliest reading of `noisy` (lower case), decoded in stretches of STRETCH characters.
+    """The likeliest reading of `noisy` (lower case).
 
     A state is the last two letters, of which the edge of a word is one; of all
     paths into a state the best stays, as a pointer back. A letter stands for
     itself, or for nothing if it repeats the one before; a sign stands for its
     letters or for nothing. If `spaced`, separators end a word or stand for nothing.
+    Every STRETCH characters the beginning that all paths share is settled, which
+    changes no path, so pointers are kept only behind it.
     """
     stretched = set(STRETCHED.findall(noisy)) | set(noisy[:1])
     read: list[str] = []
@@ -114,10 +115,16 @@ def restore(noisy: str, letters: list[list[list[float]]], spaced: bool = False)
                     after[to], step[to] = s, ((a, b), x)
         back.append(step)
         states, before = after, before if spaced and c in GAPS else c
-        if len(back) == STRETCH:
-            best = max(states, key=states.get)
-            settle(best)
-            states = {best: 0.0}
+        if len(back) % STRETCH == 0:  # what all paths have in common is settled: the path stays the likeliest one, and memory is that of the rest
+            at, merged = set(states), len(back)
+            while len(at) > 1 and merged:
+                merged -= 1
+                at = {back[merged][to][0] for to in at}
+            if merged:
+                rest = back[merged:]
+                del back[merged:]
+                settle(at.pop())
+                back.extend(rest)
     settle(max(states, key=lambda at: states[at] + letters[at[0]][at[1]][0]))
     return "".join(read)
 
@@ -233,8 +240,8 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     return counts.reshape((LETTERS,) * 3)
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, lexicon: int = LEXICON) -> Model:
-    """The model of labelled documents (weights) and of all texts (letters). Bounds of the weights: `limit` rows, `lexicon` features.
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
+    """The model of labelled documents (weights) and of all texts (letters). Bound of the weights: `limit` rows.
 
     Labels that are null, or of a null doc_id or one that docs lacks, teach
     nothing; of several labels of a doc_id the most toxic counts. Null texts are
@@ -273,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, lexicon:
     ratio = F.log((t + 0.5) / (nt + 1)) - F.log((c + 0.5) / (nc + 1))
     sure = ratio - F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))  # less a standard error: what is rare has no say of its own
     picked = counts.where("kind >= 0").select("kind", "feature", "toxic", "clean", g2.alias("g2"), sure.alias("sure"), ratio.alias("ratio")).where((F.col("g2") > 2 * math.log(max(features, 2))) & (F.col("ratio") > 2) & (F.col("sure") > 0) & (t >= 4 * c))
-    for r in picked.orderBy(F.desc("g2"), "kind", "feature").limit(lexicon).collect():
+    for r in picked.orderBy(F.desc("g2"), "kind", "feature").collect():  # significant features of at most `limit` documents
         most = BEGINNING if r["kind"] == PREFIXES[0] else math.inf  # the shortest beginnings are shared by innocent words
         weights[r["kind"]][r["feature"]] = min(r["sure"], r["g2"] / 8, most)
     for w, _ in weights[0].items():  # the channel model expects what obfuscation hides

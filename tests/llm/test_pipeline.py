@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from gaugeloom.llm import lines
+from gaugeloom.llm import lines, store
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -100,3 +100,20 @@ def test_run_keeps_documents_without_id_and_language(spark, tmp_path):
     spark.createDataFrame([(None, texts[0], None, "s", 0), (7, texts[1], None, "s", 0), (8, texts[2], None, "s", 0)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {None, 7, 8}
+
+
+def test_language_drops_what_it_cant_tell(spark):
+    plain = [(k, "aaa bbb aaa", "en") for k in range(8)] + [(10 + k, "ccc bbb ccc", "de") for k in range(8)]
+    odd = [(30, "bbb", None), (31, "aaa", None), (32, "bbb", "en"), (33, "ccc bbb", "de"), (34, "\u0436 bbb", None)]  # both languages have bbb
+    got = {r["doc_id"] for r in corpus_pipeline.language(spark, spark.createDataFrame(plain + odd, "doc_id long, text string, lang string"), "").collect()}
+    assert got == {r[0] for r in plain} | {31, 33}
+
+
+def test_run_on_an_empty_table_and_repeated_rows(spark, tmp_path):
+    labels = spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, rows in (("none", []), ("same", [(7, " ".join(f"stone{k}" for k in range(30)), "en", "s", 0)] * 3 + [(7, "another text of one id", "en", "s", 0)])):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        before = store.made()
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len({r["doc_id"] for r in got}) == bool(rows) and store.made() <= before + 3

@@ -372,3 +372,15 @@ def test_written_tables_can_be_discarded(spark, tmp_path):
     assert kept.count() == 5 and store.discard(spark) >= 1
     assert sorted(r["id"] for r in store.some(spark.range(50_000), "id", 10, seed=1).collect()) == sorted(r["id"] for r in spark.range(50_000).orderBy(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 40))).limit(10).collect())
     assert store.some(spark.range(3), "id", 10, seed=1).count() == 3
+
+
+def test_long_readings_are_the_likeliest(monkeypatch):
+    """Settling what all paths share changes no reading."""
+    r = random.Random(8)
+    letters = np.log(np.array([r.random() + 0.01 for _ in range(28**3)]).reshape(28, 28, 28)).tolist()
+    texts = ["".join(r.choice("abcde1340@$*xx..-") for _ in range(n)) for n in (5, 60, 400, 900)]
+    for spaced in (False, True):
+        monkeypatch.setattr(toxicity, "STRETCH", 1 << 30)
+        whole = [toxicity.restore(t, letters, spaced) for t in texts]
+        monkeypatch.setattr(toxicity, "STRETCH", 7)
+        assert [toxicity.restore(t, letters, spaced) for t in texts] == whole
