@@ -1,8 +1,9 @@
 """Rankings and time grids of many entities.
 
-One pass over the observations feeds totals, cells and bands: observations are
-brought together per entity, cells are aggregates per entity and column, and
-only the few winners are joined back by broadcast.
+Observations are brought together per entity, cells are aggregates per entity
+and column, and only the few winners are joined back by broadcast. grid(),
+bands() and ranking() each look at one item, and scan for the ranking and for
+the cells; batch() takes several items from one scan and one shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeloom.functions.timeutil import TimeRange
+from gaugeloom.operators.links import Rounds
 
 MAX_TOP, MAX_COLUMNS = 500, 1_440
 
@@ -97,6 +99,57 @@ def bands(df: DataFrame, entity: str, value: str, kind: str, span: TimeRange, co
     return found.groupBy("col").agg(F.sum("cell").alias("totals"), F.sum(F.when(F.col("_won").isNull(), F.col("cell"))).alias("others"), F.count("cell").alias("contributors"))
 
 
+def observed(df: DataFrame, entity: str, items: dict[str, tuple[str, str]], span: TimeRange, columns: int, ts: str = "ts") -> DataFrame:
+    """item, entity, total, cells: per item and entity its total over the range and its known cells (col, cell), `columns` at most.
+
+    `items` are name: (value column, "gauge" or "counter"). All items come from
+    one scan and one shuffle by entity, since cells and totals of an entity are
+    made where its rows are. A gauge's cell is its last value, as a double.
+    """
+    if not items or not 0 < columns <= MAX_COLUMNS:
+        raise ValueError(f"one item at least, and 1 to {MAX_COLUMNS} columns")
+    before = Window.partitionBy(entity).orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
+    whole = all(df.schema[v].dataType.typeName() in ("byte", "short", "integer", "long") for v, _ in items.values())
+    value = lambda v: F.col(v).cast("long" if whole else "double")
+    seen = df.where(span.holds(ts)).select(entity, ts, *{v for v, _ in items.values()})
+    each = []
+    for k, (v, _) in enumerate(items.values()):
+        seen = seen.withColumn(f"_b{k}", F.last(F.when(F.col(v).isNotNull(), F.struct(F.col(ts).alias("t"), value(v).alias("v"))), ignorenulls=True).over(before))
+        each.append(F.when(F.col(v).isNotNull(), F.struct(F.lit(k).alias("k"), value(v).alias("v"), F.col(f"_b{k}").alias("b"))))
+    rows = seen.select(entity, ts, F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x")).select(entity, ts, "x.*")
+    placed = rows.withColumn("col", span.column_of(F.col("b.t"), F.col(ts), columns))
+    parts = placed.groupBy(entity, "k", "col").agg(
+        F.min(F.coalesce("b.t", ts)).alias("t0"), F.min_by(F.coalesce("b.v", "v"), ts).alias("v0"), F.min(F.struct(ts, "v")).alias("first"), F.max(F.struct(ts, "v")).alias("last"), F.max("v").alias("most"), F.count(F.lit(1)).alias("n"),
+    )
+    counter = F.element_at(F.array(*[F.lit(kind == "counter") for _, kind in items.values()]), F.col("k") + 1)
+    grown = F.when((F.col(f"last.{ts}") > F.col("t0")) & (F.col("last.v") >= F.col("v0")), (F.col("last.v") - F.col("v0")).cast("double") / ((F.col(f"last.{ts}") - F.col("t0")) / 1_000_000))
+    cell = F.when(counter, grown).otherwise(F.col("last.v").cast("double"))
+    got = parts.withColumn("cell", cell).groupBy(entity, "k").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), F.max("most").alias("most"), F.sum("n").alias("n"), F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("col", "cell"))).alias("cells"),
+    )
+    change = F.when((F.col("n") >= 2) & (F.col(f"last.{ts}") > F.col(f"first.{ts}")) & (F.col("last.v") >= F.col("first.v")), F.col("last.v") - F.col("first.v"))
+    name = F.element_at(F.array(*map(F.lit, items)), F.col("k") + 1)
+    return got.select(name.alias("item"), entity, F.when(counter, change).otherwise(F.col("most")).alias("total"), "cells")
+
+
+def batch(df: DataFrame, entity: str, items: dict[str, tuple[str, str]], span: TimeRange, columns: int, top: int, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """((item, rank, entity, total, col, cell) of the ranked entities, (item, col, totals, others, contributors)) of several items.
+
+    The observations are scanned once; a row per entity and item is written to
+    the folder that driver and executors share, and all else is read from there.
+    """
+    if not 0 < top <= MAX_TOP:
+        raise ValueError(f"top: 1 to {MAX_TOP}")
+    rows = Rounds(df.sparkSession).written(observed(df, entity, items, span, columns, ts))
+    order = Window.partitionBy("item").orderBy(F.col("total").desc_nulls_last(), F.col(entity).cast("string"))
+    won = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)  # each task hands on `top` rows an item
+    grids = won.select("item", "rank", entity, "total", F.explode("cells").alias("c")).select("item", "rank", entity, "total", "c.*")
+    winners = F.broadcast(won.select(F.col("item").alias("_i"), F.col(entity).alias("_e"), F.lit(True).alias("_won")))
+    marked = rows.join(winners, (F.col("item") == F.col("_i")) & F.col(entity).eqNullSafe(F.col("_e")), "left").select("item", "_won", F.explode("cells").alias("c"))
+    sums = marked.groupBy("item", "c.col").agg(F.sum("c.cell").alias("totals"), F.sum(F.when(F.col("_won").isNull(), F.col("c.cell"))).alias("others"), F.count(F.lit(1)).alias("contributors"))
+    return grids, sums
+
+
 def grouped_grid(df: DataFrame, entity: str, group: str, value: str, kind: str, span: TimeRange, columns: int, top: int, ts: str = "ts") -> DataFrame:
     """rank, group, members, total, col, cell: entities grouped by a column as of their first observation; totals and cells add up."""
     seen = df.where(span.holds(ts) & F.col(value).isNotNull())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeloom.functions.counters import asof
 from gaugeloom.operators import links
 from gaugeloom.operators.sequence import episodes
 
@@ -105,3 +106,45 @@ def vacuum_episodes(df: DataFrame, by: list[str], interval: int, progress: str,
     still = F.sum(F.when(F.col(progress) != last, 1).otherwise(0)).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)) == 0
     marked = rows.withColumn("_still", still)
     return marked.groupBy(*by, "episode").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("samples"), (F.max(progress) - F.min(progress)).alias("done"), (F.count_if("_still") >= 3).alias("stuck"))
+
+
+TICKS = {"cpu_ticks": ("utime", "stime"), "block_wait_ticks": ("blkdelay_ticks",), "run_delay_ns": ("rundelay_ns",), "read_bytes": ("read_bytes",), "write_bytes": ("write_bytes",), "major_faults": ("majflt",)}
+
+
+def vacuum_load(found: DataFrame, samples: DataFrame, by: list[str], ticks_per_second: int, scanned: str | None = None, ts: str = "ts", width: int = 86_400_000_000) -> DataFrame:
+    """Episodes (by..., first_ts, last_ts) with what the process did meanwhile: changes of its counters between its samples at or before both ends.
+
+    The load is unknown if there is no sample at or before the first row, or the
+    same one serves both ends; a change is unknown where a counter fell or
+    lacks a value, and a sum where one of its counters is. Shares are per cent
+    of the time between the samples, and of the bytes in the column `scanned`.
+    """
+    fields = sorted({c for cs in TICKS.values() for c in cs} & set(samples.columns))
+    ends = found.select(*by, F.col("first_ts").alias(ts)).union(found.select(*by, F.col("last_ts").alias(ts))).distinct()
+    at = asof(ends, samples.select(*by, ts, *fields), by, fields, ts, width=width)
+    side = lambda end, p: at.select(*[F.col(b).alias(f"_{p}_{b}") for b in by], F.col(ts).alias(f"_{p}_{end}"), F.struct("asof_ts", *fields).alias(p))
+    rows = found
+    for end, p in (("first_ts", "b"), ("last_ts", "a")):
+        keys = [F.col(b).eqNullSafe(F.col(f"_{p}_{b}")) for b in by] + [F.col(end) == F.col(f"_{p}_{end}")]
+        rows = rows.join(side(end, p), keys, "left").drop(*[f"_{p}_{b}" for b in by], f"_{p}_{end}")
+    known, span = F.col("a.asof_ts") > F.col("b.asof_ts"), (F.col("a.asof_ts") - F.col("b.asof_ts")) / 1_000_000
+    grown = lambda c: F.when(known & (F.col(f"a.{c}") >= F.col(f"b.{c}")), F.col(f"a.{c}") - F.col(f"b.{c}"))
+    loads = {n: sum((grown(c) for c in cs[1:]), grown(cs[0])) for n, cs in TICKS.items() if set(cs) <= set(fields)}
+    out = rows.select(*found.columns, F.when(known, span).alias("load_seconds"), *[c.alias(n) for n, c in loads.items()])
+    ms = lambda c: F.col(c) * 1_000.0 / ticks_per_second
+    if "cpu_ticks" in loads:
+        out = out.withColumn("cpu_ms", ms("cpu_ticks")).withColumn("cpu_share", F.when(F.col("load_seconds") > 0, F.least(F.lit(100.0), F.col("cpu_ms") / 10 / F.col("load_seconds"))))
+    if "block_wait_ticks" in loads:
+        out = out.withColumn("block_wait_ms", ms("block_wait_ticks"))
+    if scanned is not None and "read_bytes" in loads:
+        out = out.withColumn("read_share", F.when(F.col(scanned) > 0, F.least(F.lit(100.0), F.col("read_bytes") * 100.0 / F.col(scanned))))
+    return out
+
+
+def phase_runs(df: DataFrame, by: list[str], phase: str, ts: str = "ts") -> DataFrame:
+    """(by..., episode, phase, since, rows): the phase that an episode ended in, since when without a break, and for how many rows."""
+    back = Window.partitionBy(*by, "episode").orderBy(F.desc(ts))
+    last = F.first(phase).over(back)
+    broken = F.max(F.when(F.col(phase).eqNullSafe(last), 0).otherwise(1)).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = df.withColumn("_broken", broken).where("_broken = 0")
+    return held.groupBy(*by, "episode").agg(F.max_by(phase, ts).alias("phase"), F.min(ts).alias("since"), F.count(F.lit(1)).alias("rows"))

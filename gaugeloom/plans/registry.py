@@ -51,4 +51,4 @@ def recorded(spark: SparkSession, root: str) -> DataFrame:
     return gauges(spark, root).withColumn("counter", F.sum("cents").over(Window.partitionBy("user_id").orderBy("ts", "event_id")) % MODULUS)
 
 
-from gaugeloom.plans import finders, grids, logs, processes, relations, sections, sequences, snapshots  # noqa: E402, F401
+from gaugeloom.plans import finders, grids, logs, processes, relations, sections, sequences, snapshots, structures  # noqa: E402, F401
