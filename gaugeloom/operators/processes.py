@@ -133,11 +133,11 @@ def vacuum_load(found: DataFrame, samples: DataFrame, by: list[str], ticks_per_s
     out = rows.select(*found.columns, F.when(known, span).alias("load_seconds"), *[c.alias(n) for n, c in loads.items()])
     ms = lambda c: F.col(c) * 1_000.0 / ticks_per_second
     if "cpu_ticks" in loads:
-        out = out.withColumn("cpu_ms", ms("cpu_ticks")).withColumn("cpu_share", F.when(F.col("load_seconds") > 0, F.least(F.lit(100.0), F.col("cpu_ms") / 10 / F.col("load_seconds"))))
+        out = out.withColumn("cpu_ms", ms("cpu_ticks")).withColumn("cpu_share", F.when((F.col("load_seconds") > 0) & F.col("cpu_ms").isNotNull(), F.least(F.lit(100.0), F.col("cpu_ms") / 10 / F.col("load_seconds"))))
     if "block_wait_ticks" in loads:
         out = out.withColumn("block_wait_ms", ms("block_wait_ticks"))
     if scanned is not None and "read_bytes" in loads:
-        out = out.withColumn("read_share", F.when(F.col(scanned) > 0, F.least(F.lit(100.0), F.col("read_bytes") * 100.0 / F.col(scanned))))
+        out = out.withColumn("read_share", F.when((F.col(scanned) > 0) & F.col("read_bytes").isNotNull(), F.least(F.lit(100.0), F.col("read_bytes") * 100.0 / F.col(scanned))))
     return out
 
 

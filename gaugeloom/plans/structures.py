@@ -95,9 +95,9 @@ def assemble_csv(spark, root):
 
 #: Parts as control groups: makers, brands and parts, with more than their children have between them at two levels.
 GROUPS = """g AS (
-  SELECT 0 AS moment, '/' AS path, sum(p_size) + 5 AS mem FROM part UNION ALL SELECT 0, '/' || p_mfgr, sum(p_size) FROM part GROUP BY p_mfgr UNION ALL
-  SELECT 0, '/' || p_mfgr || '/' || p_brand, CASE WHEN p_brand LIKE '%3' THEN NULL ELSE sum(p_size) + count(*) END FROM part GROUP BY p_mfgr, p_brand UNION ALL
-  SELECT 0, '/' || p_mfgr || '/' || p_brand || '/' || p_partkey, p_size FROM part)"""
+  SELECT 0 AS moment, '/' AS path, sum(p_size) + 5 AS mem FROM part UNION ALL SELECT 0, '/' || p_type, sum(p_size) FROM part GROUP BY p_type UNION ALL
+  SELECT 0, '/' || p_type || '/' || p_brand, CASE WHEN p_brand LIKE '%3' THEN NULL ELSE sum(p_size) + count(*) END FROM part GROUP BY p_type, p_brand UNION ALL
+  SELECT 0, '/' || p_type || '/' || p_brand || '/' || p_partkey, p_size FROM part)"""
 
 
 @query(f"""
@@ -107,11 +107,11 @@ SELECT p.moment, p.path, coalesce(c.children, 0) AS children, CAST(p.mem AS BIGI
 """)
 def cgroup_residual(spark, root):
     p = table(spark, root, "part")
-    size, n, brand = F.sum("p_size"), F.count(F.lit(1)), F.concat(F.lit("/"), "p_mfgr", F.lit("/"), "p_brand")
+    size, n, brand = F.sum("p_size"), F.count(F.lit(1)), F.concat(F.lit("/"), "p_type", F.lit("/"), "p_brand")
     at = lambda rows, path, mem: rows.select(F.lit(0).alias("moment"), path.alias("path"), F.expr(mem).cast("long").alias("mem"))
     root_row = at(p.agg(size.alias("s")), F.lit("/"), "s + 5")
-    makers = at(p.groupBy("p_mfgr").agg(size.alias("s")), F.concat(F.lit("/"), "p_mfgr"), "s")
-    brands = at(p.groupBy("p_mfgr", "p_brand").agg(size.alias("s"), n.alias("n")), brand, "CASE WHEN p_brand LIKE '%3' THEN NULL ELSE s + n END")
+    makers = at(p.groupBy("p_type").agg(size.alias("s")), F.concat(F.lit("/"), "p_type"), "s")
+    brands = at(p.groupBy("p_type", "p_brand").agg(size.alias("s"), n.alias("n")), brand, "CASE WHEN p_brand LIKE '%3' THEN NULL ELSE s + n END")
     groups = root_row.union(makers).union(brands).union(at(p, F.concat(brand, F.lit("/"), "p_partkey"), "p_size"))
     return topology.residuals(groups, ["moment"], ["mem"])
 
@@ -126,14 +126,14 @@ def device_rates(spark, root):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 5 AS parent FROM part UNION ALL SELECT p_partkey, p_partkey // 3 + 1 FROM part WHERE p_partkey % 4 = 0 AND p_partkey > 3), f AS (SELECT child, min(parent) AS parent FROM e GROUP BY 1),
+WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 5 - 1 AS parent FROM part UNION ALL SELECT p_partkey, p_partkey // 3 + 1 FROM part WHERE p_partkey % 4 = 0 AND p_partkey > 3), f AS (SELECT child, min(parent) AS parent FROM e GROUP BY 1),
 d AS (SELECT child AS device FROM e UNION SELECT parent FROM e), w AS (SELECT device, device AS at, [device] AS chain FROM d UNION ALL SELECT w.device, f.parent, list_append(chain, f.parent) FROM w JOIN f ON f.child = w.at)
 SELECT device, array_to_string(max(chain), '>') AS chain FROM w GROUP BY 1
 """)
 def device_layers(spark, root):
     key = F.col("p_partkey")
     p = table(spark, root, "part")
-    edges = p.select(key.alias("child"), F.floor(key / 5).alias("parent")).union(p.where((key % 4 == 0) & (key > 3)).select(key, F.floor(key / 3) + 1))
+    edges = p.select(key.alias("child"), (F.floor(key / 5) - 1).alias("parent")).union(p.where((key % 4 == 0) & (key > 3)).select(key, F.floor(key / 3) + 1))
     return topology.layers(edges).withColumn("chain", F.array_join(F.col("chain").cast("array<string>"), ">"))
 
 
@@ -144,7 +144,7 @@ p AS (SELECT user_id, ts, counter AS utime, event_id AS stime, event_id * 10 AS
 b AS (SELECT f.*, p.ts AS b, p.utime AS bu, p.stime AS bs, p.read_bytes AS br FROM f ASOF LEFT JOIN p ON f.user_id = p.user_id AND f.first_ts >= p.ts),
 x AS (SELECT b.*, p.ts AS a, p.utime AS au, p.stime AS s, p.read_bytes AS ar FROM b ASOF LEFT JOIN p ON b.user_id = p.user_id AND b.last_ts >= p.ts),
 l AS (SELECT *, CASE WHEN a > b THEN (a - b) / 1000000.0::DOUBLE END AS load_seconds, CASE WHEN a > b AND au >= bu AND s >= bs THEN au - bu + s - bs END AS cpu_ticks, CASE WHEN a > b AND ar >= br THEN ar - br END AS read_bytes FROM x)
-SELECT user_id, episode, first_ts, last_ts, load_seconds, cpu_ticks, read_bytes, CASE WHEN load_seconds > 0 THEN round(least(100.0, cpu_ticks * 10.0 / 10 / load_seconds), 9) END AS cpu_share, CASE WHEN done > 0 THEN round(least(100.0, read_bytes * 100.0 / done), 9) END AS read_share FROM l
+SELECT user_id, episode, first_ts, last_ts, load_seconds, cpu_ticks, read_bytes, CASE WHEN load_seconds > 0 AND cpu_ticks IS NOT NULL THEN round(least(100.0, cpu_ticks * 10.0 / 10 / load_seconds), 9) END AS cpu_share, CASE WHEN done > 0 AND read_bytes IS NOT NULL THEN round(least(100.0, read_bytes * 100.0 / done), 9) END AS read_share FROM l
 """)
 def vacuum_load(spark, root):
     rows = recorded(spark, root)
