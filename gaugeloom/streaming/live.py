@@ -74,6 +74,9 @@ def rates(rows: DataFrame, entity: str, value: str, max_gap: int, ts: str = "ts"
     (three times max_gap if not given) is forgotten, so entities that are gone
     leave nothing behind. Rows that arrive after a later one of their entity
     have no rate and do not replace it; a counter that fell has none either.
+    Batches without data let state expire, without end: a query that should
+    work off what is there and stop needs
+    spark.sql.streaming.noDataMicroBatches.enabled = false.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = rows.schema[entity].dataType.simpleString()
