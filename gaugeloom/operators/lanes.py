@@ -29,11 +29,11 @@ def _rates(at: DataFrame, values: list[str]) -> DataFrame:
 
 
 def cpu(df: DataFrame, ticks_per_second: int = 100) -> DataFrame:
-    """cpu_busy from rows (ts, cpu_id, tick counters): per cent of all CPUs, row -1 being their sum."""
-    cores = df.where("cpu_id >= 0").agg(F.countDistinct("cpu_id").alias("_cores"))
+    """cpu_busy from rows (ts, cpu_id, tick counters): per cent of the moment's CPUs, row -1 being their sum."""
+    cores = df.where("cpu_id >= 0").groupBy("ts").agg(F.countDistinct("cpu_id").alias("_cores"))
     busy = reduce(F.try_add, [F.col(c) for c in TICKS])
     whole = df.where("cpu_id = -1").select("ts", busy.alias("busy"))
-    return _lane(_rates(whole, ["busy"]).crossJoin(F.broadcast(cores)), "cpu_busy", F.try_divide(F.col("busy") * 100, F.col("_cores") * ticks_per_second))
+    return _lane(_rates(whole, ["busy"]).join(cores, "ts", "left"), "cpu_busy", F.try_divide(F.col("busy") * 100, F.col("_cores") * ticks_per_second))
 
 
 def stalls(df: DataFrame) -> DataFrame:

@@ -49,6 +49,64 @@ def lanes_disk(spark, root):
     return lanes.disks(totals.select("ts", F.col("v").alias("io_ms"), F.col("v").alias("weighted_ms")))
 
 
+#: Running hourly sums c(ts, v), and their change per second r(ts, v, x).
+HOURLY = f"""
+WITH {REC}, h AS (SELECT (ts - {EPOCH}) // {HOUR} * {HOUR} + {EPOCH} AS ts, sum(cents) AS v FROM rec GROUP BY 1),
+c AS (SELECT ts, CAST(sum(v) OVER (ORDER BY ts) AS BIGINT) AS v FROM h), l AS (SELECT ts, v, lag(v) OVER (ORDER BY ts) AS b, lag(ts) OVER (ORDER BY ts) AS p FROM c),
+r AS (SELECT ts, v, CASE WHEN v >= b THEN CAST(v - b AS DOUBLE) / ((ts - p) / 1000000.0::DOUBLE) END AS x, (ts - {EPOCH}) // {HOUR} % 3 + 2 AS cores FROM l)"""
+
+
+def hourly(spark, root):
+    hour = (F.floor((F.col("ts") - EPOCH) / HOUR) * HOUR + EPOCH).cast("long")
+    grown = gauges(spark, root).groupBy(hour.alias("ts")).agg(F.sum("cents").alias("v"))
+    return running(grown, "ts", ["v"]).withColumn("cores", (F.floor((F.col("ts") - EPOCH) / HOUR) % 3 + 2).cast("int"))
+
+
+def _lanes(**values: str) -> str:
+    return HOURLY + " UNION ALL ".join(f" SELECT ts, '{key}' AS key, round({value}, 6) AS value FROM r" for key, value in values.items())
+
+
+def _rounded(found):
+    return found.select("ts", "key", F.round("value", 6).alias("value"))
+
+
+@query(_lanes(cpu_busy="x / cores"))
+def lanes_cpu(spark, root):
+    rows = hourly(spark, root).select("ts", F.explode(F.sequence(F.lit(-1), F.col("cores") - 1)).alias("cpu_id"), F.col("v").alias("user"), *[F.lit(0).cast("long").alias(c) for c in ("nice", "system", "irq", "softirq", "steal")])
+    return _rounded(lanes.cpu(rows))
+
+
+@query(_lanes(cpu_stall="x / 10000", io_stall="2 * x / 10000"))
+def lanes_stalls(spark, root):
+    rows = hourly(spark, root).select("ts", F.lit(0).alias("scope"), F.explode(F.expr("array(struct(0 AS resource, v AS some_us), struct(1 AS resource, v * 9 AS some_us), struct(2 AS resource, v * 2 AS some_us))")).alias("p"))
+    return _rounded(lanes.stalls(rows.select("ts", "scope", "p.*").unionByName(rows.select("ts", F.lit(1).alias("scope"), "p.*"))))
+
+
+@query(_lanes(net_rx="3 * x", net_tx="6 * x", net_drop="3 * x", net_errors="6 * x"))
+def lanes_network(spark, root):
+    kinds = {"rx_bytes": "v", "tx_bytes": "v * 2", "rx_drop": "v", "tx_drop": "0", "rx_fifo": "0", "tx_fifo": "0", "rx_errs": "v", "tx_errs": "v"}
+    each = hourly(spark, root).withColumn("v", F.explode(F.array(F.col("v"), F.col("v") * 2)))  # two interfaces
+    return _rounded(lanes.network(each.select("ts", *[F.expr(e).cast("long").alias(n) for n, e in kinds.items()])))
+
+
+@query(_lanes(memory="(8000000 - v % 1000000)::DOUBLE * 100 / 8000000", mem_swap="3 * x", mem_oom="x"))
+def lanes_memory(spark, root):
+    c = hourly(spark, root)
+    used = c.select("ts", F.lit(8_000_000).cast("long").alias("total"), (F.col("v") % 1_000_000).alias("available"))
+    return _rounded(lanes.memory(used, c.select("ts", F.col("v").alias("pswpin"), (F.col("v") * 2).alias("pswpout"), F.col("v").alias("oom_kill"))))
+
+
+@query(_lanes(
+    cg_cpu_cores="x / 1000000", cg_cpu_share="x / 1000000 * 100 / cores", cg_cpu_throttle="2 * x / 10000", cg_cpu_psi="x / 10000", cg_mem_psi="x / 10000", cg_io_psi="x / 10000", cg_io_read="x", cg_io_write="2 * x", cg_oom="x",
+    cg_memory="(v % 5000)::DOUBLE * 100 / 5000", cg_memory_bytes="v % 5000", cg_pids="v % 70", cg_pids_share="(v % 70)::DOUBLE * 100 / 140",
+))
+def lanes_container(spark, root):
+    c = hourly(spark, root)
+    values = {"usage_us": "v", "throttled_us": "v * 2", "cpu_psi_us": "v", "mem_psi_us": "v", "io_psi_us": "v", "rbytes": "v", "wbytes": "v * 2", "oom_kill": "v", "memory": "v % 5000", "limit": "5000", "pids": "v % 70", "pids_max": "140"}
+    rows = c.select("ts", F.explode(F.array(F.lit("/app"), F.lit("/other"))).alias("path"), *[F.expr(e).cast("long").alias(n) for n, e in values.items()])
+    return _rounded(lanes.container(rows, c.select("ts", F.col("cores").cast("double").alias("cpus")), "/app"))
+
+
 @query(f"""
 WITH {REC}, h AS (SELECT (ts - {EPOCH}) // {HOUR} * {HOUR} + {EPOCH} AS ts, event_type, event_id, user_id FROM rec),
 a AS (SELECT ts, count(*) FILTER (event_type = 'click' AND event_id % 3 = 0) AS pg_running, count(*) FILTER (event_type = 'click' AND event_id % 3 <> 0) AS pg_waiting, count(*) FILTER (event_id % 3 = 1) AS pg_lock_waiting FROM h GROUP BY 1)
