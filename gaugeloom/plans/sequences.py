@@ -158,6 +158,49 @@ def detect_counter_increase(spark, root):
     return detect.risen(recorded(spark, root), "deadlocks", "counter", ["user_id"])
 
 
+#: Counters made of the recorded one; some rows lack them.
+MADE = {"oom_kill": "counter", "cgroup_oom_kill": "counter // 7", "failed_count": "CASE WHEN event_id % 3 > 0 THEN counter END", "checksum_failures": "cents // 900", "sessions_fatal": "counter // 5000", "sessions_killed": "CASE WHEN event_id % 2 = 0 THEN cents // 400 END"}
+SINCE = "{0} > last_value({0} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(f"""
+WITH {REC}, m AS (SELECT user_id, ts, {", ".join(f"{e} AS {n}" for n, e in MADE.items())} FROM rec),
+f AS (SELECT user_id, ts, {", ".join(f"{SINCE.format(n)} AS {n}" for n in MADE)} FROM m)
+SELECT 'host_oom' AS detector, CAST(user_id AS VARCHAR) AS entity, ts FROM f WHERE oom_kill UNION ALL SELECT 'cgroup_oom', CAST(user_id AS VARCHAR), ts FROM f WHERE cgroup_oom_kill
+UNION ALL SELECT 'archiver', CAST(user_id AS VARCHAR), ts FROM f WHERE failed_count UNION ALL SELECT 'checksum', CAST(user_id AS VARCHAR), ts FROM f WHERE checksum_failures
+UNION ALL SELECT 'sessions', CAST(user_id AS VARCHAR), ts FROM f WHERE coalesce(sessions_fatal, false) OR coalesce(sessions_killed, false)
+""")
+def detect_risen_counters(spark, root):
+    rows = recorded(spark, root).select("user_id", "ts", *[F.expr(e.replace("//", "div")).alias(n) for n, e in MADE.items()])
+    return detect.risen_counters(rows, ["host_oom", "cgroup_oom", "archiver", "checksum", "sessions"], ["user_id"])
+
+
+@query("""
+WITH c AS (SELECT o_custkey, o_orderkey % 40 AS ts, count(DISTINCT o_orderkey % 4) AS cpus FROM orders WHERE o_orderkey % 7 > 0 GROUP BY ALL)
+SELECT 'load' AS detector, CAST(c_custkey AS VARCHAR) AS entity, CAST(t AS BIGINT) AS ts FROM customer, range(40) r(t) JOIN c ON true WHERE c.o_custkey = c_custkey AND c.ts = t AND (c_nationkey + t) % 9 / 2.0 >= 2 * cpus
+""")
+def detect_load(spark, root):
+    """Customers as hosts of up to four processors, seen at forty times."""
+    o = table(spark, root, "orders").where("o_orderkey % 7 > 0")
+    cpus = o.select(F.col("o_custkey").alias("host"), (F.col("o_orderkey") % 40).alias("ts"), F.explode(F.array(F.col("o_orderkey") % 4, F.lit(-1).cast("long"))).alias("cpu_id"), F.lit(0).alias("scope"))
+    loads = table(spark, root, "customer").select(F.col("c_custkey").alias("host"), "c_nationkey", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("t"))
+    loads = loads.select("host", F.col("t").cast("long").alias("ts"), ((F.col("c_nationkey") + F.col("t")) % 9 / 2).alias("load1"), F.lit(0).alias("scope"))
+    return detect.load(loads, cpus, ["host"])
+
+
+@query("""
+WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS entity, CAST(p_partkey AS BIGINT) AS ts, p_size FROM part)
+SELECT 'mxid_age' AS detector, entity, ts FROM p WHERE p_size * 40000000 >= 1600000000 UNION ALL SELECT 'data_corruption', entity, ts FROM p WHERE p_size % 9 = 5 UNION ALL SELECT 'lock_contention', entity, ts FROM p WHERE p_size % 4 = 1
+UNION ALL SELECT 'pg_log', CAST(user_id AS VARCHAR), epoch_us(ts) FROM events WHERE event_type = 'error' UNION ALL SELECT 'pooler_log', CAST(user_id AS VARCHAR), epoch_us(ts) FROM events WHERE event_type = 'signup'
+""")
+def detect_states_and_events(spark, root):
+    size = F.col("p_size").cast("long")
+    p = table(spark, root, "part").select("p_partkey", F.col("p_partkey").cast("long").alias("ts"), (size * 40_000_000).alias("mxid_age"), (size % 9).alias("category"), F.expr("CASE WHEN p_size % 4 = 1 THEN array(1) ELSE CAST(array() AS array<int>) END").alias("blocked_by"))
+    e = gauges(spark, root)
+    logs = detect.events({"pg_log": e.where("event_type = 'error'"), "pooler_log": e.where("event_type = 'signup'")}, ["user_id"])
+    return detect.crossings(p, ["mxid_age", "data_corruption", "lock_contention"], ["p_partkey"]).unionByName(logs)
+
+
 @query(f"""
 WITH {REC}, f AS (SELECT 'error' AS detector, CAST(user_id AS VARCHAR) AS entity, ts FROM rec WHERE event_type = 'error' UNION {RISEN})
 SELECT *, (SELECT count(*) FROM f) AS found FROM f ORDER BY ts, detector, entity LIMIT 4096
