@@ -20,16 +20,21 @@ def maximum(value: Column, absent: Column) -> Column:
     return F.when(~F.coalesce(F.bool_or(absent), F.lit(False)), F.max(value))
 
 
+def _whole(value: Column) -> Column:
+    """The sum as a double; whole numbers are added as decimals, so that it may leave their type."""
+    return F.sum(F.coalesce(value, F.lit(None).cast("decimal(20,0)"))).cast("double")
+
+
 def strict_ratio(top: Column, bottom: Column) -> Column:
     """Sum of top by sum of bottom; null if an operand is null anywhere or the divisor is 0."""
     known = ~F.bool_or(top.isNull() | bottom.isNull())
-    return F.when(known, F.try_divide(F.sum(top).cast("double"), F.sum(bottom).cast("double")))
+    return F.when(known, F.try_divide(_whole(top), _whole(bottom)))
 
 
 def neutral_ratio(top: Column, bottom: Column) -> Column:
     """As strict_ratio, but members with both operands null add nothing."""
     known = ~F.bool_or(top.isNull() != bottom.isNull())
-    return F.when(known, F.try_divide(F.sum(top).cast("double"), F.sum(bottom).cast("double")))
+    return F.when(known, F.try_divide(_whole(top), _whole(bottom)))
 
 
 def paired(value: Column, other: Column) -> Column:

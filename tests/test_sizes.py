@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gaugeloom.functions import tristate
 from gaugeloom.operators import detect
 
 
@@ -17,3 +18,15 @@ def test_loads_are_joined_without_broadcast(spark):
         online.setdefault((k % 37, k % 41), set()).add(k % 5 % 3)
     assert got == sorted((str(h), t) for h in range(1, 31) for t in range(40) if (h, t) in online and (h + t) % 9 / 2 >= 2 * len(online[h, t])) and len(got) > 50
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ratios_of_sums_above_a_long(spark):
+    most = 2**63 - 1
+    rows = [("a", most, 2, most, 0.25), ("a", most, 2, most, 0.5), ("b", most, 1, None, 0.5), ("b", -most, None, most, None), ("b", most, 3, most, 0.5), ("b", most, 3, most, 1.5), ("c", None, None, None, None), ("d", 1, -1, 0, 1.0), ("d", 2, 1, 0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x long, y int, z long, v double")
+    of = lambda f, top, bottom: {r["g"]: r["r"] for r in df.groupBy("g").agg(f(F.col(top), F.col(bottom)).alias("r")).collect()}
+    assert of(tristate.strict_ratio, "x", "y") == {"a": float(2 * most) / 4, "b": None, "c": None, "d": None}
+    assert of(tristate.neutral_ratio, "x", "z") == {"a": 1.0, "b": None, "c": None, "d": None}
+    assert of(tristate.neutral_ratio, "v", "z") == {"a": 0.75 / (2 * most), "b": None, "c": None, "d": None}
+    exact = spark.createDataFrame([(1.5, "1.25"), (2.25, "2.50")], "v double, t string").agg(tristate.strict_ratio(F.col("v"), F.col("t").cast("decimal(38,10)")).alias("r")).collect()
+    assert exact[0]["r"] == 1.0
