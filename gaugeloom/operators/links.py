@@ -3,6 +3,8 @@
 Every round is written to the folder that driver and executors share, which
 cuts the lineage, and has a row per node. The number of rounds grows as the
 logarithm of the longest way; there is no limit of depth or rows.
+Joins of these tables merge both sides (`joined`): they pack so well that Spark
+takes millions of rows for a small table and would broadcast them.
 """
 
 from __future__ import annotations
@@ -46,6 +48,11 @@ class Rounds:
             path.getFileSystem(conf).delete(path, True)
 
 
+def joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that sends neither side through the driver, however small its files are."""
+    return left.hint("merge").join(right, on, how)
+
+
 def _settled(links: DataFrame, rounds: Rounds) -> DataFrame:
     """(node, at, level, ended) of links (node, up): `at` is the root of what has ended; what has not leads into a cycle.
 
@@ -57,7 +64,7 @@ def _settled(links: DataFrame, rounds: Rounds) -> DataFrame:
     open_before, still = None, state.where("NOT ended").count()
     while still and still != open_before:
         above = state.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("level").alias("more"), F.col("ended").alias("top"))
-        moved = state.where("NOT ended").drop("ended").join(above, "at").select("node", F.col("next").alias("at"), (F.col("level") + F.col("more")).alias("level"), F.col("top").alias("ended"))
+        moved = joined(state.where("NOT ended").drop("ended"), above, "at").select("node", F.col("next").alias("at"), (F.col("level") + F.col("more")).alias("level"), F.col("top").alias("ended"))
         state = rounds.written(state.where("ended").unionByName(moved))
         open_before, still = still, state.where("NOT ended").count()
     return state
@@ -68,13 +75,13 @@ def _first_of_cycles(links: DataFrame, rounds: Rounds) -> DataFrame:
     state = rounds.written(links.select("node", F.col("up").alias("at")))
     before, reached = None, state.select("at").distinct().count()
     while reached != before:  # the places reached are fewer each round until they are the cycles' members
-        state = rounds.written(state.join(state.select(F.col("node").alias("at"), F.col("at").alias("next")), "at").select("node", F.col("next").alias("at")))
+        state = rounds.written(joined(state, state.select(F.col("node").alias("at"), F.col("at").alias("next")), "at").select("node", F.col("next").alias("at")))
         before, reached = reached, state.select("at").distinct().count()
     members = state.select(F.col("at").alias("node")).distinct()
-    state = rounds.written(links.join(members, "node", "left_semi").select("node", F.col("up").alias("at"), F.col("node").alias("least"), F.lit(True).alias("moved")))
+    state = rounds.written(joined(links, members, "node", "left_semi").select("node", F.col("up").alias("at"), F.col("node").alias("least"), F.lit(True).alias("moved")))
     while not state.where("moved").isEmpty():
         ahead = state.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("least").alias("offer"))
-        state = rounds.written(state.drop("moved").join(ahead, "at").select("node", F.col("next").alias("at"), F.least("least", "offer").alias("least"), (F.col("offer") < F.col("least")).alias("moved")))
+        state = rounds.written(joined(state.drop("moved"), ahead, "at").select("node", F.col("next").alias("at"), F.least("least", "offer").alias("least"), (F.col("offer") < F.col("least")).alias("moved")))
     return state.where("node = least").select("node")
 
 
@@ -88,9 +95,9 @@ def roots(links: DataFrame, cycles: bool = True) -> DataFrame:
     state = _settled(links, rounds)
     done, stuck = state.where("ended"), state.where("NOT ended").select("node")
     if cycles and not stuck.isEmpty():
-        held = rounds.written(links.join(stuck, "node", "left_semi"))
+        held = rounds.written(joined(links, stuck, "node", "left_semi"))
         firsts = _first_of_cycles(held, rounds).withColumn("_first", F.lit(True))
-        cut = held.join(firsts, "node", "left").select("node", F.when(F.col("_first").isNull(), F.col("up")).alias("up"))
+        cut = joined(held, firsts, "node", "left").select("node", F.when(F.col("_first").isNull(), F.col("up")).alias("up"))
         done = done.unionByName(_settled(cut, rounds))
     out = rounds.written(done.select("node", F.col("at").alias("root"), "level"))
     rounds.dropped(rounds.n - 1)
@@ -108,12 +115,12 @@ def upward(links: DataFrame, marked: DataFrame) -> DataFrame:
     single = steps.groupBy("node").count().where("count > 1").isEmpty()
     kept = rounds.written(marked.where("node IS NOT NULL").select("node").distinct())
     while True:
-        new = rounds.written(kept.join(steps, "node").select(F.col("up").alias("node")).distinct().join(kept, "node", "left_anti"))
+        new = rounds.written(joined(joined(kept, steps, "node").select(F.col("up").alias("node")).distinct(), kept, "node", "left_anti"))
         if new.isEmpty():
             break
         kept = rounds.written(kept.unionByName(new))
         if single:
-            steps = rounds.written(steps.join(steps.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")))
+            steps = rounds.written(joined(steps, steps.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")))
     out = rounds.written(kept)
     rounds.dropped(rounds.n - 1)
     return out
@@ -129,11 +136,11 @@ def components(pairs: DataFrame, rounds: Rounds) -> DataFrame:
     state = rounds.written(both.groupBy("a").agg(F.min("b").alias("_b")).select(F.col("a").alias("node"), F.least("a", "_b").alias("label"), F.lit(True).alias("moved")))
     while not state.where("moved").isEmpty():
         own, other = state.select(F.col("node").alias("a"), F.col("label").alias("own")), state.select(F.col("node").alias("b"), F.col("label").alias("to"))
-        lower = both.join(own, "a").join(other, "b").where("to < own")
+        lower = joined(joined(both, own, "a"), other, "b").where("to < own")
         offers = lower.select("a", "to").union(lower.select("own", "to")).groupBy("a").agg(F.min("to").alias("offer")).withColumnRenamed("a", "node")
-        hooked = state.select("node", F.col("label").alias("was")).join(offers, "node", "left").withColumn("label", F.least("was", F.coalesce("offer", "was")))
+        hooked = joined(state.select("node", F.col("label").alias("was")), offers, "node", "left").withColumn("label", F.least("was", F.coalesce("offer", "was")))
         ahead = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        state = rounds.written(hooked.join(ahead, "label", "left").select("node", F.coalesce("next", "label").alias("label"), (F.coalesce("next", "label") != F.col("was")).alias("moved")))
+        state = rounds.written(joined(hooked, ahead, "label", "left").select("node", F.coalesce("next", "label").alias("label"), (F.coalesce("next", "label") != F.col("was")).alias("moved")))
     return state.select("node", "label")
 
 
@@ -146,9 +153,9 @@ def first_paths(starts: DataFrame, steps: DataFrame, rounds: Rounds) -> DataFram
     """
     best = fresh = rounds.written(starts.select("node", "path"))
     while True:
-        onward = fresh.withColumnRenamed("node", "up").join(steps, "up").where(~F.array_contains("path", F.col("name")))
+        onward = joined(fresh.withColumnRenamed("node", "up"), steps, "up").where(~F.array_contains("path", F.col("name")))
         offers = onward.groupBy("node").agg(F.min(F.concat("path", F.array("name"))).alias("offer"))
-        fresh = rounds.written(offers.join(best, "node", "left").where(F.col("path").isNull() | (F.col("offer") < F.col("path"))).select("node", F.col("offer").alias("path")))
+        fresh = rounds.written(joined(offers, best, "node", "left").where(F.col("path").isNull() | (F.col("offer") < F.col("path"))).select("node", F.col("offer").alias("path")))
         if fresh.isEmpty():
             return best
-        best = rounds.written(best.join(fresh.select("node"), "node", "left_anti").unionByName(fresh))
+        best = rounds.written(joined(best, fresh.select("node"), "node", "left_anti").unionByName(fresh))

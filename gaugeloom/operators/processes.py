@@ -46,7 +46,7 @@ def lock_roots(waits: DataFrame) -> DataFrame:
     """
     edges = waits.where(F.size("blocked_by") > 0).groupBy("pid").agg(F.min(F.array_min("blocked_by")).alias("up"))
     nodes = edges.select("pid").union(edges.select("up")).where("pid IS NOT NULL").distinct()
-    return links.roots(nodes.join(edges, "pid", "left").select(F.col("pid").alias("node"), "up")).withColumnRenamed("node", "pid")
+    return links.roots(links.joined(nodes, edges, "pid", "left").select(F.col("pid").alias("node"), "up")).withColumnRenamed("node", "pid")
 
 
 def lock_forest(waits: DataFrame, by: list[str], pid: str = "pid", blocked_by: str = "blocked_by") -> DataFrame:
@@ -68,23 +68,23 @@ def lock_forest(waits: DataFrame, by: list[str], pid: str = "pid", blocked_by: s
     listed = waits.where(F.col(pid).isNotNull()).select(node(pid).alias("node"), F.coalesce(F.col(blocked_by).cast("array<long>"), F.array().cast("array<long>")).alias("_b"))
     rows = rounds.written(listed.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_b")))).alias("_b")))  # a session's own rows
     blocked = rows.select("node", F.explode("_b").alias("_up")).where("_up <> 0").withColumn("up", F.struct(*[F.col(f"node.{b}").alias(b) for b in by], F.col("_up").alias("pid")))
-    steps = rounds.written(blocked.join(rows.select(F.col("node").alias("up")), "up", "left_semi").select("up", "node", F.col("node.pid").alias("name")))
+    steps = rounds.written(links.joined(blocked, rows.select(F.col("node").alias("up")), "up", "left_semi").select("up", "node", F.col("node.pid").alias("name")))
     label = links.components(steps.select(F.col("up").alias("a"), F.col("node").alias("b")), rounds)
-    nodes = rounds.written(rows.select("node").join(label, "node", "left").select("node", F.coalesce("label.pid", "node.pid").alias("component")))
+    nodes = rounds.written(links.joined(rows.select("node"), label, "node", "left").select("node", F.coalesce("label.pid", "node.pid").alias("component")))
 
     path = lambda tree: F.array(F.lit(tree).cast("long"), F.col("node.pid")).alias("path")
-    met = links.first_paths(nodes.join(steps, "node", "left_anti").select("node", path(0)), steps, rounds)
-    left, tree = rounds.written(nodes.join(met, "node", "left_anti")), 0
+    met = links.first_paths(links.joined(nodes, steps, "node", "left_anti").select("node", path(0)), steps, rounds)
+    left, tree = rounds.written(links.joined(nodes, met, "node", "left_anti")), 0
     while not left.isEmpty():
         tree += 1
         starts = left.groupBy("component", *[F.col(f"node.{b}").alias(b) for b in by]).agg(F.min("node").alias("node")).select("node", path(tree))
-        rest = steps.join(left.select("node"), "node", "left_semi").join(left.select(F.col("node").alias("up")), "up", "left_semi")
+        rest = links.joined(links.joined(steps, left.select("node"), "node", "left_semi"), left.select(F.col("node").alias("up")), "up", "left_semi")
         met = rounds.written(met.unionByName(links.first_paths(starts, rest, rounds)))
-        left = rounds.written(left.join(met, "node", "left_anti"))
+        left = rounds.written(links.joined(left, met, "node", "left_anti"))
     depth = F.size("path") - 1
     parent = F.when(depth > 1, F.element_at("path", -2))
     present = steps.groupBy("node").agg(F.array_sort(F.collect_list("up.pid")).alias("_present"))
-    out = rows.join(nodes, "node").join(met, "node").join(present, "node", "left")
+    out = links.joined(links.joined(links.joined(rows, nodes, "node"), met, "node"), present, "node", "left")
     return out.select(
         *[F.col(f"node.{b}").alias(b) for b in by], F.col("node.pid").alias("pid"), "component", F.element_at("path", 1).cast("int").alias("tree"), depth.alias("depth"), parent.alias("parent"),
         F.coalesce(F.filter("_present", lambda b: ~b.eqNullSafe(parent)), F.array().cast("array<long>")).alias("extra_blockers"), F.array_contains("_b", F.lit(0).cast("long")).alias("waits_on_prepared"), F.slice("path", 2, depth).alias("path"),
@@ -95,7 +95,7 @@ def with_ancestors(df: DataFrame, matches: Column, child: str, parent: str) -> D
     """Rows that match and all their ancestors, however far; cycles end where they began."""
     edges = df.select(F.col(child).alias("node"), F.col(parent).alias("up"), F.coalesce(matches, F.lit(False)).alias("_m"))
     kept = links.upward(edges, edges.where("_m")).withColumnRenamed("node", "_kept")
-    return df.join(kept, F.col(child) == F.col("_kept"), "left_semi")
+    return links.joined(df, kept, F.col(child) == F.col("_kept"), "left_semi")
 
 
 def vacuum_episodes(df: DataFrame, by: list[str], interval: int, progress: str, ts: str = "ts") -> DataFrame:

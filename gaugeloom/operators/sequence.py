@@ -49,7 +49,7 @@ def forest(edges: DataFrame, child: str, parent: str, cycles: bool = False) -> D
     nodes = edges.where(F.col(child).isNotNull()).groupBy(F.col(child).alias("node")).agg(F.min(F.col(parent).try_cast(kind)).alias("up"))
     known = nodes.select(F.col("node").alias("up"), F.lit(True).alias("_known"))
     up = F.when(F.col("_known") & (F.col("up") != F.col("node")), F.col("up"))
-    return links.roots(nodes.join(known, "up", "left").select("node", up.alias("up")), cycles)
+    return links.roots(links.joined(nodes, known, "up", "left").select("node", up.alias("up")), cycles)
 
 
 def weighted_mean(value: str, weight: str):

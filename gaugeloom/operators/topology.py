@@ -57,10 +57,10 @@ def layers(edges: DataFrame, child: str = "child", parent: str = "parent") -> Da
     known = edges.where(F.col(child).isNotNull() & F.col(parent).isNotNull()).select(F.col(child).alias("device"), F.col(parent).alias("below"))
     first = known.groupBy("device").agg(F.min("below").alias("below"))
     every = known.select("device").union(known.select("below")).distinct()
-    state = rounds.written(every.join(first, "device", "left").select("device", F.filter(F.array("device", "below"), lambda x: x.isNotNull()).alias("chain"), F.col("below").alias("at")))
+    state = rounds.written(links.joined(every, first, "device", "left").select("device", F.filter(F.array("device", "below"), lambda x: x.isNotNull()).alias("chain"), F.col("below").alias("at")))
     while not state.where("at IS NOT NULL").isEmpty():
         ahead = state.select(F.col("device").alias("at"), F.col("chain").alias("more"), F.col("at").alias("next"))
-        joined = state.join(ahead, "at", "left")
+        joined = links.joined(state, ahead, "at", "left")
         whole = F.concat("chain", F.slice("more", 2, F.greatest(F.size("more") - 1, F.lit(0))))
         again = F.size(F.array_distinct(whole)) < F.size(whole)  # a ring: up to where it begins anew
         upto = F.aggregate(whole, F.array().cast(state.schema["chain"].dataType), lambda seen, x: F.when(F.array_contains(seen, x), seen).otherwise(F.concat(seen, F.array(x))))
@@ -80,11 +80,11 @@ def charged_layers(edges: DataFrame, charged: DataFrame, child: str = "child", p
     reached = rounds.written(marks.select("device", F.col("device").alias("at")))
     seen, found = reached, None
     while not reached.isEmpty():
-        step = reached.join(up, "at").select("device", F.col("above").alias("at")).where(F.col("at") != F.col("device")).distinct().join(seen, ["device", "at"], "left_anti")
-        step = rounds.written(step.join(marks.select(F.col("device").alias("at"), F.lit(True).alias("hit")), "at", "left"))
+        step = links.joined(links.joined(reached, up, "at").select("device", F.col("above").alias("at")).where(F.col("at") != F.col("device")).distinct(), seen, ["device", "at"], "left_anti")
+        step = rounds.written(links.joined(step, marks.select(F.col("device").alias("at"), F.lit(True).alias("hit")), "at", "left"))
         hits = step.where("hit").select("device", F.col("at").alias("folded_into"))
         found = rounds.written(hits if found is None else found.unionByName(hits))
         reached = rounds.written(step.where("hit IS NULL").select("device", "at"))
         seen = rounds.written(seen.unionByName(step.select("device", "at")))
     best = (found if found is not None else marks.withColumn("folded_into", F.lit(None).cast(marks.schema["device"].dataType))).groupBy("device").agg(F.min("folded_into").alias("folded_into"))
-    return marks.join(best, "device", "left")
+    return links.joined(marks, best, "device", "left")

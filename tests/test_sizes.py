@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gaugeloom.functions import tristate
-from gaugeloom.operators import detect
+from gaugeloom.operators import detect, links, processes, sequence, topology
 
 
 def test_loads_are_joined_without_broadcast(spark):
@@ -30,3 +30,20 @@ def test_ratios_of_sums_above_a_long(spark):
     assert of(tristate.neutral_ratio, "v", "z") == {"a": 0.75 / (2 * most), "b": None, "c": None, "d": None}
     exact = spark.createDataFrame([(1.5, "1.25"), (2.25, "2.50")], "v double, t string").agg(tristate.strict_ratio(F.col("v"), F.col("t").cast("decimal(38,10)")).alias("r")).collect()
     assert exact[0]["r"] == 1.0
+
+
+def test_walks_of_links_broadcast_nothing(spark, monkeypatch):
+    """Their tables pack so well that millions of rows look small."""
+    plans, written = [], links.Rounds.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(links.Rounds, "written", lambda self, df: plans.append(plan(df)) or written(self, df))
+    waits = spark.createDataFrame([(m, k, [k // 3, k // 2] if k < 60 else [k % 7 + 60]) for m in range(2) for k in range(1, 70)], "moment int, pid int, blocked_by array<int>")
+    edges = waits.select("moment", "pid", F.element_at("blocked_by", -1).alias("up"), (F.col("pid") == 41).alias("hit"))
+    one = edges.where("moment = 0")
+    for df in (
+        processes.lock_forest(waits, ["moment"]), processes.lock_roots(waits.where("moment = 0")), processes.with_ancestors(one, F.col("hit"), "pid", "up"), sequence.forest(one, "pid", "up", cycles=True),
+        topology.layers(one, "pid", "up"), topology.charged_layers(one, one.where("pid % 5 = 0"), "pid", "up", "pid"),
+    ):
+        assert len(df.collect()) > 0
+        plans.append(plan(df))
+    assert sum("Join" in p for p in plans) > 20 and not [p for p in plans if "Broadcast" in p]
